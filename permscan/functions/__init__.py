@@ -1,6 +1,5 @@
 from .scalars import (
     chi2_tail,
-    clean_text,
     decoded,
     effect_z,
     flags,
@@ -18,7 +17,6 @@ from .scalars import (
 
 __all__ = [
     "chi2_tail",
-    "clean_text",
     "decoded",
     "effect_z",
     "flags",

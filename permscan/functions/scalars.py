@@ -1,6 +1,7 @@
 """Column expressions of the data model. All but the chi-square tail stay inside the JVM."""
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -9,47 +10,39 @@ from pyspark.sql import types as T
 
 from ..schema import NULL_TOKENS
 
-DECIMAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-INFINITE = r"^[+-]?(?i)(inf|infinity)$"
-
-
-def _parsed(text: Column) -> Column:
-    # Spark's cast also takes '1d', '1.5f' and hex floats, hence the pattern. Infinity has its own spelling.
-    infinity = F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    return F.when(text.rlike(DECIMAL), text.try_cast("double")).when(text.rlike(INFINITE), infinity)
+# Spark's cast also takes '1d', '1.5f' and hex floats, hence the pattern. It knows infinity in these spellings.
+NUMBER = r"^\s*[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+MISSING = "^(" + "|".join(re.escape(token) for token in NULL_TOKENS) + ")$"
 
 
 def trait_number(text: Column) -> Column:
-    """Trait value as double; anything that is not a number becomes NULL."""
-    return _parsed(F.trim(text))
-
-
-def clean_text(text: Column) -> Column:
-    """Missing-value spellings become NULL."""
-    return F.when(~F.trim(text).isin(NULL_TOKENS), F.trim(text))
+    """Text as double; anything that is not a number becomes NULL."""
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def number(text: Column) -> Column:
     """Result value: parsed as double, then narrowed to 32 bits."""
-    return _parsed(clean_text(text)).cast("float")
+    return trait_number(text).cast("float")
 
 
-def is_malformed(text: Column) -> Column:
-    """Text that is neither missing nor a number."""
-    return clean_text(text).isNotNull() & _parsed(clean_text(text)).isNull()
+def is_malformed(text: Column, parsed: Column) -> Column:
+    """Text that gave no number although it does not spell a missing one."""
+    return parsed.isNull() & text.isNotNull() & ~F.trim(text).rlike(MISSING)
 
 
 def decoded(uri: Column) -> Column:
     """File path from the percent-encoded form Spark reports."""
-    return F.url_decode(F.regexp_replace(uri, r"\+", "%2B"))
+    return F.when(uri.contains("%"), F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))).otherwise(uri)
 
 
 def source_name(uri: Column) -> Column:
     """Name of a run from its file: the ``source_file=`` folder if there is one, else the file stem."""
     plain = decoded(uri)
     folder = F.regexp_extract(plain, r"/source_file=([^/]+)/[^/]*$", 1)
-    stem = F.regexp_extract(plain, r"([^/\\]+)\.[^./\\]+$", 1)
-    return F.when(folder != "", folder).otherwise(stem)
+    file = F.substring_index(plain, "/", -1)
+    suffix = F.concat(F.lit("."), F.substring_index(file, ".", -1))
+    stem = F.substring(file, F.lit(1), F.length(file) - F.length(suffix))
+    return F.when(plain.contains("/source_file="), folder).otherwise(stem)
 
 
 def perm_id(source: Column) -> Column:

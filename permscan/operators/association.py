@@ -181,7 +181,7 @@ def association_scan(
     Beyond that, or with a table of ``permuted`` phenotypes, they come from a join on the sample.
     """
     carriers = stage(carriers_of(presence, pheno), "carriers")
-    terms = variant_terms(carriers, pheno, variants, min_af, max_af)
+    terms = stage(variant_terms(carriers, pheno, variants, min_af, max_af), "terms")
     wanted = carriers.join(terms.select("variant"), "variant", "left_semi")
     if permuted is None and pheno.count() <= PACKED_SAMPLES:
         sums = sums_by_blocks(wanted, pheno, n_perms, seed)

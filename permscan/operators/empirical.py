@@ -37,10 +37,8 @@ def empirical_p_pooled(
     # Observed values enter with weight 0: each finds its own running count by an equality join.
     weighted = drawn.withColumn("w", F.lit(1)).unionByName(seen.select("value", F.lit(0).alias("w")))
     chunked = with_chunks(weighted.groupBy("value").agg(F.sum("w").alias("cnt")), "value")
-    total = chunked.agg(F.sum("cnt")).scalar()
-    table = running_total(chunked, "cnt", ("value",), "upto").select(
-        "value", F.try_divide(F.col("upto").cast("double"), total).alias("empirical_p")
-    )
+    ranked = running_total(chunked, "cnt", ("value",), "upto", totals={"n": F.col("cnt")})
+    table = ranked.select("value", F.try_divide(F.col("upto").cast("double"), F.col("n")).alias("empirical_p"))
     return seen.join(table, "value").select(key, "empirical_p")
 
 
@@ -55,8 +53,7 @@ def bh_qvalues(
     rows = permutations.select("source_file", key, F.col(column).cast("double").alias("p")).where("p is not null")
     distinct = rows.groupBy("source_file", "p").agg(F.count(F.lit(1)).alias("cnt"))
     chunked = with_chunks(distinct, "source_file", "p")
-    tests = chunked.groupBy("source_file").agg(F.sum("cnt").alias("m"))
-    ranked = running_total(chunked, "cnt", ("p",), "rank", by=("source_file",)).join(tests, "source_file")
+    ranked = running_total(chunked, "cnt", ("p",), "rank", by=("source_file",), totals={"m": F.col("cnt")})
     stepped = running_min_descending(
         ranked, F.col("p") * F.col("m") / F.col("rank"), ("p",), "q", by=("source_file",)
     )

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import dense_index
-from .redundancy import first_difference, order_fingerprints, reference_fingerprint
+from .redundancy import MARKS, first_difference, order_fingerprints, reference_fingerprint
 
 
 class ReferenceMismatch(ValueError):
@@ -18,12 +18,17 @@ def positional_reference(indexed: DataFrame, source: str) -> DataFrame:
     )
 
 
-def check_against_reference(indexed: DataFrame, variants: DataFrame) -> None:
-    """Raise ReferenceMismatch naming the first file, in text order, that departs from the reference."""
-    reference = reference_fingerprint(variants).select(F.struct("rows", "mark", "mark2")).scalar()
+def check_against_reference(
+    indexed: DataFrame, variants: DataFrame, fingerprints: DataFrame | None = None
+) -> None:
+    """Raise ReferenceMismatch naming the first file, in text order, that departs from the reference.
+
+    ``fingerprints`` may hold those of ``indexed`` if they are known already.
+    """
+    reference = reference_fingerprint(variants).select(F.struct(*MARKS)).scalar()
+    found = order_fingerprints(indexed) if fingerprints is None else fingerprints
     differing = (
-        order_fingerprints(indexed)
-        .where(F.struct("rows", "mark", "mark2") != reference)
+        found.where(F.struct(*MARKS) != reference)
         .agg(F.min("source_file").alias("first"), F.count(F.lit(1)).alias("n"))
         .first()
     )

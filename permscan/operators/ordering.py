@@ -24,22 +24,34 @@ def _before(by: tuple) -> Window:
     return Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _join_chunks(df: DataFrame, other: DataFrame, by: tuple) -> DataFrame:
-    # Null-safe: a group key may be NULL.
-    keys = (*by, CHUNK)
-    renamed = other.withColumnsRenamed({c: f"_other_{c}" for c in keys})
-    same = [F.col(c).eqNullSafe(F.col(f"_other_{c}")) for c in keys]
-    return df.join(renamed, same).drop(*(f"_other_{c}" for c in keys))
-
-
-def running_total(chunked: DataFrame, value: str, order: tuple, out: str, by: tuple = ()) -> DataFrame:
+def _join_chunks(df: DataFrame, per_chunk: DataFrame, by: tuple) -> DataFrame:
+    # Plain equality: the windows have already placed the rows by these columns, so they are not moved again.
+    return df.join(per_chunk, [*by, CHUNK])
+
+
+def running_total(
+    chunked: DataFrame,
+    value: str,
+    order: tuple,
+    out: str,
+    by: tuple = (),
+    totals: dict[str, Column] | None = None,
+) -> DataFrame:
     """Inclusive running sum of ``value`` along the unique key ``order`` within ``by``.
 
-    ``chunked`` comes from :func:`with_chunks` over ``(*by, *order)``.
+    ``chunked`` comes from :func:`with_chunks` over ``(*by, *order)``; the ``by`` columns are never NULL.
+    ``totals`` names sums over the whole group that every row gets as well.
     """
-    totals = chunked.groupBy(*by, CHUNK).agg(F.sum(value).alias("_sum"))
-    offsets = totals.select(
-        *by, CHUNK, F.coalesce(F.sum("_sum").over(_before(by)), F.lit(0)).alias("_offset")
+    totals = totals or {}
+    sums = chunked.groupBy(*by, CHUNK).agg(
+        F.sum(value).alias("_sum"), *[F.sum(c).alias(f"_{name}") for name, c in totals.items()]
+    )
+    group = Window.partitionBy(*by)
+    offsets = sums.select(
+        *by,
+        CHUNK,
+        F.coalesce(F.sum("_sum").over(_before(by)), F.lit(0)).alias("_offset"),
+        *[F.sum(f"_{name}").over(group).alias(name) for name in totals],
     )
     inside = (
         Window.partitionBy(*by, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

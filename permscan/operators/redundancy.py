@@ -10,7 +10,11 @@ DISTINCT = "inline"
 OVERLAP_SHARE = 0.8
 
 
-def _order_marks():
+# What a fingerprint consists of.
+MARKS = ["rows", "mark", "mark2"]
+
+
+def order_marks():
     """Two independent 64-bit sums over (position, variant): equal for equal columns in equal order."""
     position, variant = F.col("row_idx"), F.coalesce("variant", F.lit("\0"))
     return [
@@ -22,11 +26,11 @@ def _order_marks():
 
 def order_fingerprints(indexed: DataFrame, by: str = "source_file") -> DataFrame:
     """(source, rows, mark, mark2); partial results are combined before the shuffle."""
-    return indexed.groupBy(by).agg(*_order_marks())
+    return indexed.groupBy(by).agg(*order_marks())
 
 
 def reference_fingerprint(variants: DataFrame) -> DataFrame:
-    return variants.select(F.col("variant_id").alias("row_idx"), "variant").agg(*_order_marks())
+    return variants.select(F.col("variant_id").alias("row_idx"), "variant").agg(*order_marks())
 
 
 def first_difference(indexed: DataFrame, variants: DataFrame) -> DataFrame:
@@ -69,9 +73,9 @@ def order_comparison(indexed: DataFrame) -> DataFrame:
     """Per file: rows, and whether its variants equal the first file's in value and order."""
     marks = order_fingerprints(indexed)
     everything = Window.partitionBy()
-    first = F.min_by(F.struct("rows", "mark", "mark2"), "source_file").over(everything)
+    first = F.min_by(F.struct(*MARKS), "source_file").over(everything)
     return marks.withColumn("first", first).select(
-        "source_file", F.col("rows").alias("n_rows"), (F.struct("rows", "mark", "mark2") == F.col("first")).alias("identical")
+        "source_file", F.col("rows").alias("n_rows"), (F.struct(*MARKS) == F.col("first")).alias("identical")
     )
 
 

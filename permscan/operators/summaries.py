@@ -8,68 +8,52 @@ from ..schema import CONVERTED
 from .ordering import running_total, with_chunks
 
 
-def _histogram(df: DataFrame, column: str) -> DataFrame:
-    """Staged, ordered (value, count) table. Result values have three digits, so it is far smaller than the rows."""
-    counted = df.groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    return with_chunks(counted, "value")
+def _ranked_values(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values with their count, running count and the totals over all rows; a NULL counts 0.
 
+    Result values have three digits, so this table is far smaller than the rows. One scan builds it.
+    """
+    counted = df.groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
+    known = F.when(F.col("value").isNotNull(), F.col("cnt")).otherwise(0)
+    chunked = with_chunks(counted.withColumn("known", known), "value")
+    totals = {"n_known": F.col("known"), "weighted": F.col("value") * F.col("known")}
+    return running_total(chunked, "known", ("value",), "upto", totals=totals)
 
-def _quantiles(known: DataFrame, total: F.Column, probabilities: dict[str, float]) -> DataFrame:
-    """One row of interpolated quantiles from the non-NULL part of a histogram.
 
-    The value at rank r is the smallest value whose running count exceeds r.
-    """
-    ranked = running_total(known, "cnt", ("value",), "upto").withColumn("last", total - 1)
-    parts = []
+def _cuts(probabilities: dict[str, float]) -> dict:
+    """Interpolated quantiles as aggregates: the value at rank r is the smallest whose running count exceeds r."""
+    found = {}
     for name, q in probabilities.items():
-        rank = F.col("last") * F.lit(q)
-        parts.append(F.min(F.when(F.col("upto") > F.floor(rank), F.col("value"))).alias(f"{name}_lo"))
-        parts.append(F.min(F.when(F.col("upto") > F.ceil(rank), F.col("value"))).alias(f"{name}_hi"))
-        parts.append(F.max(rank - F.floor(rank)).alias(f"{name}_part"))
-    picked = ranked.agg(*parts)
-    return picked.select(
-        *[
-            (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * F.col(f"{n}_part")).alias(n)
-            for n in probabilities
-        ]
-    )
+        rank = (F.col("n_known") - 1) * F.lit(q)
+        low = F.min(F.when(F.col("upto") > F.floor(rank), F.col("value")))
+        high = F.min(F.when(F.col("upto") > F.ceil(rank), F.col("value")))
+        found[name] = (low + (high - low) * F.max(rank - F.floor(rank))).alias(name)
+    return found
 
 
 def quantiles(df: DataFrame, column: str, probabilities: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles of a column as one row, one column per named probability."""
-    known = _histogram(df, column).where(F.col("value").isNotNull())
-    total = known.agg(F.sum("cnt")).scalar()
-    return _quantiles(known, total, probabilities)
+    return _ranked_values(df, column).agg(*_cuts(probabilities).values())
 
 
 def pooled_null_distribution(permutations: DataFrame, column: str = "lrt_pvalue") -> DataFrame:
-    """One row describing ``column`` over all permutations together.
-
-    One scan of the rows builds the value histogram; every figure is then taken from it.
-    """
-    histogram = _histogram(permutations, column)
-    known = histogram.where(F.col("value").isNotNull())
-    totals = histogram.agg(
-        F.sum("cnt").alias("n"),
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("cnt"))), F.lit(0)).alias("n_non_null"),
+    """One row describing ``column`` over all permutations together."""
+    ranked = _ranked_values(permutations, column)
+    mean = F.try_divide(F.col("weighted"), F.col("n_known"))
+    squares = F.sum(F.col("known") * (F.col("value") - mean) * (F.col("value") - mean))
+    cut = _cuts({"p01": 0.01, "median": 0.5, "p99": 0.99})
+    n_known = F.max("n_known")
+    return ranked.agg(
+        F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"),
+        F.coalesce(n_known, F.lit(0)).alias("n_non_null"),
         F.min("value").alias("min"),
+        cut["p01"],
+        cut["median"],
+        cut["p99"],
         F.max("value").alias("max"),
-        F.try_divide(
-            F.sum(F.col("value") * F.col("cnt")), F.sum(F.when(F.col("value").isNotNull(), F.col("cnt")))
-        ).alias("mean"),
-    ).select(F.coalesce("n", F.lit(0)).alias("n"), "n_non_null", "min", "max", "mean")
-    known_rows = known.agg(F.sum("cnt")).scalar()
-    deviation = F.col("value") - totals.select("mean").scalar()
-    spread = known.agg(
-        F.sqrt(
-            F.sum(F.col("cnt") * deviation * deviation)
-            / F.when(F.sum("cnt") > 1, F.sum("cnt") - 1)
-        ).alias("stddev")
+        F.max(mean).alias("mean"),
+        F.sqrt(F.try_divide(squares, F.when(n_known > 1, n_known - 1))).alias("stddev"),
     )
-    cuts = _quantiles(known, known_rows, {"p01": 0.01, "median": 0.5, "p99": 0.99})
-    return totals.select(
-        "*", cuts.select(F.struct("*")).scalar().alias("cut"), spread.scalar().alias("stddev")
-    ).select("n", "n_non_null", "min", "cut.p01", "cut.median", "cut.p99", "max", "mean", "stddev")
 
 
 def per_run_summary(permutations: DataFrame, column: str = "lrt_pvalue") -> DataFrame:

@@ -4,7 +4,7 @@ import time
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import decoded, perm_id
@@ -15,8 +15,9 @@ from ..operators.normalize import (
     variant_dictionary,
 )
 from ..operators.ordering import row_index
+from ..operators.redundancy import order_marks
 from ..schema import CONVERT_FAILED, CONVERTED, RESULT_COLUMNS
-from ..sources.files import delete, exists, list_result_files
+from ..sources.files import delete, exists, result_files
 from ..sources.results import first_header, has_result_header, headers, read_variants, scan_text, typed
 from ..sources.writers import write_events, write_facts, write_variants
 from ..staging import stage
@@ -25,9 +26,6 @@ NORMALIZED = "normalized"
 INLINE = "inline"
 SET_NORMALIZED = "set_normalized"
 
-# Columns that say where a row was scanned.
-_SCAN = ("file_path", "block_start", "scan_seq")
-
 
 @dataclass
 class Conversion:
@@ -74,10 +72,10 @@ def stage_lines(spark: SparkSession, paths) -> DataFrame:
     return stage(reduce(DataFrame.unionByName, scans), "lines")
 
 
-def _quality(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("source_file").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("n_bad").alias("n_bad")
-    )
+def _quality(rows: DataFrame, positions: bool) -> DataFrame:
+    """Per run: rows and malformed values; with known positions also the order fingerprint."""
+    marks = order_marks() if positions else [F.count(F.lit(1)).alias("rows")]
+    return rows.groupBy("source_file").agg(F.sum("n_bad").alias("n_bad"), *marks)
 
 
 def _events(files: DataFrame, quality: DataFrame, seconds: float, facts_path: str) -> DataFrame:
@@ -91,11 +89,11 @@ def _events(files: DataFrame, quality: DataFrame, seconds: float, facts_path: st
         .when(F.col("n_bad") > 0, F.format_string("%d malformed values", F.col("n_bad")))
     )
     status = F.when(error.isNull(), CONVERTED).otherwise(CONVERT_FAILED)
-    runs = files.select("source_file").distinct().count()
+    runs = F.count(F.lit(1)).over(Window.partitionBy())  # one row per run
     return joined.select(
         F.col("source_file").alias("name"),
         status.alias("status"),
-        F.lit(seconds / max(runs, 1)).alias("elapsed_seconds"),
+        (F.lit(seconds) / runs).alias("elapsed_seconds"),
         "txt_path",
         F.when(error.isNull(), F.lit(facts_path)).alias("parquet_path"),
         error.alias("error"),
@@ -125,27 +123,29 @@ def convert(
     if layout != INLINE and reference_path is None:
         raise ValueError(f"The {layout} layout needs a reference path")
     started = time.monotonic()
-    files = stage(list_result_files(spark, source), "files")
+    files = stage(result_files(spark, source), "files")
     if files.isEmpty():
         raise ValueError(f"No result files found in {source}")
     lines = stage_lines(spark, source)
-    quality = stage(_quality(lines), "quality")
-    good = quality.where("n_bad = 0").select("source_file")
-    rows = lines.join(good, "source_file", "left_semi").withColumn("perm_id", perm_id(F.col("source_file")))
+    if layout == NORMALIZED:
+        lines = row_index(lines)
+    quality = stage(_quality(lines, layout == NORMALIZED), "quality")
+    good = quality.where("n_bad = 0")
+    rows = lines.join(good.select("source_file"), "source_file", "left_semi")
+    rows = rows.withColumn("perm_id", perm_id(F.col("source_file")))
 
     located = ["source_file", "perm_id"]
-    stats = [c for c in lines.columns if c not in ("source_file", "variant", "n_bad", *_SCAN)]
+    stats = [c for c in RESULT_COLUMNS if c != "variant"]
     if layout == INLINE:
         facts = rows.select(*located, "variant", *stats)
     elif layout == NORMALIZED:
-        indexed = row_index(rows)
         if not exists(spark, reference_path):
             first = good.agg(F.min("source_file")).first()[0]
             if first is not None:
-                write_variants(positional_reference(indexed, first), reference_path)
+                write_variants(positional_reference(rows, first), reference_path)
         if exists(spark, reference_path):
-            check_against_reference(indexed, read_variants(spark, reference_path))
-        facts = indexed.select(F.col("row_idx").alias("variant_id"), *located, *stats)
+            check_against_reference(rows, read_variants(spark, reference_path), good)
+        facts = rows.select(F.col("row_idx").alias("variant_id"), *located, *stats)
     else:
         if exists(spark, reference_path):
             raise ValueError(f"{reference_path} exists; a dictionary is built once for all files")

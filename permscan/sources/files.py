@@ -6,21 +6,24 @@ from pyspark.sql import functions as F
 from ..functions import decoded, source_name
 
 
-def list_result_files(spark: SparkSession, run_dir: str, pattern: str = "*.txt") -> DataFrame:
-    """Result files of a run (name, path, length) in text order. Only file metadata is read.
+def result_files(spark: SparkSession, source, pattern: str = "*.txt") -> DataFrame:
+    """Result files (name, path, length) of a folder or list of paths. Only file metadata is read.
 
-    Looks at files directly in ``run_dir`` and in ``source_file=…`` folders as Spark itself writes them.
+    Looks at files directly in a folder and in ``source_file=…`` folders as Spark itself writes them.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(run_dir)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(source)
     uri = F.col("_metadata.file_path")
-    return listed.select(source_name(uri).alias("source_file"), decoded(uri).alias("path"), "length").orderBy(
-        "source_file", "path"
-    )
+    return listed.select(source_name(uri).alias("source_file"), decoded(uri).alias("path"), "length")
+
+
+def list_result_files(spark: SparkSession, run_dir: str, pattern: str = "*.txt") -> DataFrame:
+    """Result files of a run in text order of their names."""
+    return result_files(spark, run_dir, pattern).orderBy("source_file", "path")
 
 
 def first_files(spark: SparkSession, run_dir: str, sample: int = 5, pattern: str = "*.txt") -> list[str]:
     """Paths that make up the first ``sample`` result files in text order."""
-    listed = list_result_files(spark, run_dir, pattern)
+    listed = result_files(spark, run_dir, pattern)
     names = listed.select("source_file").distinct().orderBy("source_file").limit(sample)
     return [r.path for r in listed.join(names, "source_file", "left_semi").orderBy("path").collect()]
 

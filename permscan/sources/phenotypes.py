@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clean_text
+from ..functions import trait_number
 from ..schema import PHENOTYPE, RUN_SUMMARY
 
 
@@ -24,7 +24,7 @@ def read_presence(spark: SparkSession, path: str, id_column: str | None = None)
     samples = [c for c in wide.columns if c != id_column]
     # One array per row is exploded; a column-wise unpivot would build one projection per sample.
     cells = F.array(*[F.struct(F.lit(c).alias("sample"), F.col(f"`{c}`").alias("cell")) for c in samples])
-    cell = clean_text(F.col("c.cell")).try_cast("double")
+    cell = trait_number(F.col("c.cell"))
     return wide.select(F.col(f"`{id_column}`").alias("variant"), F.explode(cells).alias("c")).select(
         "variant", "c.sample", F.when(cell != 0, 1).otherwise(0).alias("present")
     )

@@ -80,13 +80,14 @@ def scan_text(spark: SparkSession, path, names: list[str] | None = None) -> Data
 
 def typed(lines: DataFrame) -> DataFrame:
     """Typed result rows; ``n_bad`` counts values of a row that are not numbers, and a wrong number of fields."""
-    bad = sum((is_malformed(F.col(c)).cast("int") for c in NUMERIC_COLUMNS), F.col("row_error").isNotNull().cast("int"))
-    return lines.select(
+    parsed = lines.withColumns({f"_{c}": number(F.col(c)) for c in NUMERIC_COLUMNS})
+    malformed = [is_malformed(F.col(c), F.col(f"_{c}")).cast("int") for c in NUMERIC_COLUMNS]
+    return parsed.select(
         source_name(F.col("file_path")).alias("source_file"),
         "variant",
-        *[number(F.col(c)).alias(c) for c in NUMERIC_COLUMNS],
+        *[F.col(f"_{c}").alias(c) for c in NUMERIC_COLUMNS],
         F.coalesce("notes", F.lit("")).alias("notes"),
-        bad.alias("n_bad"),
+        sum(malformed, F.col("row_error").isNotNull().cast("int")).alias("n_bad"),
         "file_path",
         "block_start",
         "scan_seq",

@@ -8,6 +8,8 @@ from ..schema import NUMERIC_COLUMNS, RAW_HEADER, RUN_SUMMARY, column_name
 
 # Permutations that share a folder.
 PERMS_PER_BUCKET = 100
+# Consecutive variant ids that share a task when facts are written.
+IDS_PER_BLOCK = 16_384
 
 
 def dataset_path(base_dir: str, kind: str, population: str, trait: str, variant_type: str) -> str:
@@ -16,22 +18,22 @@ def dataset_path(base_dir: str, kind: str, population: str, trait: str, variant_
 
 
 def write_facts(facts: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Result rows as zstd Parquet in buckets of permutations, ordered by variant inside each bucket.
+    """Result rows as zstd Parquet in buckets of permutations.
 
-    A range partitioning over (bucket, variant, run) keeps files even in size however the runs differ,
-    and lets per-variant queries skip row groups.
+    With variant ids, rows are gathered by (bucket, block of ids) and ordered by id, so that per-variant
+    queries skip files and row groups; a group is at most one block of ids in one bucket of permutations.
+    Rows that carry their variant string stay in the tasks that read them: no shuffle.
     """
-    order = ["perm_bucket", "variant_id" if "variant_id" in facts.columns else "variant", "source_file"]
     bucket = F.coalesce(F.floor(F.col("perm_id") / PERMS_PER_BUCKET), F.lit(-1)).cast("int")
-    (
-        facts.withColumn("perm_bucket", bucket)
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .write.mode(mode)
-        .option("compression", "zstd")
-        .partitionBy("perm_bucket")
-        .parquet(path)
-    )
+    placed = facts.withColumn("perm_bucket", bucket)
+    if "variant_id" in facts.columns:
+        block = F.floor(F.col("variant_id") / IDS_PER_BLOCK)
+        placed = placed.repartition("perm_bucket", block).sortWithinPartitions(
+            "perm_bucket", "variant_id", "source_file"
+        )
+    else:
+        placed = placed.sortWithinPartitions("perm_bucket")
+    placed.write.mode(mode).option("compression", "zstd").partitionBy("perm_bucket").parquet(path)
 
 
 def write_variants(variants: DataFrame, path: str, mode: str = "errorifexists") -> None:

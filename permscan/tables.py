@@ -16,10 +16,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Use all cores for the fan-out that follows when the scan has fewer tasks than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def permutations(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """One result row per part and run."""
     perm = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(RUNS).cast("long"))).alias("perm")
-    rows = load(spark, sf_dir, "part").select("p_partkey", *extra, perm)
+    rows = _spread(load(spark, sf_dir, "part").select("p_partkey", *extra)).select("p_partkey", *extra, perm)
     columns = {
         "source_file": "format_string('perm_%04d', perm)",
         "perm_id": "cast(perm as int)",
