@@ -6,24 +6,32 @@ from pyspark.sql import functions as F
 from ..functions import decoded, source_name
 
 
-def result_files(spark: SparkSession, source, pattern: str = "*.txt") -> DataFrame:
+def result_files(spark: SparkSession, source, suffix: str = ".txt") -> DataFrame:
     """Result files (name, path, length) of a folder or list of paths. Only file metadata is read.
 
     Looks at files directly in a folder and in ``source_file=…`` folders as Spark itself writes them.
+    A scan passes over empty files, so their names come from Spark's own file index.
     """
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(source)
-    uri = F.col("_metadata.file_path")
-    return listed.select(source_name(uri).alias("source_file"), decoded(uri).alias("path"), "length")
-
-
-def list_result_files(spark: SparkSession, run_dir: str, pattern: str = "*.txt") -> DataFrame:
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(source)
+    scanned = listed.select(F.col("_metadata.file_path").alias("uri"), "length")
+    # The index writes file:///a where the scan writes file:/a.
+    names = [(uri.replace(":///", ":/", 1),) for uri in listed.inputFiles() if uri.endswith(suffix)]
+    indexed = spark.createDataFrame(names, "uri string")
+    return indexed.join(scanned, "uri", "left").select(
+        source_name(F.col("uri")).alias("source_file"),
+        decoded(F.col("uri")).alias("path"),
+        F.coalesce("length", F.lit(0)).alias("length"),
+    )
+
+
+def list_result_files(spark: SparkSession, run_dir: str, suffix: str = ".txt") -> DataFrame:
     """Result files of a run in text order of their names."""
-    return result_files(spark, run_dir, pattern).orderBy("source_file", "path")
+    return result_files(spark, run_dir, suffix).orderBy("source_file", "path")
 
 
-def first_files(spark: SparkSession, run_dir: str, sample: int = 5, pattern: str = "*.txt") -> list[str]:
+def first_files(spark: SparkSession, run_dir: str, sample: int = 5, suffix: str = ".txt") -> list[str]:
     """Paths that make up the first ``sample`` result files in text order."""
-    listed = result_files(spark, run_dir, pattern)
+    listed = result_files(spark, run_dir, suffix)
     names = listed.select("source_file").distinct().orderBy("source_file").limit(sample)
     return [r.path for r in listed.join(names, "source_file", "left_semi").orderBy("path").collect()]
 
