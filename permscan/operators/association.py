@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import chi2_tail, perm_name, three_digits
 from ..schema import DEFAULT_SEED, MAX_AF, MIN_AF, NUMERIC_COLUMNS, RESULT_COLUMNS
 from ..staging import stage
+from . import permute
 from .permute import keyed_permutations, phenotype_vector, shuffled
 
 OBSERVED = 0
-# Samples up to which carriers are packed per variant; one row then holds at most this many numbers.
+# Consecutive samples whose carriers are packed into one row per variant.
 PACKED_SAMPLES = 100_000
 # Numbers in one block of permuted phenotypes and in one dense block of carriers (32 MB each).
 BLOCK_VALUES = 4_000_000
@@ -79,45 +80,54 @@ def sums_by_blocks(
 ) -> DataFrame:
     """(perm_id, variant, t) by matrix products, without a row per (permutation, carrier).
 
-    Each task packs its variants into a dense 0/1 block and multiplies it with blocks of permuted
-    phenotypes, which it draws itself from the shared phenotype vector. Permutation 0 is the trait as observed.
+    Each task turns its variants' carriers into dense 0/1 blocks and multiplies them with blocks of permuted
+    phenotypes, which it draws itself from the shared phenotype vector. Permutation 0 is the trait as
+    observed. With more than ``PACKED_SAMPLES`` samples a variant has several blocks, whose sums are added.
     """
     spark = carriers.sparkSession
     vector = phenotype_vector(pheno)
     values = spark.sparkContext.broadcast(vector["phenotype"].to_numpy())
+    width = PACKED_SAMPLES
     positions = spark.createDataFrame(
         pd.DataFrame({"sample": vector["sample"], "at": np.arange(len(vector), dtype="int32")}),
         "sample string, at int",
     )
     packed = (
-        carriers.join(F.broadcast(positions), "sample").groupBy("variant").agg(F.collect_list("at").alias("at"))
+        carriers.join(positions, "sample")
+        .groupBy("variant", F.floor(F.col("at") / width).cast("int").alias("block"))
+        .agg(F.collect_list("at").alias("at"))
     )
     first = OBSERVED if observed else OBSERVED + 1
     perms = np.arange(first, n_perms + 1, dtype="int32")
 
     def multiply(batches):
         y = values.value
-        size = max(1, len(y))
-        block_perms = max(1, min(BLOCK_VALUES // size, len(perms)))
-        block_variants = max(1, min(BLOCK_VALUES // size, OUTPUT_ROWS // block_perms))
+        block_perms = max(1, min(BLOCK_VALUES // max(1, len(y)), len(perms)))
+        block_variants = max(1, min(BLOCK_VALUES // max(1, min(width, len(y))), OUTPUT_ROWS // block_perms))
         for batch in batches:
             for p in range(0, len(perms), block_perms):
                 ids = perms[p : p + block_perms]
                 drawn = np.stack([y if i == OBSERVED else shuffled(y, seed, int(i)) for i in ids], axis=1)
-                for v in range(0, len(batch), block_variants):
-                    part = batch.iloc[v : v + block_variants]
-                    x = np.zeros((len(part), len(y)))
-                    for row, at in enumerate(part["at"]):
-                        x[row, at] = 1.0
-                    yield pd.DataFrame(
-                        {
-                            "perm_id": np.tile(ids, len(part)),
-                            "variant": np.repeat(part["variant"].to_numpy(), len(ids)),
-                            "t": (x @ drawn).ravel(),
-                        }
-                    )
-
-    return packed.mapInPandas(multiply, "perm_id int, variant string, t double")
+                for block, rows in batch.groupby("block"):
+                    start = block * width
+                    samples = drawn[start : start + width]
+                    for v in range(0, len(rows), block_variants):
+                        part = rows.iloc[v : v + block_variants]
+                        x = np.zeros((len(part), len(samples)))
+                        for row, at in enumerate(part["at"]):
+                            x[row, at - start] = 1.0
+                        yield pd.DataFrame(
+                            {
+                                "perm_id": np.tile(ids, len(part)),
+                                "variant": np.repeat(part["variant"].to_numpy(), len(ids)),
+                                "t": (x @ samples).ravel(),
+                            }
+                        )
+
+    sums = packed.mapInPandas(multiply, "perm_id int, variant string, t double")
+    if len(vector) <= width:
+        return sums
+    return sums.groupBy("perm_id", "variant").agg(F.sum("t").alias("t"))
 
 
 def association_statistics(sums: DataFrame, terms: DataFrame) -> DataFrame:
@@ -177,13 +187,13 @@ def association_scan(
 ) -> DataFrame:
     """Statistics of every (permutation, variant); permutation 0 is the observed trait.
 
-    Up to ``PACKED_SAMPLES`` samples the sums come from matrix products over numpy-drawn permutations.
+    Up to ``VECTOR_SAMPLES`` samples the sums come from matrix products over numpy-drawn permutations.
     Beyond that, or with a table of ``permuted`` phenotypes, they come from a join on the sample.
     """
     carriers = stage(carriers_of(presence, pheno), "carriers")
     terms = stage(variant_terms(carriers, pheno, variants, min_af, max_af), "terms")
     wanted = carriers.join(terms.select("variant"), "variant", "left_semi")
-    if permuted is None and pheno.count() <= PACKED_SAMPLES:
+    if permuted is None and pheno.count() <= permute.VECTOR_SAMPLES:
         sums = sums_by_blocks(wanted, pheno, n_perms, seed)
     else:
         if permuted is None:

@@ -6,26 +6,29 @@ from pyspark.sql import functions as F
 from .ordering import running_min_descending, running_total, with_chunks
 
 
+# Observed rows that are sent to every task: 16 MB of ids and values.
+BROADCAST_ROWS = 1_000_000
+
+
 def empirical_p_per_variant(
-    observed: DataFrame, null: DataFrame, key: str = "variant_id", column: str = "lrt_pvalue", salts: int = 8
+    observed: DataFrame, null: DataFrame, key: str = "variant_id", column: str = "lrt_pvalue", salts: int = 16
 ) -> DataFrame:
     """Fraction of permuted runs whose statistic is at least as extreme as the observed one, per variant.
 
-    The join key is salted by run, so that a variant with very many permuted rows is shared by ``salts`` tasks.
+    One run's observed values normally fit into every task, and the permuted rows then stay where they are.
+    Above ``BROADCAST_ROWS`` both sides are shuffled, the key salted by run so that a variant with very
+    many permuted rows is shared by ``salts`` tasks.
     """
     seen = observed.select(key, F.col(column).cast("double").alias("seen")).where("seen is not null")
-    copies = seen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    drawn = null.select(
-        key,
-        F.col(column).cast("double").alias("drawn"),
-        F.pmod(F.hash("source_file"), F.lit(salts)).alias("salt"),
-    ).where("drawn is not null")
+    drawn = null.select(key, F.col(column).cast("double").alias("drawn"), "source_file").where("drawn is not null")
+    if seen.count() <= BROADCAST_ROWS:
+        pairs = drawn.join(F.broadcast(seen), key)
+    else:
+        copies = seen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = drawn.withColumn("salt", F.pmod(F.hash("source_file"), F.lit(salts)))
+        pairs = salted.join(copies, [key, "salt"])
     hit = F.when(F.col("drawn") <= F.col("seen"), 1.0).otherwise(0.0)
-    return (
-        copies.join(drawn, [key, "salt"])
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n_null"), F.avg(hit).alias("empirical_p"))
-    )
+    return pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n_null"), F.avg(hit).alias("empirical_p"))
 
 
 def empirical_p_pooled(

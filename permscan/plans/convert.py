@@ -17,10 +17,10 @@ from ..operators.normalize import (
 from ..operators.ordering import row_index
 from ..operators.redundancy import order_marks
 from ..schema import CONVERT_FAILED, CONVERTED, RESULT_COLUMNS
-from ..sources.files import delete, exists, result_files
+from ..sources.files import result_files
 from ..sources.results import first_header, has_result_header, headers, read_variants, scan_text, typed
 from ..sources.writers import write_events, write_facts, write_variants
-from ..staging import stage
+from ..staging import delete, exists, new_path, stage
 
 NORMALIZED = "normalized"
 INLINE = "inline"
@@ -41,7 +41,7 @@ def _origin(path):
     return F.when(path.rlike(r"/source_file=[^/]+/[^/]*$"), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(path)
 
 
-def stage_lines(spark: SparkSession, paths) -> DataFrame:
+def stage_lines(spark: SparkSession, paths, folder: str | None = None) -> DataFrame:
     """Typed rows of all readable files, written once.
 
     Files normally share one header, which Spark verifies during the scan. Only if that fails are the
@@ -51,7 +51,7 @@ def stage_lines(spark: SparkSession, paths) -> DataFrame:
     common_error = None
     if has_result_header(names):
         try:
-            return stage(typed(scan_text(spark, paths, names)), "lines")
+            return stage(typed(scan_text(spark, paths, names)), "lines", folder)
         except Exception as error:  # a file with another header; told apart below
             common_error = error
     found = (
@@ -69,7 +69,7 @@ def stage_lines(spark: SparkSession, paths) -> DataFrame:
     ]
     if not scans:
         raise ValueError(f"No file has the columns {RESULT_COLUMNS}")
-    return stage(reduce(DataFrame.unionByName, scans), "lines")
+    return stage(reduce(DataFrame.unionByName, scans), "lines", folder)
 
 
 def _quality(rows: DataFrame, positions: bool) -> DataFrame:
@@ -126,7 +126,8 @@ def convert(
     files = stage(result_files(spark, source), "files")
     if files.isEmpty():
         raise ValueError(f"No result files found in {source}")
-    lines = stage_lines(spark, source)
+    scratch = new_path(spark, "conversion")
+    lines = stage_lines(spark, source, scratch)
     if layout == NORMALIZED:
         lines = row_index(lines)
     quality = stage(_quality(lines, layout == NORMALIZED), "quality")
@@ -156,6 +157,7 @@ def convert(
     events = stage(_events(files, quality, time.monotonic() - started, facts_path), "events")
     if events_path:
         write_events(events, events_path, events_mode)
+    delete(spark, scratch)
     if delete_source:
         delete_converted(spark, events)
     return Conversion(facts_path, None if layout == INLINE else reference_path, events)

@@ -1,4 +1,4 @@
-"""File listings and file-system calls that move no data."""
+"""File listings; no data is read."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,19 +34,3 @@ def first_files(spark: SparkSession, run_dir: str, sample: int = 5, suffix: str
     listed = result_files(spark, run_dir, suffix)
     names = listed.select("source_file").distinct().orderBy("source_file").limit(sample)
     return [r.path for r in listed.join(names, "source_file", "left_semi").orderBy("path").collect()]
-
-
-def _hadoop(spark: SparkSession, path: str):
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _hadoop(spark, path)
-    return fs.exists(target)
-
-
-def delete(spark: SparkSession, path: str) -> bool:
-    """Remove one file or folder; False when it was already gone."""
-    fs, target = _hadoop(spark, path)
-    return fs.delete(target, True)

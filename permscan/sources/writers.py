@@ -21,15 +21,17 @@ def write_facts(facts: DataFrame, path: str, mode: str = "errorifexists") -> Non
     """Result rows as zstd Parquet in buckets of permutations.
 
     With variant ids, rows are gathered by (bucket, block of ids) and ordered by id, so that per-variant
-    queries skip files and row groups; a group is at most one block of ids in one bucket of permutations.
+    queries skip files and row groups. Rebalancing lets Spark split a group that came out too large.
     Rows that carry their variant string stay in the tasks that read them: no shuffle.
     """
     bucket = F.coalesce(F.floor(F.col("perm_id") / PERMS_PER_BUCKET), F.lit(-1)).cast("int")
     placed = facts.withColumn("perm_bucket", bucket)
     if "variant_id" in facts.columns:
-        block = F.floor(F.col("variant_id") / IDS_PER_BLOCK)
-        placed = placed.repartition("perm_bucket", block).sortWithinPartitions(
-            "perm_bucket", "variant_id", "source_file"
+        placed = (
+            placed.withColumn("_block", F.floor(F.col("variant_id") / IDS_PER_BLOCK))
+            .hint("rebalance", "perm_bucket", "_block")
+            .drop("_block")
+            .sortWithinPartitions("perm_bucket", "variant_id", "source_file")
         )
     else:
         placed = placed.sortWithinPartitions("perm_bucket")
@@ -94,7 +96,7 @@ def write_permuted_phenotypes(
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    events.coalesce(1).write.mode(mode).parquet(path)
+    events.write.mode(mode).parquet(path)
 
 
 def write_summary(

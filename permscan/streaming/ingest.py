@@ -7,8 +7,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.normalize import positional_reference
 from ..operators.ordering import row_index
 from ..plans.convert import INLINE, NORMALIZED, convert, delete_converted, stage_lines
-from ..sources.files import exists, first_files
+from ..sources.files import first_files
 from ..sources.writers import write_variants
+from ..staging import exists
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 

@@ -87,7 +87,9 @@ def test_bh_against_brute_force(spark, data):
         assert got[key] == pytest.approx(q, rel=1e-12, abs=1e-300)
 
 
-def test_empirical_p(spark):
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_empirical_p(spark, monkeypatch, limit):
+    monkeypatch.setattr(empirical, "BROADCAST_ROWS", limit)
     observed = facts(spark, [("perm_0000", 1, 0.3), ("perm_0000", 2, None), ("perm_0000", 3, 0.05)])
     null = facts(spark, [("perm_0001", 1, 0.3), ("perm_0002", 1, 0.4), ("perm_0003", 1, None), ("perm_0001", 2, 0.1), ("perm_0001", 3, 0.9)])
     assert rows(empirical.empirical_p_per_variant(observed, null)) == [(1, 2, 0.5), (3, 1, 0.0)]

@@ -67,6 +67,7 @@ def test_both_forms_of_the_sums_agree(spark, pheno, presence, monkeypatch):
     assert blocks.keys() == joined.keys() and len(blocks) > 100
     assert all(blocks[k] == pytest.approx(joined[k], abs=1e-9) for k in blocks)
     monkeypatch.setattr(association, "BLOCK_VALUES", 130)
+    monkeypatch.setattr(association, "PACKED_SAMPLES", 7)
     small = {(r.perm_id, r.variant): r.t for r in association.sums_by_blocks(carriers, pheno, 5).collect()}
     assert all(blocks[k] == pytest.approx(small[k], abs=1e-9) for k in blocks)
 
@@ -90,10 +91,10 @@ def test_scan_against_regression(spark, pheno, presence):
         assert r.lrt_stat == pytest.approx(60 * math.log(((y - y.mean()) ** 2).sum() / rss), abs=1e-8)
 
 
-def test_join_form_beyond_the_packed_size(spark, pheno, presence, monkeypatch):
+def test_join_form_beyond_the_vector_size(spark, pheno, presence, monkeypatch):
     packed = association.association_scan(presence, pheno, 0 + 1)
     observed = {r.variant: r.beta for r in packed.where("perm_id = 0").collect()}
-    monkeypatch.setattr(association, "PACKED_SAMPLES", 10)
+    monkeypatch.setattr(permute, "VECTOR_SAMPLES", 10)
     joined = association.association_scan(presence, pheno, 1)
     assert {r.variant: pytest.approx(r.beta) for r in joined.where("perm_id = 0").collect()} == observed
     assert joined.select("perm_id").distinct().count() == 2
