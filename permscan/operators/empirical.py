@@ -1,9 +1,9 @@
 """Empirical p-values against the permuted statistics, and false-discovery-rate correction."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import running_min_descending, running_total, with_chunks
+from .ordering import CHUNK, chunk_offsets, running_total, with_chunks
 
 
 # Observed rows that are sent to every task: 16 MB of ids and values.
@@ -40,7 +40,8 @@ def empirical_p_pooled(
     # Observed values enter with weight 0: each finds its own running count by an equality join.
     weighted = drawn.withColumn("w", F.lit(1)).unionByName(seen.select("value", F.lit(0).alias("w")))
     chunked = with_chunks(weighted.groupBy("value").agg(F.sum("w").alias("cnt")), "value")
-    ranked = running_total(chunked, "cnt", ("value",), "upto", totals={"n": F.col("cnt")})
+    offsets = chunk_offsets(chunked, "cnt", totals={"n": F.col("cnt")})
+    ranked = running_total(chunked, offsets, "cnt", ("value",), "upto")
     table = ranked.select("value", F.try_divide(F.col("upto").cast("double"), F.col("n")).alias("empirical_p"))
     return seen.join(table, "value").select(key, "empirical_p")
 
@@ -56,9 +57,15 @@ def bh_qvalues(
     rows = permutations.select("source_file", key, F.col(column).cast("double").alias("p")).where("p is not null")
     distinct = rows.groupBy("source_file", "p").agg(F.count(F.lit(1)).alias("cnt"))
     chunked = with_chunks(distinct, "source_file", "p")
-    ranked = running_total(chunked, "cnt", ("p",), "rank", by=("source_file",), totals={"m": F.col("cnt")})
-    stepped = running_min_descending(
-        ranked, F.col("p") * F.col("m") / F.col("rank"), ("p",), "q", by=("source_file",)
-    )
-    table = stepped.select("source_file", "p", F.least(F.lit(1.0), F.col("q")).alias("q_value"))
+    by = ["source_file", CHUNK]
+    located = chunked.join(chunk_offsets(chunked, "cnt", ("source_file",), totals={"m": F.col("cnt")}), by)
+    # Counting down from the chunk's end gives the rank in the order that the step-up minimum needs anyway.
+    down = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rank = F.col("_offset") + F.col("_sum") + F.col("cnt") - F.sum("cnt").over(down)
+    raw = located.select(*by, "p", (F.col("p") * F.col("m") / rank).alias("raw"))
+    lowest = raw.groupBy(*by).agg(F.min("raw").alias("low"))
+    later = Window.partitionBy("source_file").orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
+    after = lowest.select(*by, F.min("low").over(later).alias("after"))
+    stepped = raw.select(*by, "p", F.min("raw").over(down).alias("inside")).join(after, by)
+    table = stepped.select("source_file", "p", F.least(F.lit(1.0), "inside", "after").alias("q_value"))
     return rows.join(table, ["source_file", "p"]).select("source_file", key, "q_value")

@@ -29,17 +29,9 @@ def _join_chunks(df: DataFrame, per_chunk: DataFrame, by: tuple) -> DataFrame:
     return df.join(per_chunk, [*by, CHUNK])
 
 
-def running_total(
-    chunked: DataFrame,
-    value: str,
-    order: tuple,
-    out: str,
-    by: tuple = (),
-    totals: dict[str, Column] | None = None,
-) -> DataFrame:
-    """Inclusive running sum of ``value`` along the unique key ``order`` within ``by``.
+def chunk_offsets(chunked: DataFrame, value: str, by: tuple = (), totals: dict[str, Column] | None = None) -> DataFrame:
+    """One row per group and chunk: the sum of ``value`` in the chunk and in the chunks before it.
 
-    ``chunked`` comes from :func:`with_chunks` over ``(*by, *order)``; the ``by`` columns are never NULL.
     ``totals`` names sums over the whole group that every row gets as well.
     """
     totals = totals or {}
@@ -47,37 +39,28 @@ def running_total(
         F.sum(value).alias("_sum"), *[F.sum(c).alias(f"_{name}") for name, c in totals.items()]
     )
     group = Window.partitionBy(*by)
-    offsets = sums.select(
+    return sums.select(
         *by,
         CHUNK,
+        "_sum",
         F.coalesce(F.sum("_sum").over(_before(by)), F.lit(0)).alias("_offset"),
         *[F.sum(f"_{name}").over(group).alias(name) for name in totals],
     )
-    inside = (
-        Window.partitionBy(*by, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = chunked.withColumn(out, F.sum(value).over(inside))
-    joined = _join_chunks(local, offsets, by)
-    return joined.withColumn(out, F.col(out) + F.col("_offset")).drop("_offset")
 
 
-def running_min_descending(
-    chunked: DataFrame, value: Column, order: tuple, out: str, by: tuple = ()
+def running_total(
+    chunked: DataFrame, offsets: DataFrame, value: str, order: tuple, out: str, by: tuple = ()
 ) -> DataFrame:
-    """Minimum of ``value`` over this row and all later ones along ``order`` within ``by``."""
-    valued = chunked.withColumn(out, value)
-    lowest = valued.groupBy(*by, CHUNK).agg(F.min(out).alias("_low"))
-    later = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
-    after = lowest.select(*by, CHUNK, F.min("_low").over(later).alias("_after"))
-    descending = [F.col(c).desc() for c in order]
+    """Inclusive running sum of ``value`` along the unique key ``order`` within ``by``, for the chunks in ``offsets``.
+
+    ``chunked`` comes from :func:`with_chunks` over ``(*by, *order)``; the ``by`` columns are never NULL.
+    """
     inside = (
-        Window.partitionBy(*by, CHUNK)
-        .orderBy(*descending)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*by, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = valued.withColumn(out, F.min(out).over(inside))
-    joined = _join_chunks(local, after, by)
-    return joined.withColumn(out, F.least(out, "_after")).drop("_after")
+    local = chunked.withColumn(out, F.sum(value).over(inside))
+    joined = _join_chunks(local, offsets.drop("_sum"), by)
+    return joined.withColumn(out, F.col(out) + F.col("_offset")).drop("_offset")
 
 
 def dense_index(df: DataFrame, *order: str, out: str = "pos") -> DataFrame:

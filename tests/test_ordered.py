@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from permscan.operators import empirical, summaries
-from permscan.operators.ordering import CHUNK, dense_index, running_total, with_chunks
+from permscan.operators.ordering import CHUNK, chunk_offsets, dense_index, running_total, with_chunks
 
 SLOW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -21,7 +21,8 @@ def test_hot_group_is_spread_over_chunks(spark):
     largest = chunked.groupBy("g", CHUNK).count().agg(F.max("count")).first()[0]
     assert chunked.where("g = 'hot'").select(CHUNK).distinct().count() > 1
     assert largest < 2000
-    got = running_total(chunked, "w", ("id",), "upto", by=("g",), totals={"n": F.col("w")})
+    offsets = chunk_offsets(chunked, "w", ("g",), totals={"n": F.col("w")})
+    got = running_total(chunked, offsets, "w", ("id",), "upto", ("g",))
     ids = {"hot": range(2000), "cold": range(2000, 3000)}
     expected = sorted((g, i, at + 1, len(r)) for g, r in ids.items() for at, i in enumerate(r))
     assert sorted(map(tuple, got.select("g", "id", "upto", "n").collect())) == expected
