@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
 from .ordering import CHUNK, chunk_offsets, running_total, with_chunks
 
 
@@ -63,9 +64,11 @@ def bh_qvalues(
     down = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rank = F.col("_offset") + F.col("_sum") + F.col("cnt") - F.sum("cnt").over(down)
     raw = located.select(*by, "p", (F.col("p") * F.col("m") / rank).alias("raw"))
-    lowest = raw.groupBy(*by).agg(F.min("raw").alias("low"))
+    steps = stage(raw.select(*by, "p", F.min("raw").over(down).alias("inside")), "steps")
+    lowest = steps.groupBy(*by).agg(F.min("inside").alias("low"))
     later = Window.partitionBy("source_file").orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
     after = lowest.select(*by, F.min("low").over(later).alias("after"))
-    stepped = raw.select(*by, "p", F.min("raw").over(down).alias("inside")).join(after, by)
-    table = stepped.select("source_file", "p", F.least(F.lit(1.0), "inside", "after").alias("q_value"))
+    table = steps.join(after, by).select(
+        "source_file", "p", F.least(F.lit(1.0), "inside", "after").alias("q_value")
+    )
     return rows.join(table, ["source_file", "p"]).select("source_file", key, "q_value")
