@@ -1,19 +1,17 @@
 """Single-variant association of a permuted trait in closed form (fixed effects, ordinary least squares).
 
-Only T, the sum of the phenotype over a variant's carriers, depends on the permutation. Carrier counts are
-worked out once per variant, and the phenotype's mean and sum of squares once overall.
+Only t, the sum of the phenotype over a variant's carriers, depends on the permutation. The number k of
+carriers belongs to the variant, and the phenotype's mean and sum of squares to the whole scan.
 """
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chi2_tail, perm_name, three_digits
 from ..schema import DEFAULT_SEED, MAX_AF, MIN_AF, NUMERIC_COLUMNS, RESULT_COLUMNS
-from ..staging import stage
-from . import permute
-from .permute import keyed_permutations, phenotype_vector, shuffled
+from .permute import TooManySamples, keyed_permutations, phenotype_vector, shuffled
 
 OBSERVED = 0
 # Consecutive samples whose carriers are packed into one row per variant.
@@ -24,72 +22,48 @@ BLOCK_VALUES = 4_000_000
 OUTPUT_ROWS = 500_000
 
 
-def carriers_of(presence: DataFrame, pheno: DataFrame) -> DataFrame:
-    """Distinct (variant, sample) pairs that are present, with the sample's number of phenotype rows."""
+def carriers_of(presence: DataFrame) -> DataFrame:
+    """Distinct (variant, sample) pairs that are present."""
     if "present" in presence.columns:
         presence = presence.where("present <> 0")
-    pairs = presence.select("variant", F.col("sample").cast("string").alias("sample")).distinct()
-    return pairs.join(pheno.groupBy("sample").agg(F.count(F.lit(1)).alias("copies")), "sample")
-
-
-def phenotype_moments(pheno: DataFrame) -> Column:
-    """Scalar struct of what no permutation changes: n, mean, centred sum of squares."""
-    n = F.count("phenotype")
-    return pheno.agg(
-        F.struct(
-            n.alias("n"), F.avg("phenotype").alias("mean"), (F.var_pop("phenotype") * n).alias("syy")
-        ).alias("moments")
-    ).scalar()
-
-
-def variant_terms(
-    carriers: DataFrame,
-    pheno: DataFrame,
-    variants: DataFrame | None = None,
-    min_af: float = MIN_AF,
-    max_af: float = MAX_AF,
-) -> DataFrame:
-    """Per-variant part shared by all permutations: k, af, sxx, inside the frequency band.
-
-    ``carriers`` comes from :func:`carriers_of`. Variants nobody carries come from ``variants``.
-    """
-    counted = carriers.groupBy("variant").agg(F.sum("copies").alias("k"))
-    if variants is not None:
-        counted = variants.select("variant").distinct().join(counted, "variant", "left").fillna(0, ["k"])
-    k = F.col("k").cast("double")
-    n = F.col("m.n")
-    return (
-        counted.withColumn("m", phenotype_moments(pheno))
-        .select("variant", "k", "m", (k / n).alias("af"), (k - k * k / n).alias("sxx"))
-        .where(F.col("af").between(min_af, max_af))
-    )
+    return presence.select("variant", F.col("sample").cast("string").alias("sample")).distinct()
 
 
 def sums_by_join(carriers: DataFrame, permuted: DataFrame) -> DataFrame:
-    """(perm_id, variant, t) by joining carriers with permuted phenotypes on the sample.
+    """(perm_id, variant, k, t) by joining carriers with permuted phenotypes on the sample.
 
     For any number of samples; sums are formed before the shuffle on (perm_id, variant).
     """
     return (
-        carriers.join(permuted, "sample").groupBy("perm_id", "variant").agg(F.sum("phenotype").alias("t"))
+        carriers.join(permuted, "sample")
+        .groupBy("perm_id", "variant")
+        .agg(F.count(F.lit(1)).alias("k"), F.sum("phenotype").alias("t"))
     )
 
 
 def sums_by_blocks(
-    carriers: DataFrame, pheno: DataFrame, n_perms: int, seed: int = DEFAULT_SEED, observed: bool = True
+    carriers: DataFrame,
+    pheno: DataFrame,
+    n_perms: int,
+    seed: int = DEFAULT_SEED,
+    variants: DataFrame | None = None,
+    min_af: float = 0.0,
+    max_af: float = 1.0,
 ) -> DataFrame:
-    """(perm_id, variant, t) by matrix products, without a row per (permutation, carrier).
+    """(perm_id, variant, k, t) by matrix products, without a row per (permutation, carrier).
 
-    Each task turns its variants' carriers into dense 0/1 blocks and multiplies them with blocks of permuted
+    A variant's carriers are counted and packed once, checked against the frequency band, and then reused for
+    all permutations: each task turns them into dense 0/1 blocks and multiplies these with blocks of permuted
     phenotypes, which it draws itself from the shared phenotype vector. Permutation 0 is the trait as
     observed. With more than ``PACKED_SAMPLES`` samples a variant has several blocks, whose sums are added.
     """
     spark = carriers.sparkSession
     vector = phenotype_vector(pheno)
+    samples_total = len(vector)
     values = spark.sparkContext.broadcast(vector["phenotype"].to_numpy())
     width = PACKED_SAMPLES
     positions = spark.createDataFrame(
-        pd.DataFrame({"sample": vector["sample"], "at": np.arange(len(vector), dtype="int32")}),
+        pd.DataFrame({"sample": vector["sample"], "at": np.arange(samples_total, dtype="int32")}),
         "sample string, at int",
     )
     packed = (
@@ -97,8 +71,15 @@ def sums_by_blocks(
         .groupBy("variant", F.floor(F.col("at") / width).cast("int").alias("block"))
         .agg(F.collect_list("at").alias("at"))
     )
-    first = OBSERVED if observed else OBSERVED + 1
-    perms = np.arange(first, n_perms + 1, dtype="int32")
+    if variants is not None:
+        packed = variants.select("variant").distinct().join(packed, "variant", "left")
+        packed = packed.select("variant", F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("at", F.array()).alias("at"))
+    k = F.size("at").cast("long")
+    if samples_total > width:
+        k = F.sum(k).over(Window.partitionBy("variant"))  # one row per block of samples
+    frequency = F.col("k") / F.lit(max(samples_total, 1))
+    packed = packed.withColumn("k", k).where(frequency.between(min_af, max_af))
+    perms = np.arange(OBSERVED, n_perms + 1, dtype="int32")
 
     def multiply(batches):
         y = values.value
@@ -120,35 +101,51 @@ def sums_by_blocks(
                             {
                                 "perm_id": np.tile(ids, len(part)),
                                 "variant": np.repeat(part["variant"].to_numpy(), len(ids)),
+                                "k": np.repeat(part["k"].to_numpy(), len(ids)),
                                 "t": (x @ samples).ravel(),
                             }
                         )
 
-    sums = packed.mapInPandas(multiply, "perm_id int, variant string, t double")
-    if len(vector) <= width:
+    sums = packed.mapInPandas(multiply, "perm_id int, variant string, k long, t double")
+    if samples_total <= width:
         return sums
-    return sums.groupBy("perm_id", "variant").agg(F.sum("t").alias("t"))
+    return sums.groupBy("perm_id", "variant").agg(F.max("k").alias("k"), F.sum("t").alias("t"))
 
 
-def association_statistics(sums: DataFrame, terms: DataFrame) -> DataFrame:
-    """beta, its standard error, r² and the likelihood-ratio statistic from the sums.
+def phenotype_moments(pheno: DataFrame) -> Column:
+    """Scalar struct of what no permutation changes: n, mean, centred sum of squares."""
+    n = F.count("phenotype")
+    return pheno.agg(
+        F.struct(
+            n.alias("n"), F.avg("phenotype").alias("mean"), (F.var_pop("phenotype") * n).alias("syy")
+        ).alias("moments")
+    ).scalar()
+
+
+def association_statistics(
+    sums: DataFrame, pheno: DataFrame, min_af: float = MIN_AF, max_af: float = MAX_AF
+) -> DataFrame:
+    """af, beta, its standard error, r² and the likelihood-ratio statistic from (perm_id, variant, k, t).
 
-    A variant without variation, or one that fits the trait perfectly, gets NULL statistics and a note.
+    Keeps variants inside the frequency band. One without variation, or one that fits the trait perfectly,
+    gets NULL statistics and a note.
     """
-    k = F.col("k").cast("double")
-    usable = F.col("sxx") > 0
-    joined = sums.join(terms, "variant").withColumn("sxy", F.col("t") - k * F.col("m.mean"))
-    fitted = joined.select(
+    k, n, syy = F.col("k").cast("double"), F.col("m.n"), F.col("m.syy")
+    terms = (
+        sums.withColumn("m", phenotype_moments(pheno))
+        .withColumns({"af": k / n, "sxx": k - k * k / n, "sxy": F.col("t") - k * F.col("m.mean")})
+        .where(F.col("af").between(min_af, max_af))
+    )
+    sxx, sxy = F.col("sxx"), F.col("sxy")
+    fitted = terms.select(
         "perm_id",
         "variant",
         "af",
         "sxx",
-        F.when(usable, F.col("sxy") / F.col("sxx")).alias("slope"),
-        F.when(
-            usable & (F.col("m.syy") > 0), F.col("sxy") * F.col("sxy") / (F.col("sxx") * F.col("m.syy"))
-        ).alias("fit"),
-        (F.col("m.syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx"))).alias("rss"),
-        F.col("m.n").alias("n"),
+        F.try_divide(sxy, sxx).alias("slope"),
+        F.try_divide(sxy * sxy, sxx * syy).alias("fit"),
+        (syy - F.try_divide(sxy * sxy, sxx)).alias("rss"),
+        n.alias("n"),
     )
     perfect = F.col("fit") >= 1.0 - 1e-12
     testable = F.col("fit").isNotNull() & ~perfect & (F.col("n") > 2)
@@ -168,13 +165,6 @@ def association_statistics(sums: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def with_zero_sums(sums: DataFrame, terms: DataFrame, n_perms: int) -> DataFrame:
-    """Add t = 0 for variants nobody carries, which have no sums."""
-    every = F.explode(F.sequence(F.lit(OBSERVED), F.lit(n_perms))).alias("perm_id")
-    nobody = terms.where("k = 0").select(every, "variant", F.lit(0.0).alias("t"))
-    return sums.unionByName(nobody)
-
-
 def association_scan(
     presence: DataFrame,
     pheno: DataFrame,
@@ -189,20 +179,26 @@ def association_scan(
 
     Up to ``VECTOR_SAMPLES`` samples the sums come from matrix products over numpy-drawn permutations.
     Beyond that, or with a table of ``permuted`` phenotypes, they come from a join on the sample.
+    Variants nobody carries take part when ``variants`` lists them.
     """
-    carriers = stage(carriers_of(presence, pheno), "carriers")
-    terms = stage(variant_terms(carriers, pheno, variants, min_af, max_af), "terms")
-    wanted = carriers.join(terms.select("variant"), "variant", "left_semi")
-    if permuted is None and pheno.count() <= permute.VECTOR_SAMPLES:
-        sums = sums_by_blocks(wanted, pheno, n_perms, seed)
-    else:
-        if permuted is None:
-            observed = pheno.select(F.lit(OBSERVED).alias("perm_id"), "sample", "phenotype")
-            permuted = observed.unionByName(keyed_permutations(pheno, n_perms, seed))
-        sums = sums_by_join(wanted, permuted)
-    if variants is not None and min_af <= 0:
-        sums = with_zero_sums(sums, terms, n_perms)
-    return association_statistics(sums, terms)
+    carriers = carriers_of(presence)
+    if permuted is None:
+        try:
+            sums = sums_by_blocks(carriers, pheno, n_perms, seed, variants, min_af, max_af)
+            return association_statistics(sums, pheno, min_af, max_af)
+        except TooManySamples:
+            permuted = pheno.select(F.lit(OBSERVED).alias("perm_id"), "sample", "phenotype")
+            if n_perms:
+                permuted = permuted.unionByName(keyed_permutations(pheno, n_perms, seed))
+    sums = sums_by_join(carriers, permuted)
+    if variants is not None:
+        held = carriers.join(pheno, "sample", "left_semi").select("variant")
+        nobody = variants.select("variant").distinct().join(held, "variant", "left_anti")
+        perms = permuted.select("perm_id").distinct().agg(F.collect_list("perm_id")).scalar()
+        sums = sums.unionByName(
+            nobody.select(F.explode(perms).alias("perm_id"), "variant", F.lit(0).alias("k"), F.lit(0.0).alias("t"))
+        )
+    return association_statistics(sums, pheno, min_af, max_af)
 
 
 def result_rows(statistics: DataFrame, prefix: str = "perm") -> DataFrame:

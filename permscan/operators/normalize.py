@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import dense_index
+from .ordering import dense_index, fits_one_task
 from .redundancy import MARKS, first_difference, order_fingerprints, reference_fingerprint
 
 
@@ -46,7 +46,7 @@ def check_against_reference(
 def variant_dictionary(rows: DataFrame) -> DataFrame:
     """(variant_id, variant) over the union of all variants, ids in text order of the variants."""
     distinct = rows.select("variant").where("variant is not null").distinct()
-    return dense_index(distinct, "variant", out="variant_id").select(
+    return dense_index(distinct, "variant", out="variant_id", one_task=fits_one_task(rows)).select(
         F.col("variant_id").cast("int").alias("variant_id"), "variant"
     )
 

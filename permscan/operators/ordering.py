@@ -2,7 +2,8 @@
 
 Rows are range-partitioned the way a distributed sort does it and the chunk number is frozen in a staged
 table. Chunk totals (one row per chunk and group) then give each chunk its offset, and only rows of one
-chunk meet in a window. A group holding most of the rows is therefore spread over many chunks.
+chunk meet in a window. A group holding most of the rows is therefore spread over many chunks. Callers may use
+plain windows instead below a counted number of rows.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,16 @@ from pyspark.sql import functions as F
 from ..staging import stage
 
 CHUNK = "_chunk"
+# Rows, by count, that a single task may order.
+ONE_TASK_ROWS = 1_000_000
+
+
+def fits_one_task(df: DataFrame, known: bool | None = None) -> bool:
+    """Whether ``df`` is small enough for plain windows; for a Parquet table the count reads footers only.
+
+    ``known`` is the answer where the caller has one, so that no row is counted.
+    """
+    return df.count() <= ONE_TASK_ROWS if known is None else known
 
 
 def with_chunks(df: DataFrame, *order: str, partitions: int | None = None) -> DataFrame:
@@ -63,8 +74,10 @@ def running_total(
     return joined.withColumn(out, F.col(out) + F.col("_offset")).drop("_offset")
 
 
-def dense_index(df: DataFrame, *order: str, out: str = "pos") -> DataFrame:
+def dense_index(df: DataFrame, *order: str, out: str = "pos", one_task: bool | None = None) -> DataFrame:
     """Position 0, 1, 2, … of every row along ``order``. Rows equal in ``order`` get arbitrary neighbours."""
+    if fits_one_task(df, one_task):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy().orderBy(*order)) - 1)
     chunked = with_chunks(df, *order)
     sizes = chunked.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("_rows"))
     offsets = sizes.select(CHUNK, F.coalesce(F.sum("_rows").over(_before(())), F.lit(0)).alias("_offset"))

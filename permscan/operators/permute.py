@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_SEED
-from .ordering import dense_index
+from .ordering import ONE_TASK_ROWS, dense_index
 
 # Largest phenotype vector handed to every task: 2 million doubles, 16 MB.
 VECTOR_SAMPLES = 2_000_000
@@ -70,8 +70,11 @@ def keyed_permutations(
     spread evenly, so their leading digits cut each permutation into groups of at most about
     ``rank_rows`` rows, and the group sizes give each group its offset.
     """
-    ordered = dense_index(pheno.select("sample", "phenotype"), "sample", out="pos")
-    rows = ordered.count()
+    if n_perms < 1:
+        raise ValueError("At least one permutation is needed")
+    rows = pheno.count()
+    small = rows <= min(ONE_TASK_ROWS, rank_rows)
+    ordered = dense_index(pheno.select("sample", "phenotype"), "sample", out="pos", one_task=small)
     digits = max(0, math.ceil(math.log(max(rows, 1) / rank_rows, 16)))
     perms = F.explode(F.sequence(F.lit(1), F.lit(n_perms))).alias("perm_id")
     text = F.concat_ws(":", F.lit(str(seed)), F.col("perm_id").cast("string"), F.col("sample"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import flags, source_name
 from ..schema import CONVERTED
-from .ordering import CHUNK, chunk_offsets, running_total, with_chunks
+from .ordering import CHUNK, chunk_offsets, fits_one_task, running_total, with_chunks
 
 
 def _histogram(df: DataFrame, column: str) -> DataFrame:
@@ -44,19 +44,40 @@ def _cuts(histogram: DataFrame, probabilities: dict[str, float]) -> DataFrame:
     return counted.agg(*found)
 
 
-def quantiles(df: DataFrame, column: str, probabilities: dict[str, float]) -> DataFrame:
+def quantiles(
+    df: DataFrame, column: str, probabilities: dict[str, float], one_task: bool | None = None
+) -> DataFrame:
     """Exact interpolated quantiles of a column as one row, one column per named probability."""
+    if fits_one_task(df, one_task):
+        value = F.col(column).cast("double")
+        return df.agg(*[F.percentile(value, q).alias(name) for name, q in probabilities.items()])
     return _cuts(_histogram(df, column), probabilities)
 
 
-def pooled_null_distribution(permutations: DataFrame, column: str = "lrt_pvalue") -> DataFrame:
+POOLED_CUTS = {"p01": 0.01, "median": 0.5, "p99": 0.99}
+
+
+def pooled_null_distribution(
+    permutations: DataFrame, column: str = "lrt_pvalue", one_task: bool | None = None
+) -> DataFrame:
     """One row describing ``column`` over all permutations together."""
+    if fits_one_task(permutations, one_task):
+        value = F.col(column).cast("double")
+        return permutations.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count(value).alias("n_non_null"),
+            F.min(value).alias("min"),
+            *[F.percentile(value, q).alias(name) for name, q in POOLED_CUTS.items()],
+            F.max(value).alias("max"),
+            F.avg(value).alias("mean"),
+            F.stddev(value).alias("stddev"),
+        )
     histogram = _histogram(permutations, column)
     sums = histogram.agg(
         F.sum("known").alias("n"), F.sum(F.col("value") * F.col("known")).alias("weighted")
     )
     mean = sums.select(F.try_divide("weighted", "n")).scalar()
-    cuts = _cuts(histogram, {"p01": 0.01, "median": 0.5, "p99": 0.99})
+    cuts = _cuts(histogram, POOLED_CUTS)
     off = F.col("value") - F.col("center")
     known = F.sum("known")
     described = histogram.withColumn("center", mean).agg(
@@ -90,7 +111,7 @@ def per_run_summary(permutations: DataFrame, column: str = "lrt_pvalue") -> Data
 def permutation_threshold(permutations: DataFrame, alpha: float = 0.05, column: str = "lrt_pvalue") -> DataFrame:
     """Lower ``alpha`` quantile of the smallest ``column`` of each run."""
     smallest = permutations.groupBy("source_file").agg(F.min(F.col(column).cast("double")).alias("smallest"))
-    return quantiles(smallest, "smallest", {"threshold": alpha})
+    return quantiles(smallest, "smallest", {"threshold": alpha}, one_task=fits_one_task(permutations))
 
 
 def qc_flag_counts(permutations: DataFrame, per_run: bool = True) -> DataFrame:

@@ -260,3 +260,12 @@ from customer left join r on r.job=c_custkey""",
     "sql_window": _with(PERM) + SQL_WINDOW.replace("with ranked", ", ranked"),
     "sql_sets": _with(PERM, VAR) + SQL_SETS,
 }
+
+# The forms of one operator for small and for large inputs answer the same statement.
+ORACLE |= {
+    "pooled_null_histogram": ORACLE["pooled_null"],
+    "empirical_p_variant_salted": ORACLE["empirical_p_variant"],
+    "empirical_p_pooled_chunks": ORACLE["empirical_p_pooled"],
+    "bh_qvalues_chunks": ORACLE["bh_qvalues"],
+    "keyed_permutation_chunks": ORACLE["keyed_permutation"],
+}

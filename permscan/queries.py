@@ -22,6 +22,11 @@ def pooled_null(spark, sf):
     return summaries.pooled_null_distribution(tables.permutations(spark, sf))
 
 
+def pooled_null_histogram(spark, sf):
+    """The form for any number of rows."""
+    return summaries.pooled_null_distribution(tables.permutations(spark, sf), one_task=False)
+
+
 def per_run_summary(spark, sf):
     return summaries.per_run_summary(tables.permutations(spark, sf))
 
@@ -96,6 +101,18 @@ def empirical_p_pooled(spark, sf):
     return empirical.empirical_p_pooled(*_split_observed(spark, sf))
 
 
+def empirical_p_variant_salted(spark, sf):
+    return empirical.empirical_p_per_variant(*_split_observed(spark, sf), broadcast_rows=0)
+
+
+def empirical_p_pooled_chunks(spark, sf):
+    return empirical.empirical_p_pooled(*_split_observed(spark, sf), one_task=False)
+
+
+def bh_qvalues_chunks(spark, sf):
+    return empirical.bh_qvalues(tables.permutations(spark, sf), one_task=False)
+
+
 def bh_qvalues(spark, sf):
     return empirical.bh_qvalues(tables.permutations(spark, sf))
 
@@ -130,6 +147,11 @@ def keyed_permutation(spark, sf):
     return permute.keyed_permutations(tables.phenotype(spark, sf), tables.PERMUTATIONS, SEED)
 
 
+def keyed_permutation_chunks(spark, sf):
+    pheno = tables.phenotype(spark, sf)
+    return permute.keyed_permutations(pheno, tables.PERMUTATIONS, SEED, rank_rows=100)
+
+
 def numpy_permutation(spark, sf):
     return permute.numpy_permutations(tables.phenotype(spark, sf), tables.PERMUTATIONS, SEED)
 
@@ -390,6 +412,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         pooled_null,
+        pooled_null_histogram,
         per_run_summary,
         minp_threshold,
         column_quantiles,
@@ -404,13 +427,17 @@ QUERIES = {
         qc_flag_counts,
         qc_flag_totals,
         empirical_p_variant,
+        empirical_p_variant_salted,
         empirical_p_pooled,
+        empirical_p_pooled_chunks,
         bh_qvalues,
+        bh_qvalues_chunks,
         trait_extract,
         trait_valid_counts,
         master_file_traits,
         phenotype_file,
         keyed_permutation,
+        keyed_permutation_chunks,
         numpy_permutation,
         numpy_permutation_moments,
         permuted_files,

@@ -59,16 +59,17 @@ def test_keyed_permutations_keep_repeated_samples(spark):
 
 
 def test_both_forms_of_the_sums_agree(spark, pheno, presence, monkeypatch):
-    carriers = association.carriers_of(presence, pheno)
-    blocks = {(r.perm_id, r.variant): r.t for r in association.sums_by_blocks(carriers, pheno, 5).collect()}
+    carriers = association.carriers_of(presence)
+    blocks = {(r.perm_id, r.variant): (r.k, r.t) for r in association.sums_by_blocks(carriers, pheno, 5).collect()}
     observed = pheno.select(F.lit(0).alias("perm_id"), "sample", "phenotype")
     drawn = observed.unionByName(permute.numpy_permutations(pheno, 5))
-    joined = {(r.perm_id, r.variant): r.t for r in association.sums_by_join(carriers, drawn).collect()}
+    joined = {(r.perm_id, r.variant): (r.k, r.t) for r in association.sums_by_join(carriers, drawn).collect()}
     assert blocks.keys() == joined.keys() and len(blocks) > 100
     assert all(blocks[k] == pytest.approx(joined[k], abs=1e-9) for k in blocks)
+    assert sorted(joined) == sorted(blocks)
     monkeypatch.setattr(association, "BLOCK_VALUES", 130)
     monkeypatch.setattr(association, "PACKED_SAMPLES", 7)
-    small = {(r.perm_id, r.variant): r.t for r in association.sums_by_blocks(carriers, pheno, 5).collect()}
+    small = {(r.perm_id, r.variant): (r.k, r.t) for r in association.sums_by_blocks(carriers, pheno, 5).collect()}
     assert all(blocks[k] == pytest.approx(small[k], abs=1e-9) for k in blocks)
 
 
@@ -100,7 +101,9 @@ def test_join_form_beyond_the_vector_size(spark, pheno, presence, monkeypatch):
     assert joined.select("perm_id").distinct().count() == 2
 
 
-def test_degenerate_variants(spark, pheno, presence):
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_degenerate_variants(spark, pheno, presence, monkeypatch, limit):
+    monkeypatch.setattr(permute, "VECTOR_SAMPLES", limit)
     names = spark.createDataFrame([("nobody",), ("all",), ("v10",)], "variant string")
     scan = association.association_scan(presence, pheno, 2, variants=names, min_af=0.0, max_af=1.0)
     got = {(r.variant, r.perm_id): r for r in scan.collect()}
