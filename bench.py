@@ -15,6 +15,7 @@ from pathlib import Path
 
 from permscan.queries import QUERIES
 from permscan.session import local_session
+from permscan.staging import release
 
 HEADLINE = [
     "pooled_null",
@@ -62,6 +63,7 @@ def main():
         timed(spark, sf_dir, name)
         seconds[name] = round(statistics.median(timed(spark, sf_dir, name) for _ in range(repeat)), 4)
         print(f"{name:24s} {seconds[name]:8.3f}", file=sys.stderr, flush=True)
+    release(spark)
     spark.stop()
     print(
         json.dumps(

@@ -11,7 +11,7 @@ from .operators import association, empirical, normalize, permute, ranking, redu
 from .operators.ordering import row_index
 from .plans import convert, guard, jobs, pipeline, views
 from .sources import files, phenotypes, results, writers
-from .staging import new_path, stage
+from .staging import exists, new_path, stage
 from .streaming import ingest
 
 OBSERVED_RUN = 1
@@ -224,10 +224,17 @@ def variant_dictionary(spark, sf):
     return normalize.variant_dictionary(rows)
 
 
+_runs = {}
+
+
 def _text_run(spark, sf) -> str:
-    path = new_path(spark, "run")
-    writers.write_result_text(tables.result_rows(spark, sf), path)
-    return path
+    """Result text of all runs, written once per application and table folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _runs or not exists(spark, _runs[key]):
+        path = new_path(spark, "run")
+        writers.write_result_text(tables.result_rows(spark, sf), path)
+        _runs[key] = path
+    return _runs[key]
 
 
 def _double(df: DataFrame, *columns: str) -> DataFrame:
@@ -268,7 +275,7 @@ def stream_inline(spark, sf):
     """Text run streamed into Parquet."""
     out = new_path(spark, "stream")
     ingest.ingest_available(
-        spark, _text_run(spark, sf), f"{out}/facts", f"{out}/events", f"{out}/checkpoint", max_files=50
+        spark, _text_run(spark, sf), f"{out}/facts", f"{out}/events", f"{out}/checkpoint", max_files=50, delete_source=False
     )
     rows = results.read_facts(spark, f"{out}/facts")
     return _double(rows.select("source_file", "variant", "lrt_pvalue"), "lrt_pvalue")

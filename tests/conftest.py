@@ -7,6 +7,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from permscan.schema import RAW_HEADER
 from permscan.session import local_session
+from permscan.staging import release
 
 
 @pytest.fixture(scope="session")
@@ -14,6 +15,7 @@ def spark():
     session = local_session("*", app="tests", shuffle_partitions=4)
     session.sparkContext.setLogLevel("OFF")
     yield session
+    release(session)
     session.stop()
 
 

@@ -65,6 +65,7 @@ def compare(con, spark, sf_dir, name):
 
 def main():
     from permscan.session import local_session
+    from permscan.staging import release
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
     spark = local_session(8)
@@ -76,6 +77,7 @@ def main():
         except Exception as error:
             ok, message, seconds, rows = False, f"{type(error).__name__}: {str(error)[:1500]}", 0, 0
         print(f"{'ok  ' if ok else 'FAIL'} {name:28s} {seconds:6.2f}s {rows:8d} rows  {message}", flush=True)
+    release(spark)
 
 
 if __name__ == "__main__":
