@@ -4,8 +4,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, simhash, suffix
+from ..staging import new_path
+from . import ann, bpe, licenses, mixing, pages, quality, simhash, suffix, unigram, warc
 
+PIECES = "piece_bpe_32k.model"
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -39,11 +41,32 @@ def op3_bpe(spark, sf):
     return digests(bpe.decode(bpe.encode(_table(spark, sf, "documents"), path), path))
 
 
+def op4_warc(spark, sf):
+    files = warc.write(_table(spark, sf, "pages"), new_path(spark, "warc"), least_bytes=0)
+    return warc.read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_quality(spark, sf):
     judged = quality.weak_quality(_table(spark, sf, "documents"))
     return judged.select("doc_id", *quality.MEASURES, "base_failed", "kept")
 
 
+def op6_licenses(spark, sf):
+    found = licenses.scan(_table(spark, sf, "documents"))
+    best = F.get("matches", F.lit(0))
+    return found.select(
+        "doc_id",
+        best["license"].alias("license"),
+        F.round(best["score"], 6).alias("score"),
+        best["line"].alias("line"),
+        F.size("matches").cast("long").alias("n_matches"),
+    )
+
+
+def op7_ann(spark, sf):
+    return ann.search(_table(spark, sf, "embeddings"), "id % 20 = 0", k=20)
+
+
 def op8_suffix(spark, sf):
     found = suffix.repeated_passages(_table(spark, sf, "documents"), length=50)
     width = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -56,14 +79,66 @@ def op8_suffix(spark, sf):
     )
 
 
+def op9_unigram(spark, sf):
+    return unigram.count_tokens(_table(spark, sf, "documents"), public_tokenizers.path(PIECES))
+
+
+def op10_pages(spark, sf):
+    found = pages.extract(_table(spark, sf, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
     "op3_bpe": op3_bpe,
+    "op4_warc": op4_warc,
     "op5_quality": op5_quality,
+    "op6_licenses": op6_licenses,
+    "op7_ann": op7_ann,
     "op8_suffix": op8_suffix,
+    "op9_unigram": op9_unigram,
+    "op10_pages": op10_pages,
 }
 
+
+def _license_sql() -> str:
+    rows = []
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            grams = licenses.bigrams(text)
+            low, high = licenses.size_bounds(len(grams))
+            quoted = ", ".join("'" + g.replace("'", "''") + "'" for g in grams)
+            rows.append(f"('{name}', {low}, {high}, [{quoted}])")
+    return r"""
+        with templates(license, low, high, grams) as (values {rows}),
+        lined as (select doc_id, string_split(lower(coalesce(text, '')), chr(10)) as lines from documents),
+        units as (
+            select doc_id, unnest(range(1, len(lines) + 1)) as line, unnest(lines) as body from lined
+            union all
+            select doc_id, 0, array_to_string(lines, chr(10)) from lined where len(lines) > 1),
+        worded as (
+            select doc_id, line,
+                   list_transform(regexp_extract_all(body, '\.*[a-z0-9][a-z0-9.]*'), lambda w: rtrim(w, '.')) as words
+            from units),
+        paired as (
+            select doc_id, line, len(words) - 1 as size,
+                   list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) as grams
+            from worded where len(words) > 1),
+        scored as (
+            select p.doc_id, p.line, t.license,
+                   max(len(list_intersect(p.grams, t.grams)) * 2.0::double / (p.size + len(t.grams))) as score
+            from paired p join templates t on p.size between t.low and t.high
+            group by p.doc_id, p.line, t.license),
+        ranked as (
+            select *, row_number() over (partition by doc_id order by score desc, line, license) as place,
+                   count(*) over (partition by doc_id) as n
+            from scored where score >= 0.8)
+        select d.doc_id, r.license, round(r.score, 6) as score, r.line::int as line, coalesce(r.n, 0)::bigint as n_matches
+        from documents d left join ranked r on r.doc_id = d.doc_id and r.place = 1
+    """.replace("{rows}", ", ".join(rows))
+
+
 ORACLE = {
     "op2_mixing": r"""
         with sized as (
@@ -100,4 +175,5 @@ ORACLE = {
                 + greatest(0, least(size, floor(target + 0.5) - (start + 2 * source_size))))::bigint as taken
         from queue
     """,
+    "op6_licenses": _license_sql(),
 }
