@@ -12,10 +12,10 @@ from .common import shuffle_partitions
 
 TREES = 16
 HASH_BITS = 64
-# Vectors, on average, that share the shortest prefix to which a search ascends.
+# Vectors, on average, that share the shortest prefix to which a search ascends: so many up to twice as many.
 LEAF = 4096
 # A search stops ascending once so many candidates have been met, over all trees.
-CANDIDATES = 32768
+CANDIDATES = 65536
 SEED = 11
 BLOCK = 256
 # Levels of ascent at most, and members of a bucket that one task holds.
@@ -53,7 +53,7 @@ def _hashed(entries: DataFrame, size: int, trees: int, bits: int, seed: int) ->
     def run(batches):
         for batch in batches:
             matrix = _matrix(batch.column("vector"), size)
-            matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+            matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
             for tree in range(trees):
                 value = _hashes(matrix, tree, seed)
                 bucket = np.zeros(len(value), np.int64)
@@ -153,7 +153,7 @@ def search(
     Every tree sorts all vectors by a string of 64 bits, the sides of random hyperplanes on which a vector's
     direction lies. A search descends to the longest prefix that others share with the query in each tree, then ascends
     in all trees at once, a bit at a time, until ``candidates`` strings have been met over all trees or the prefix
-    is as short as ``leaf`` vectors share on average. All vectors with that prefix in any tree are scored
+    is as short as ``leaf`` to twice ``leaf`` vectors share on average. All vectors with that prefix in any tree are scored
     exactly, in double precision.
 
     Equal vectors are one entry of the index, so one that very many rows repeat makes no large bucket; only its
@@ -175,7 +175,7 @@ def search(
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
-    bits = max(0, math.ceil(math.log2(count / leaf)))
+    bits = max(0, math.floor(math.log2(count / leaf)))
     members = _hashed(entries.select("number", "vector"), size, trees, bits, seed)
     askers = entries.join(asking.select("number").distinct(), "number", "left_semi")
     wanted = _hashed(askers.select("number", "vector"), size, trees, bits, seed)
