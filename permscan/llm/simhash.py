@@ -14,7 +14,7 @@ BITS = 64
 # Upper nodes with more fingerprints than this are divided further.
 NODE_SIZE = 4096
 LEAF = 16
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 18
 
 
 def _fingerprint(text: bytes, shingle: int) -> int:
@@ -105,9 +105,11 @@ class _Index:
         stack = [(top, i, j)]
         while stack:
             level, i, j = stack.pop()
-            if len(i) > PAIRS_AT_ONCE:
-                stack.append((level, i[PAIRS_AT_ONCE:], j[PAIRS_AT_ONCE:]))
-                i, j = i[:PAIRS_AT_ONCE], j[:PAIRS_AT_ONCE]
+            # Few enough at a time that their children are as many as are held at once.
+            most_pairs = PAIRS_AT_ONCE // (LEAF * LEAF if level else 1)
+            if len(i) > most_pairs:
+                stack.append((level, i[most_pairs:], j[most_pairs:]))
+                i, j = i[:most_pairs], j[:most_pairs]
             if level == 0:
                 near = (i < j) & (_distance(bits[i], bits[j]) <= most)
                 yield i[near], j[near]
@@ -117,14 +119,14 @@ class _Index:
             apart = np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j])
             open_ = (apart <= most) & ((whole[i] != whole[j]) | (whole[i] < 0))
             i, j = i[open_], j[open_]
+            if not len(i):
+                continue
             below = len(self.levels[level - 2][0]) if level > 1 else len(bits)
-            step = max(1, PAIRS_AT_ONCE // (LEAF * LEAF))
-            for at in range(0, len(i), step):
-                a = (i[at : at + step, None] * LEAF + np.arange(LEAF))[:, :, None]
-                b = (j[at : at + step, None] * LEAF + np.arange(LEAF))[:, None, :]
-                a, b = (x.ravel() for x in np.broadcast_arrays(a, b))
-                fits = (a < below) & (b < below) & (a <= b)
-                stack.append((level - 1, a[fits], b[fits]))
+            a = (i[:, None] * LEAF + np.arange(LEAF))[:, :, None]
+            b = (j[:, None] * LEAF + np.arange(LEAF))[:, None, :]
+            a, b = (x.ravel() for x in np.broadcast_arrays(a, b))
+            fits = (a < below) & (b < below) & (a <= b)
+            stack.append((level - 1, a[fits], b[fits]))
 
 
 def _link(bits: np.ndarray, most: int) -> np.ndarray:
