@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import chi2_tail, perm_name, three_digits
 from ..schema import DEFAULT_SEED, MAX_AF, MIN_AF, NUMERIC_COLUMNS, RESULT_COLUMNS
-from .permute import TooManySamples, keyed_permutations, phenotype_vector, shuffled
+from .permute import keyed_permutations, phenotype_vector, shuffled
 
 OBSERVED = 0
+# How permutations are drawn: in md5 order, for any number of samples, or as numpy does.
+KEYED, NUMPY = "keyed", "numpy"
 # Consecutive samples whose carriers are packed into one row per variant.
 PACKED_SAMPLES = 100_000
 # Numbers in one block of permuted phenotypes and in one dense block of carriers (32 MB each).
@@ -174,22 +176,23 @@ def association_scan(
     variants: DataFrame | None = None,
     min_af: float = MIN_AF,
     max_af: float = MAX_AF,
+    method: str = KEYED,
 ) -> DataFrame:
     """Statistics of every (permutation, variant); permutation 0 is the observed trait.
 
-    Up to ``VECTOR_SAMPLES`` samples the sums come from matrix products over numpy-drawn permutations.
-    Beyond that, or with a table of ``permuted`` phenotypes, they come from a join on the sample.
+    ``method`` says how permutations are drawn, unless a table of ``permuted`` phenotypes is given: ``KEYED`` in md5
+    order, for any number of samples, with sums from a join on the sample; ``NUMPY`` as numpy's generator does, with
+    sums from matrix products, for at most ``VECTOR_SAMPLES`` samples (more are an error).
     Variants nobody carries take part when ``variants`` lists them.
     """
     carriers = carriers_of(presence)
+    if permuted is None and method == NUMPY:
+        sums = sums_by_blocks(carriers, pheno, n_perms, seed, variants, min_af, max_af)
+        return association_statistics(sums, pheno, min_af, max_af)
     if permuted is None:
-        try:
-            sums = sums_by_blocks(carriers, pheno, n_perms, seed, variants, min_af, max_af)
-            return association_statistics(sums, pheno, min_af, max_af)
-        except TooManySamples:
-            permuted = pheno.select(F.lit(OBSERVED).alias("perm_id"), "sample", "phenotype")
-            if n_perms:
-                permuted = permuted.unionByName(keyed_permutations(pheno, n_perms, seed))
+        permuted = pheno.select(F.lit(OBSERVED).alias("perm_id"), "sample", "phenotype")
+        if n_perms:
+            permuted = permuted.unionByName(keyed_permutations(pheno, n_perms, seed))
     sums = sums_by_join(carriers, permuted)
     if variants is not None:
         held = carriers.join(pheno, "sample", "left_semi").select("variant")

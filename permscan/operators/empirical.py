@@ -4,11 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .ordering import CHUNK, chunk_offsets, fits_one_task, running_total, with_chunks
-
-
-# Observed rows that are sent to every task: 16 MB of ids and values.
-BROADCAST_ROWS = 1_000_000
+from .ordering import CHUNK, chunk_offsets, running_total, with_chunks
 
 
 def empirical_p_per_variant(
@@ -17,22 +13,17 @@ def empirical_p_per_variant(
     key: str = "variant_id",
     column: str = "lrt_pvalue",
     salts: int = 16,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Fraction of permuted runs whose statistic is at least as extreme as the observed one, per variant.
 
-    One run's observed values normally fit into every task, and the permuted rows then stay where they are.
-    Above ``broadcast_rows`` both sides are shuffled, the key salted by run so that a variant with very
-    many permuted rows is shared by ``salts`` tasks.
+    The key is salted by run, so that a variant with very many permuted rows is shared by ``salts`` tasks. Whether
+    the observed values are sent to every task instead is left to the optimizer, which knows their bytes.
     """
     seen = observed.select(key, F.col(column).cast("double").alias("seen")).where("seen is not null")
     drawn = null.select(key, F.col(column).cast("double").alias("drawn"), "source_file").where("drawn is not null")
-    if seen.count() <= broadcast_rows:
-        pairs = drawn.join(F.broadcast(seen), key)
-    else:
-        copies = seen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = drawn.withColumn("salt", F.pmod(F.hash("source_file"), F.lit(salts)))
-        pairs = salted.join(copies, [key, "salt"])
+    copies = seen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = drawn.withColumn("salt", F.pmod(F.hash("source_file"), F.lit(salts)))
+    pairs = salted.join(copies, [key, "salt"])
     hit = F.when(F.col("drawn") <= F.col("seen"), 1.0).otherwise(0.0)
     return pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n_null"), F.avg(hit).alias("empirical_p"))
 
@@ -42,7 +33,6 @@ def empirical_p_pooled(
     null: DataFrame,
     key: str = "variant_id",
     column: str = "lrt_pvalue",
-    one_task: bool | None = None,
 ) -> DataFrame:
     """Fraction of all permuted statistics at least as extreme as each observed one."""
     seen = observed.select(key, F.col(column).cast("double").alias("value")).where("value is not null")
@@ -50,24 +40,18 @@ def empirical_p_pooled(
     # Observed values enter with weight 0: each finds its own running count by an equality join.
     weighted = drawn.withColumn("w", F.lit(1)).unionByName(seen.select("value", F.lit(0).alias("w")))
     counted = weighted.groupBy("value").agg(F.sum("w").alias("cnt"))
-    if fits_one_task(weighted, one_task):
-        upto = F.sum("cnt").over(Window.partitionBy().orderBy("value"))
-        ranked = counted.select("value", upto.alias("upto"), F.sum("cnt").over(Window.partitionBy()).alias("n"))
-    else:
-        ranked = _ranked_in_chunks(counted)
+    ranked = _ranked(counted)
     table = ranked.select("value", F.try_divide(F.col("upto").cast("double"), F.col("n")).alias("empirical_p"))
     return seen.join(table, "value").select(key, "empirical_p")
 
 
-def _ranked_in_chunks(counted: DataFrame) -> DataFrame:
+def _ranked(counted: DataFrame) -> DataFrame:
     chunked = with_chunks(counted, "value")
     offsets = chunk_offsets(chunked, "cnt", totals={"n": F.col("cnt")})
     return running_total(chunked, offsets, "cnt", ("value",), "upto")
 
 
-def bh_qvalues(
-    permutations: DataFrame, column: str = "lrt_pvalue", key: str = "variant_id", one_task: bool | None = None
-) -> DataFrame:
+def bh_qvalues(permutations: DataFrame, column: str = "lrt_pvalue", key: str = "variant_id") -> DataFrame:
     """Benjamini–Hochberg q-value of every row within its run.
 
     A q-value depends only on the run, the p-value and counts, so it is worked out on the distinct p-values
@@ -75,21 +59,11 @@ def bh_qvalues(
     """
     rows = permutations.select("source_file", key, F.col(column).cast("double").alias("p")).where("p is not null")
     distinct = rows.groupBy("source_file", "p").agg(F.count(F.lit(1)).alias("cnt"))
-    table = _step_up(distinct) if fits_one_task(permutations, one_task) else _step_up_in_chunks(distinct)
-    return rows.join(table, ["source_file", "p"]).select("source_file", key, "q_value")
+    return rows.join(_step_up(distinct), ["source_file", "p"]).select("source_file", key, "q_value")
 
 
 def _step_up(distinct: DataFrame) -> DataFrame:
-    """(source_file, p, q_value) with a window over each run."""
-    run = Window.partitionBy("source_file")
-    rank = F.sum("cnt").over(run.orderBy("p"))
-    raw = distinct.select("source_file", "p", (F.col("p") * F.sum("cnt").over(run) / rank).alias("raw"))
-    lowest = F.min("raw").over(run.orderBy(F.desc("p")))
-    return raw.select("source_file", "p", F.least(F.lit(1.0), lowest).alias("q_value"))
-
-
-def _step_up_in_chunks(distinct: DataFrame) -> DataFrame:
-    """The same with each run spread over chunks of p-values."""
+    """(source_file, p, q_value), each run spread over chunks of p-values."""
     chunked = with_chunks(distinct, "source_file", "p")
     by = ["source_file", CHUNK]
     located = chunked.join(chunk_offsets(chunked, "cnt", ("source_file",), totals={"m": F.col("cnt")}), by)

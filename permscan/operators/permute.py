@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_SEED
-from .ordering import ONE_TASK_ROWS, dense_index
+from .ordering import dense_index
 
 # Largest phenotype vector handed to every task: 2 million doubles, 16 MB.
 VECTOR_SAMPLES = 2_000_000
@@ -73,8 +73,7 @@ def keyed_permutations(
     if n_perms < 1:
         raise ValueError("At least one permutation is needed")
     rows = pheno.count()
-    small = rows <= min(ONE_TASK_ROWS, rank_rows)
-    ordered = dense_index(pheno.select("sample", "phenotype"), "sample", out="pos", one_task=small)
+    ordered = dense_index(pheno.select("sample", "phenotype"), "sample", out="pos")
     digits = max(0, math.ceil(math.log(max(rows, 1) / rank_rows, 16)))
     perms = F.explode(F.sequence(F.lit(1), F.lit(n_perms))).alias("perm_id")
     text = F.concat_ws(":", F.lit(str(seed)), F.col("perm_id").cast("string"), F.col("sample"))
@@ -85,13 +84,10 @@ def keyed_permutations(
     )
     inside = Window.partitionBy("perm_id", "part").orderBy("key", "sample", "pos")
     ranked = keyed.select("perm_id", "part", "phenotype", (F.row_number().over(inside) - 1).alias("rank"))
-    if digits:
-        sizes = keyed.groupBy("perm_id", "part").agg(F.count(F.lit(1)).alias("rows"))
-        earlier = Window.partitionBy("perm_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select(
-            "perm_id", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset")
-        )
-        ranked = ranked.join(offsets, ["perm_id", "part"]).withColumn("rank", F.col("rank") + F.col("offset"))
+    sizes = keyed.groupBy("perm_id", "part").agg(F.count(F.lit(1)).alias("rows"))
+    earlier = Window.partitionBy("perm_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("perm_id", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"))
+    ranked = ranked.join(offsets, ["perm_id", "part"]).withColumn("rank", F.col("rank") + F.col("offset"))
     targets = ordered.select("sample", F.col("pos").alias("rank"))
     return ranked.select("perm_id", "rank", "phenotype").join(targets, "rank").select(
         "perm_id", "sample", "phenotype"

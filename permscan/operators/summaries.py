@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import flags, source_name
 from ..schema import CONVERTED
-from .ordering import CHUNK, chunk_offsets, fits_one_task, running_total, with_chunks
+from .ordering import CHUNK, chunk_offsets, running_total, with_chunks
 
 
 def _histogram(df: DataFrame, column: str) -> DataFrame:
@@ -44,34 +44,16 @@ def _cuts(histogram: DataFrame, probabilities: dict[str, float]) -> DataFrame:
     return counted.agg(*found)
 
 
-def quantiles(
-    df: DataFrame, column: str, probabilities: dict[str, float], one_task: bool | None = None
-) -> DataFrame:
+def quantiles(df: DataFrame, column: str, probabilities: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles of a column as one row, one column per named probability."""
-    if fits_one_task(df, one_task):
-        value = F.col(column).cast("double")
-        return df.agg(*[F.percentile(value, q).alias(name) for name, q in probabilities.items()])
     return _cuts(_histogram(df, column), probabilities)
 
 
 POOLED_CUTS = {"p01": 0.01, "median": 0.5, "p99": 0.99}
 
 
-def pooled_null_distribution(
-    permutations: DataFrame, column: str = "lrt_pvalue", one_task: bool | None = None
-) -> DataFrame:
+def pooled_null_distribution(permutations: DataFrame, column: str = "lrt_pvalue") -> DataFrame:
     """One row describing ``column`` over all permutations together."""
-    if fits_one_task(permutations, one_task):
-        value = F.col(column).cast("double")
-        return permutations.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count(value).alias("n_non_null"),
-            F.min(value).alias("min"),
-            *[F.percentile(value, q).alias(name) for name, q in POOLED_CUTS.items()],
-            F.max(value).alias("max"),
-            F.avg(value).alias("mean"),
-            F.stddev(value).alias("stddev"),
-        )
     histogram = _histogram(permutations, column)
     sums = histogram.agg(
         F.sum("known").alias("n"), F.sum(F.col("value") * F.col("known")).alias("weighted")
@@ -111,7 +93,7 @@ def per_run_summary(permutations: DataFrame, column: str = "lrt_pvalue") -> Data
 def permutation_threshold(permutations: DataFrame, alpha: float = 0.05, column: str = "lrt_pvalue") -> DataFrame:
     """Lower ``alpha`` quantile of the smallest ``column`` of each run."""
     smallest = permutations.groupBy("source_file").agg(F.min(F.col(column).cast("double")).alias("smallest"))
-    return quantiles(smallest, "smallest", {"threshold": alpha}, one_task=fits_one_task(permutations))
+    return quantiles(smallest, "smallest", {"threshold": alpha})
 
 
 def qc_flag_counts(permutations: DataFrame, per_run: bool = True) -> DataFrame:
@@ -158,17 +140,15 @@ def job_queue(jobs: DataFrame, events: DataFrame, total: int) -> DataFrame:
     )
 
 
-# Permutation numbers of one job that share a window: an upper bound on its rows.
-ETA_CHUNK = 65_536
-
-
-def rolling_eta(events: DataFrame, last: int = 10, chunk: int = ETA_CHUNK) -> DataFrame:
+def rolling_eta(events: DataFrame, last: int = 10, partitions: int | None = None) -> DataFrame:
     """Expected remaining seconds after each event: mean of the last ``last`` run times × runs left.
 
-    A job's events are cut into chunks of permutation numbers. Each chunk borrows the ``last - 1`` events
-    before it and learns its offset from the chunk counts, so the longest job is spread over many tasks.
+    Events are cut into chunks by their place in the order of job and permutation, so the longest job is spread
+    over many tasks however its numbers lie. Each chunk borrows the ``last - 1`` events before it and learns its
+    offset from the chunk counts.
     """
-    cut = events.select("job", "perm_id", "elapsed", F.floor(F.col("perm_id") / chunk).alias("part"))
+    placed = with_chunks(events.select("job", "perm_id", "elapsed"), "job", "perm_id", partitions=partitions)
+    cut = placed.withColumnRenamed(CHUNK, "part")
     by_part = Window.partitionBy("job", "part")
     by_job = Window.partitionBy("job")
 

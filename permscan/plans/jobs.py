@@ -5,18 +5,12 @@ from pyspark.sql import functions as F
 
 from ..functions import job_name
 
-# Variant types a run may name; they travel as one array.
-MAX_TYPES = 10_000
-
 
 def job_matrix(traits: DataFrame, variant_types: DataFrame) -> DataFrame:
     """(trait, vt, job) for every pair of distinct names.
 
-    The few variant types become one array that is unfolded per trait; more than ``MAX_TYPES`` is an error.
+    The variant types become one array value inside Spark, which is unfolded per trait.
     """
-    types = [r[0] for r in variant_types.select("vt").distinct().limit(MAX_TYPES + 1).collect()]
-    if len(types) > MAX_TYPES:
-        raise ValueError(f"More than {MAX_TYPES} variant types")
-    each = F.explode(F.array(*[F.lit(t) for t in types]).cast("array<string>")).alias("vt")
-    pairs = traits.select("trait").distinct().select("trait", each)
+    types = variant_types.agg(F.collect_set("vt")).scalar()
+    pairs = traits.select("trait").distinct().select("trait", F.explode(types).alias("vt"))
     return pairs.withColumn("job", job_name(F.col("trait"), F.col("vt")))

@@ -17,9 +17,8 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """Use all cores for the fan-out that follows when the scan has fewer tasks than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows out evenly before the fan-out that follows."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def permutations(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:

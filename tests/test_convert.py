@@ -99,6 +99,14 @@ def test_bad_files_become_events(spark, tmp_path):
     assert sorted(p.name for p in folder.glob("*.txt")) == [f"perm_000{i}.txt" for i in range(2, 7)]
 
 
+@pytest.mark.parametrize("write", [convert.write_inline, convert.write_normalized])
+def test_a_run_without_any_good_file_gives_events(spark, tmp_path, write):
+    path = write_run(tmp_path / "run", {"perm_0001": ["A\t1"]}, header=["variant", "af"])
+    write_run(tmp_path / "run", {"perm_0002": ""})
+    got = events(write(spark, path, str(tmp_path / "n" / "f")))
+    assert {name: status for name, (status, _) in got.items()} == {"perm_0001": "convert_failed", "perm_0002": "convert_failed"}
+
+
 def test_first_file_bad_takes_the_next_as_reference(spark, tmp_path):
     path = run_files(tmp_path, 3)
     write_run(tmp_path / "run", {"perm_0001": [line("zzz", af="x")]})

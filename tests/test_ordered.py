@@ -5,18 +5,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from permscan.operators import empirical, ordering, summaries
+from permscan.operators import empirical, summaries
 from permscan.operators.ordering import CHUNK, chunk_offsets, dense_index, running_total, with_chunks
 
 SLOW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
-@pytest.fixture(params=[0, 1_000_000], ids=["chunks", "plain"])
-def both_ways(request, monkeypatch):
-    """Each test runs with rows cut into chunks and with plain windows."""
-    monkeypatch.setattr(ordering, "ONE_TASK_ROWS", request.param)
-
-
 def facts(spark, triples):
     return spark.createDataFrame(triples, "source_file string, variant_id int, lrt_pvalue double")
 
@@ -34,7 +28,7 @@ def test_hot_group_is_spread_over_chunks(spark):
     assert sorted(map(tuple, got.select("g", "id", "upto", "n").collect())) == expected
 
 
-def test_dense_index(spark, both_ways):
+def test_dense_index(spark):
     names = [f"s{i}" for i in range(500)]
     got = dense_index(spark.createDataFrame([(n,) for n in names], "s string"), "s", out="i")
     assert {r.s: r.i for r in got.collect()} == {n: i for i, n in enumerate(sorted(names))}
@@ -42,7 +36,7 @@ def test_dense_index(spark, both_ways):
 
 @SLOW
 @given(values=st.lists(st.one_of(st.none(), st.sampled_from([0.1, 0.25, 0.5, 1.0]), st.floats(0, 1)), max_size=60))
-def test_pooled_distribution_against_numpy(spark, both_ways, values):
+def test_pooled_distribution_against_numpy(spark, values):
     df = facts(spark, [("r", i, v) for i, v in enumerate(values)])
     row = summaries.pooled_null_distribution(df).first()
     known = np.array([v for v in values if v is not None])
@@ -59,7 +53,7 @@ def test_pooled_distribution_against_numpy(spark, both_ways, values):
         assert row["stddev"] is None
 
 
-def test_pooled_mean_far_from_zero(spark, both_ways):
+def test_pooled_mean_far_from_zero(spark):
     values = [1e9 + v for v in (0.0, 1.0, 2.0)]
     row = summaries.pooled_null_distribution(facts(spark, [("r", i, v) for i, v in enumerate(values)])).first()
     assert row["stddev"] == pytest.approx(1.0)
@@ -80,7 +74,7 @@ def bh(ps):
 
 @SLOW
 @given(data=st.lists(st.tuples(st.sampled_from(["a", "b"]), st.one_of(st.none(), st.sampled_from([0.01, 0.02, 1.0]), st.floats(0, 1))), min_size=1, max_size=50))
-def test_bh_against_brute_force(spark, both_ways, data):
+def test_bh_against_brute_force(spark, data):
     triples = [(run, i, p) for i, (run, p) in enumerate(data)]
     got = {(r.source_file, r.variant_id): r.q_value for r in empirical.bh_qvalues(facts(spark, triples)).collect()}
     expected = {}
@@ -94,20 +88,20 @@ def test_bh_against_brute_force(spark, both_ways, data):
         assert got[key] == pytest.approx(q, rel=1e-12, abs=1e-300)
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_empirical_p(spark, both_ways, limit):
+def test_empirical_p(spark):
     observed = facts(spark, [("perm_0000", 1, 0.3), ("perm_0000", 2, None), ("perm_0000", 3, 0.05)])
     null = facts(spark, [("perm_0001", 1, 0.3), ("perm_0002", 1, 0.4), ("perm_0003", 1, None), ("perm_0001", 2, 0.1), ("perm_0001", 3, 0.9)])
-    assert rows(empirical.empirical_p_per_variant(observed, null, broadcast_rows=limit)) == [(1, 2, 0.5), (3, 1, 0.0)]
+    assert rows(empirical.empirical_p_per_variant(observed, null)) == [(1, 2, 0.5), (3, 1, 0.0)]
     assert rows(empirical.empirical_p_pooled(observed, null)) == [(1, 0.5), (3, 0.0)]
 
 
-@pytest.mark.parametrize("chunk", [1, 3, 7, 1000])
-def test_rolling_eta_is_the_same_for_any_chunk(spark, chunk):
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+@pytest.mark.parametrize("step", [1, 10**6])
+def test_rolling_eta_is_the_same_for_any_cut(spark, partitions, step):
     rng = np.random.default_rng(1)
     jobs = {"hot": rng.choice(400, 120, replace=False), "small": rng.choice(400, 5, replace=False)}
-    data = [(job, int(p), float(rng.integers(1, 9))) for job, ids in jobs.items() for p in ids]
-    got = summaries.rolling_eta(spark.createDataFrame(data, "job string, perm_id int, elapsed double"), chunk=chunk)
+    data = [(job, int(p) * step, float(rng.integers(1, 9))) for job, ids in jobs.items() for p in ids]
+    got = summaries.rolling_eta(spark.createDataFrame(data, "job string, perm_id long, elapsed double"), partitions=partitions)
     expected = []
     for job in jobs:
         run = sorted((p, e) for j, p, e in data if j == job)

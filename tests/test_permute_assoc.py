@@ -74,7 +74,9 @@ def test_both_forms_of_the_sums_agree(spark, pheno, presence, monkeypatch):
 
 
 def test_scan_against_regression(spark, pheno, presence):
-    scan = association.association_scan(presence, pheno, 2, min_af=0.05, max_af=0.95).collect()
+    scan = association.association_scan(
+        presence, pheno, 2, min_af=0.05, max_af=0.95, method=association.NUMPY
+    ).collect()
     assert {r.variant for r in scan} >= {"v10", "v20"} and "all" not in {r.variant for r in scan}
     y0 = np.array(vector(pheno))
     names = [f"s{i:03d}" for i in range(60)]
@@ -93,9 +95,11 @@ def test_scan_against_regression(spark, pheno, presence):
 
 
 def test_join_form_beyond_the_vector_size(spark, pheno, presence, monkeypatch):
-    packed = association.association_scan(presence, pheno, 0 + 1)
+    packed = association.association_scan(presence, pheno, 1, method=association.NUMPY)
     observed = {r.variant: r.beta for r in packed.where("perm_id = 0").collect()}
     monkeypatch.setattr(permute, "VECTOR_SAMPLES", 10)
+    with pytest.raises(permute.TooManySamples):
+        association.association_scan(presence, pheno, 1, method=association.NUMPY)
     joined = association.association_scan(presence, pheno, 1)
     assert {r.variant: pytest.approx(r.beta) for r in joined.where("perm_id = 0").collect()} == observed
     assert joined.select("perm_id").distinct().count() == 2
