@@ -12,6 +12,8 @@ from .common import shuffle_partitions
 SEED = 16
 MOST_WINDOWS = 64
 CHUNK_BYTES = 1 << 20
+# Groups of documents, each held by one task at a time, for every shuffle partition of the session.
+GROUPS_PER_PARTITION = 2
 NO_ID = np.iinfo(np.int64).max
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -403,7 +405,7 @@ def repeated_passages(
     input. Matches never cross documents; rows of one doc_id do not match each other. A null doc_id counts as larger
     than any other, and such rows do not match each other. Other columns are not read. An empty table gives no rows.
 
-    Texts are dealt once into ``groups`` (default: the shuffle partitions) by a hash of the id, and Spark reuses
+    Texts are dealt once into ``groups`` (default: twice the shuffle partitions) by a hash of the id, and Spark reuses
     that exchange in three steps. (1) Every group names the distinct least seeds of its windows; a seed's bucket
     answers whether other documents have it. (2) Segments with shared seeds, each distinct one once per group,
     meet in the seed's bucket, where their suffixes are sorted over ``length`` bytes and longest previous factors
@@ -441,7 +443,7 @@ def _dealt(id_col: str, text_col: str) -> list:
 
 
 def _removal(docs: DataFrame, length: int, groups: int | None, result, result_schema) -> DataFrame:
-    buckets = groups or shuffle_partitions(docs.sparkSession)
+    buckets = groups or GROUPS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
     dealt = docs.withColumn("_group", F.pmod("_group", F.lit(buckets)).cast("int")).repartition(buckets, "_group")
     blob = {n: "binary" for n in ("keys", "several", "shared", "text", "sizes", "ranks", "least", "masks")}
 
