@@ -1,7 +1,7 @@
 """BPE encoding and decoding of whole texts, with tree concatenation of long unsplit text."""
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from tokenizers.models import BPE
 # Bytes of a piece of unsplit text that is encoded at once; tokens on each side of a join re-encoded at first.
 PIECE = 2048
 FIRST_WINDOW = 4
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 ROWS_AT_ONCE = 512
 
 
@@ -33,12 +33,7 @@ class TreeEncoder:
         self.tokenizer.no_padding()
         with open(path) as file:
             spec = json.load(file)
-        model = spec["model"]
-        self.suffix = model.get("end_of_word_suffix") or ""
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.model = BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix or None)
-        # The same merges for text that goes on: no last character of a word.
-        self.open_model = BPE(vocab=model["vocab"], merges=merges)
+        self.path, self.suffix = path, spec["model"].get("end_of_word_suffix") or ""
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.tokens = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.piece = piece
@@ -85,8 +80,17 @@ class TreeEncoder:
             ids += self.concatenate(word)
         return ids
 
+    @cached_property
+    def models(self) -> tuple[BPE, BPE]:
+        """The merges for text that goes on and for the end of a word; only long unsplit text needs them."""
+        with open(self.path) as file:
+            model = json.load(file)["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        ends = BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix or None)
+        return BPE(vocab=model["vocab"], merges=merges), ends
+
     def _ids(self, text: str, last: bool) -> list[int]:
-        return [t.id for t in (self.model if last else self.open_model).tokenize(text)]
+        return [t.id for t in self.models[last].tokenize(text)]
 
     def _text(self, ids: list[int], last: bool) -> str:
         text = "".join(self.tokens[i] for i in ids)
