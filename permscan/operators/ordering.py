@@ -73,11 +73,12 @@ def dense_index(df: DataFrame, *order: str, out: str = "pos") -> DataFrame:
     return local.join(offsets, CHUNK).withColumn(out, F.col(out) + F.col("_offset")).drop(CHUNK, "_offset")
 
 
-def row_index(lines: DataFrame, out: str = "row_idx") -> DataFrame:
+def row_index(lines: DataFrame, out: str = "row_idx", folder: str | None = None) -> DataFrame:
     """0-based position of every row in its source, from scan positions kept by the text reader.
 
     Within a file split rows carry consecutive scan numbers, so a split's first number and the sizes of
-    the splits before it locate each row; no window over the rows themselves.
+    the splits before it locate each row; no window over the rows themselves. The table of splits is staged (in
+    ``folder``, if given): it is computed once, and its true size is known when the rows are joined with it.
     """
     key = ["source_file", "file_path", "block_start"]
     splits = lines.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), F.min("scan_seq").alias("_first"))
@@ -87,5 +88,6 @@ def row_index(lines: DataFrame, out: str = "row_idx") -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = splits.select(*key, "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
+    offsets = stage(offsets, "splits", folder)
     position = F.col("_offset") + F.col("scan_seq") - F.col("_first")
     return lines.join(offsets, key).withColumn(out, position.cast("int")).drop("_offset", "_first")

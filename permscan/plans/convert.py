@@ -130,7 +130,7 @@ def convert(
     scratch = new_path(spark, "conversion")
     lines = stage_lines(spark, source, scratch)
     if layout == NORMALIZED:
-        lines = row_index(lines)
+        lines = row_index(lines, folder=scratch)
     quality = stage(_quality(lines, layout == NORMALIZED), "quality")
     good = quality.where("n_bad = 0")
     rows = lines.join(good.select("source_file"), "source_file", "left_semi")

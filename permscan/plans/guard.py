@@ -13,8 +13,10 @@ from .views import Dataset
 _COMMENT = re.compile(r"\A(\s|\(|--[^\n]*(\n|\Z)|/\*.*?\*/)+", re.DOTALL)
 _QUERY = re.compile(r"(with|select)\b", re.IGNORECASE)
 # Functions that run arbitrary JVM code, the clause that builds names from text, and a join that Spark
-# would silently read as a plain join with an alias.
-_REFUSED = re.compile(r"\b(reflect|try_reflect|java_method|identifier\s*\(|asof\s+join)", re.IGNORECASE)
+# would silently read as a plain join with an alias. A name counts as called if "(" follows, maybe after a comment.
+_REFUSED = re.compile(
+    r"\b((reflect|try_reflect|java_method|identifier)[\s`]*((--|/\*).*)?\(|asof\s+join)", re.IGNORECASE | re.DOTALL
+)
 
 
 class RefusedQuery(ValueError):
@@ -32,7 +34,7 @@ def read_only(session: SparkSession, sql: str) -> DataFrame:
         raise RefusedQuery("Only SELECT/WITH queries are allowed")
     refused = _REFUSED.search(text)
     if refused:
-        raise RefusedQuery(f"Not allowed in a query: {refused.group(0)}")
+        raise RefusedQuery(f"Not allowed in a query: {refused.group(2) or refused.group(1)}")
     try:
         return session.sql(f"SELECT * FROM (\n{text}\n) AS q")
     except PySparkException as error:

@@ -18,15 +18,34 @@ def read_phenotype(spark: SparkSession, path: str, header: bool = False) -> Data
 
 
 def read_presence(spark: SparkSession, path: str, id_column: str | None = None) -> DataFrame:
-    """Presence/absence matrix (one row per variant, one column per sample) as (variant, sample, present)."""
-    wide = spark.read.option("sep", "\t").option("header", True).option("escape", '"').csv(path)
-    id_column = id_column or wide.columns[0]
-    samples = [c for c in wide.columns if c != id_column]
-    # One array per row is exploded; a column-wise unpivot would build one projection per sample.
-    cells = F.array(*[F.struct(F.lit(c).alias("sample"), F.col(f"`{c}`").alias("cell")) for c in samples])
+    """Presence/absence matrix (one row per variant, one column per sample) as (variant, sample, present).
+
+    Lines are read as text and paired with the header's names inside the row, so neither the number of samples nor
+    the size of the plan is limited. All files repeat one header. Blank lines are skipped, missing and empty cells
+    count as absent, cells beyond the header are left out. Quotes around a field go; a tab always ends a field.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    header = lines.first()
+    if header is None:
+        raise ValueError(f"No header line in {path}")
+    names = [name.removeprefix('"').removesuffix('"') for name in header.value.split("\t")]
+    id_column = id_column or names[0]
+    if id_column not in names:
+        raise ValueError(f"The header of {path} has no column {id_column!r}")
+    at = names.index(id_column)
+    fields = F.transform(F.split("value", "\t", -1), lambda field: F.regexp_replace(field, '^"(.*)"$', "$1"))
+    # The header enters the plan as one literal, split there.
+    samples = F.split(F.lit("\t".join(names)), "\t", -1)
     cell = trait_number(F.col("c.cell"))
-    return wide.select(F.col(f"`{id_column}`").alias("variant"), F.explode(cells).alias("c")).select(
-        "variant", "c.sample", F.when(cell != 0, 1).otherwise(0).alias("present")
+    return (
+        lines.where(F.col("value") != header.value)
+        .select(fields.alias("cell"))
+        .select(
+            F.nullif(F.get("cell", F.lit(at)), F.lit("")).alias("variant"),
+            F.posexplode(F.arrays_zip(samples.alias("sample"), F.col("cell"))).alias("at", "c"),
+        )
+        .where((F.col("at") != at) & F.col("c.sample").isNotNull())
+        .select("variant", "c.sample", F.when(cell != 0, 1).otherwise(0).alias("present"))
     )
 
 

@@ -155,3 +155,30 @@ def test_presence_matrix(spark, tmp_path):
     assert rows(read) == sorted(
         [("g1", "s1", 1), ("g1", "s2", 0), ("g1", "s.3", 1), ("g2", "s1", 0), ("g2", "s2", 0), ("g2", "s.3", 0)], key=repr
     )
+
+
+def test_presence_matrix_takes_any_number_of_samples(spark, tmp_path):
+    samples = [f"s{i}" for i in range(25_000)]
+    for part, names in enumerate((["g1"], ["g2", "g3"])):
+        body = "".join(f"{name}\t" + "1\t0\t" * 12_499 + "1\t1\n" for name in names)
+        (tmp_path / f"part{part}.Rtab").write_text('"Gene"\t' + "\t".join(samples) + "\n" + body)
+    read = phenotypes.read_presence(spark, str(tmp_path))
+    counted = read.groupBy("variant").agg(F.count_distinct("sample").alias("n"), F.sum("present").alias("held"))
+    assert rows(counted) == [("g1", 25_000, 12_501), ("g2", 25_000, 12_501), ("g3", 25_000, 12_501)]
+
+
+def test_presence_matrix_with_ragged_lines_and_inner_id(spark, tmp_path):
+    (tmp_path / "p.Rtab").write_text('s1\t"Gene"\ts2\r\n1\t"g1"\r\n\r\n\tg2\t1\t1\r\n0\t\t1\r\n')
+    read = phenotypes.read_presence(spark, str(tmp_path / "p.Rtab"), "Gene")
+    assert rows(read) == sorted(
+        [("g1", "s1", 1), ("g1", "s2", 0), ("g2", "s1", 0), ("g2", "s2", 1), (None, "s1", 0), (None, "s2", 1)], key=repr
+    )
+    with pytest.raises(ValueError, match="no column"):
+        phenotypes.read_presence(spark, str(tmp_path / "p.Rtab"), "Other")
+
+
+def test_row_numbers_need_no_shuffle_of_lines(spark, tmp_path):
+    write_run(tmp_path, {"perm_0001": [line("a"), line("b")], "perm_0002": [line("a"), line("b")]})
+    lines = stage(results.typed(results.scan_text(spark, str(tmp_path))), "lines")
+    plan = row_index(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan

@@ -32,6 +32,8 @@ def dataset(spark):
         ("select 1 as a -- last", 1),
         ("select variant_id from variants union select variant_id from permutations", 4),
         ("select variant, count(*) as n from results group by all having n > 1", 3),
+        ("select count(*) as reflected from permutations", 1),
+        ("select notes from permutations where notes like '%reflect%'", 0),
     ],
 )
 def test_accepted(dataset, sql, n):
@@ -52,6 +54,8 @@ def test_accepted(dataset, sql, n):
         "show tables",
         "select * from parquet.`/root/testdata/sf0.001/part.parquet`",
         "select reflect('java.lang.System', 'getenv', 'PATH') as x",
+        "select `reflect`/* /* x */ */ ('java.lang.System', 'getenv', 'PATH') as x",
+        "select try_reflect -- x\r('java.lang.System', 'getenv', 'PATH') as x",
         "select identifier('ref' || 'lect')('java.lang.System', 'getenv', 'PATH') as x",
         "select * from permutations asof join variants on true",
         "select nothing from permutations",
