@@ -101,9 +101,12 @@ class _Segments:
         return order, begin, several
 
 
-def _texts(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
-    texts = table.column("_text").to_pylist()
-    return texts, table.column("_rank").to_numpy()
+def _texts(table: pa.Table) -> tuple[list[bytes], np.ndarray, pa.Table]:
+    """Texts and ranks of a group and its other columns, by rank and text: a shuffle that is read again may bring
+    the rows in another order, and the numbers given to segments must not depend on it."""
+    texts, ranks = table.column("_text").to_pylist(), table.column("_rank").to_numpy()
+    order = sorted(range(len(texts)), key=lambda i: (ranks[i], texts[i]))
+    return [texts[i] for i in order], ranks[order], table.drop_columns(["_text", "_rank"]).take(order)
 
 
 def _by_bucket(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +126,7 @@ def _announce(length: int, buckets: int):
 
     def run(table: pa.Table) -> pa.Table:
         group = table.column("_group")[0].as_py()
-        texts, ids = _texts(table)
+        texts, ids, _ = _texts(table)
         parts = _Segments(texts, length)
         order, begin, several = parts.seeds(ids)
         keys = parts.key[order[begin]]
@@ -192,7 +195,7 @@ def _propose(length: int, buckets: int):
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         out = {"_bucket": [], "_group": [], "shared": [], "text": [], "sizes": [], "keys": [], "ranks": []}
-        texts, ids = _texts(docs)
+        texts, ids, _ = _texts(docs)
         shared = dict(zip(answers.column("_bucket").to_pylist(), answers.column("shared").to_pylist(), strict=True))
         parts = _Segments(texts, length)
         segments, bounds = _candidates(parts, ids, shared, buckets)
@@ -319,7 +322,7 @@ def _apply(length: int, buckets: int, result):
     """Group of documents and its decisions → ``result`` of what is removed from every document."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        texts, ids = _texts(docs)
+        texts, ids, docs = _texts(docs)
         shared = dict(zip(found.column("_bucket").to_pylist(), found.column("shared").to_pylist(), strict=True))
         at = {b: n for n, b in enumerate(found.column("_bucket").to_pylist())}
         parts = _Segments(texts, length)

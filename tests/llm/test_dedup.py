@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -147,6 +148,23 @@ def test_without_repeats_keeps_rows_and_whole_characters(spark):
     assert got == {1: (shared + "one", "g"), 2: ("é", None), 3: ("", "g")}
 
 
+def test_decisions_do_not_depend_on_the_order_of_rows():
+    rows = [(n, t or "") for n, t, _, _ in ODD if n is not None] + texts(40)
+    rows = [(n, n, t.encode(), 0) for n, t in rows]
+
+    def group(some):
+        return pa.table(dict(zip(("_id", "_rank", "_text", "_group"), map(list, zip(*some, strict=True)), strict=True)))
+
+    answers = suffix._answer(suffix._announce(50, 1)(group(rows)))
+    found = suffix._decide(50)(suffix._propose(50, 1)(group(rows), answers))
+    expected = brute_passages([(n, t.decode()) for n, _, t, _ in rows])
+    for seed in range(3):
+        some = random.Random(seed).sample(rows, len(rows))
+        out = suffix._apply(50, 1, suffix._spans)(group(some), found).to_pylist()
+        got = [(r["doc_id"], r["n_bytes"], tuple((s["start"], s["end"]) for s in r["spans"]), r["kept"]) for r in out]
+        assert sorted(got, key=repr) == expected
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(empty).count() == 0
