@@ -15,15 +15,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest doc_id.
+    """One row of each SimHash component stays: the one with the smallest doc_id.
 
-    Rows that share a doc_id are one document, of which the least by text, language and source stays. Rows without
-    a doc_id stay only if nothing in their component has one, and then one of them does.
+    Of rows that share this doc_id the least by text, language and source stays. A row without a doc_id stays only if
+    nothing in its component has one. Rows in different components all stay, also where they repeat a doc_id or
+    have none.
     """
-    classes = simhash.near_duplicates(docs, shingle=3, most=3)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.alias("d").join(first.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    return simhash.least_of_components(docs, ["doc_id", "text", "lang", "source"], shingle=3, most=3)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..staging import stage
 from .common import shuffle_partitions
@@ -56,6 +57,20 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return rows.mapInArrow(run, "doc_id long, fingerprint long")
 
 
+def with_fingerprints(docs: DataFrame, shingle: int = 3, text_col: str = "text") -> DataFrame:
+    """``docs`` with every column and row, and the fingerprint of each as a long."""
+    place = docs.columns.index(text_col)
+    kinds = T.StructType([*docs.schema.fields, T.StructField("fingerprint", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(place).cast(pa.binary())
+            bits = np.array([_fingerprint(t.as_py() or b"", shingle) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits)], kinds.names)
+
+    return docs.mapInArrow(run, kinds)
+
+
 def gray_rank(bits: np.ndarray) -> np.ndarray:
     """Position of each 64-bit pattern in the Gray code sequence."""
     rank = bits.copy()
@@ -280,6 +295,14 @@ def forest_edges(distinct: DataFrame, most: int = 3, node_size: int = NODE_SIZE,
     return placed.mapInArrow(run, "u long, v long")
 
 
+def _roots(distinct: DataFrame, most: int) -> DataFrame:
+    """``distinct`` fingerprints, each with the one that names its component."""
+    links = connected_components(forest_edges(distinct, most))
+    return distinct.join(links.withColumnRenamed("u", "fingerprint"), "fingerprint", "left").withColumn(
+        "root", F.coalesce("v", "fingerprint")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 3, most: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -292,15 +315,32 @@ def near_duplicates(
     """
     rows = stage(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
     distinct = stage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "distinct")
-    links = connected_components(forest_edges(distinct, most))
-    named = distinct.join(links.withColumnRenamed("u", "fingerprint"), "fingerprint", "left").withColumn(
-        "root", F.coalesce("v", "fingerprint")
-    )
+    named = _roots(distinct, most)
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = named.select("fingerprint", "root").join(least, "root").select("fingerprint", "component_id")
     return rows.join(classes, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
+def least_of_components(
+    docs: DataFrame, order: list[str], shingle: int = 3, most: int = 3, text_col: str = "text"
+) -> DataFrame:
+    """One row of ``docs`` for each component of :func:`near_duplicates`, with all columns: the least by the columns
+    ``order``, then by the others. A null in the first of them comes last, in the others first.
+
+    The least row of every fingerprint is found before rows meet, so one that very many rows share is no hot group.
+    """
+    names = [*order, *[c for c in docs.columns if c not in order]]
+    columns = [F.col(f"`{c}`").alias(f"_{n}") for n, c in enumerate(names)]
+    row = F.struct(F.col(f"`{names[0]}`").isNull().alias("_none"), *columns)
+    marked = with_fingerprints(docs, shingle, text_col)
+    prints = with_fingerprints(docs.select(text_col), shingle, text_col).select("fingerprint").distinct()
+    named = _roots(stage(prints, "distinct"), most)
+    least = marked.groupBy("fingerprint").agg(F.min(row).alias("row"))
+    least = least.join(named.select("fingerprint", "root"), "fingerprint")
+    least = least.groupBy("root").agg(F.min("row").alias("row"))
+    return least.select(*[F.col(f"row._{names.index(c)}").alias(c) for c in docs.columns])
+
+
 def fingerprint_hex(fingerprint: Column) -> Column:
     """16 lowercase hex digits of a fingerprint."""
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")

@@ -35,6 +35,16 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert len(last) == len(counts[3]) and all(r.n_tokens == len(r.ids) for r in last)
 
 
+def test_near_duplicates_keep_one_row_of_each_component(spark):
+    text = [r.text for r in documents(spark).collect()[:6]]
+    rows = [(None, text[0], "en", "s1", 1), (None, text[0], "en", "s0", 1), (None, text[1], None, "s0", 2)]
+    rows += [(7, text[2], "en", "s0", 3), (None, text[2], "en", "s0", 3), (None, text[3], "en", "s0", 4)]
+    rows += [(7, text[4], "en", "s0", 5), (7, text[4], "de", "s0", 5), (8, text[4], "aa", "s0", 5), (9, None, "en", "s0", 0)]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted((rows[n] for n in (1, 2, 3, 5, 7, 9)), key=repr)
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, apply in corpus_pipeline.STAGES:
