@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import stage
@@ -16,6 +16,8 @@ HASH_BITS = 64
 LEAF = 4096
 # A search stops ascending once so many candidates have been met, over all trees.
 CANDIDATES = 65536
+# Expected share of a query's neighbours that no tree may bring at the prefix where a search stops.
+MISSED = 0.05
 SEED = 11
 BLOCK = 256
 # Levels of ascent at most, and members of a bucket that one task holds.
@@ -136,6 +138,35 @@ def _best(score: np.ndarray, rows: np.ndarray, members: np.ndarray, k: int, out:
     out[2].append(value[kept])
 
 
+def _length(vector: str) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda sum_, x: sum_ + x.cast("double") * x.cast("double")))
+
+
+def _deepest(score: Column, length: Column, trees: int) -> Column:
+    """Longest prefix at which a vector that scores no less than ``score`` shares it with the query in any tree with a
+    probability of 1 - ``MISSED``; ``length`` is that of the query times the greatest of all vectors.
+
+    One hyperplane leaves two directions on one side with the probability 1 - angle / pi.
+    """
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score / length))
+    alike = 1 - F.acos(cosine) / math.pi
+    bits = F.floor(math.log(1 - MISSED ** (1 / trees)) / F.log(alike))
+    return F.when(alike >= 1, HASH_BITS - 1).otherwise(F.least(F.coalesce(bits, F.lit(0)), F.lit(HASH_BITS - 1))).cast("int")
+
+
+def _nearest(found: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    """``(number, best)``: for each query the ``k`` + 1 best ids, itself included, as ``(less, id)``."""
+    # An entry met in several trees may differ in the last digit of its sum.
+    found = found.groupBy("query", "number").agg(F.max("score").alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "number")
+    found = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).drop("nth")
+    ids = found.join(entries.select("number", "ids"), "number").select(
+        "query", (-F.col("score")).alias("less"), F.explode("ids").alias("id")
+    )
+    best = ids.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("less", "id"))).alias("best"))
+    return best.select(F.col("query").alias("number"), F.slice("best", 1, k + 1).alias("best"))
+
+
 def search(
     vectors: DataFrame,
     queries: str,
@@ -154,7 +185,10 @@ def search(
     direction lies. A search descends to the longest prefix that others share with the query in each tree, then ascends
     in all trees at once, a bit at a time, until ``candidates`` strings have been met over all trees or the prefix
     is as short as ``leaf`` to twice ``leaf`` vectors share on average. All vectors with that prefix in any tree are scored
-    exactly, in double precision.
+    exactly, in double precision. The score of the last neighbour then tells how short a prefix must be for some tree
+    to bring any better vector with a probability of 1 - ``MISSED``. Queries that stopped at a longer one search again
+    there, or score all entries if it is shorter than a bucket's. The expected recall so does not fall as the table grows;
+    on vectors without structure nearly all queries score all entries.
 
     Equal vectors are one entry of the index, so one that very many rows repeat makes no large bucket; only its
     ``k`` + 1 smallest ids can come into a result, and no others are kept. A bucket of more than ``CHUNK`` entries is cut
@@ -171,7 +205,7 @@ def search(
     entries = stage(entries.withColumn("number", F.element_at("ids", 1)), "entries")
     asking = rows.where(F.expr(queries)).join(entries.select("vector", "number"), "vector")
     asking = stage(asking.select(F.col("id").alias("query_id"), "number"), "asking")
-    count, size = entries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    count, size, greatest = entries.agg(F.count(F.lit(1)), F.max(F.size("vector")), F.max(_length("vector"))).first()
     if not count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
@@ -198,17 +232,43 @@ def search(
     enough = F.max(F.when(F.col("met") >= candidates, F.col("level")))
     levels = met.groupBy("number").agg(F.coalesce(enough, F.lit(bits)).alias("level"))
 
+    levels = stage(levels, "levels")
+
+    collected = "query long, number long, score double"
     found = together(members, wanted.join(levels, "number"))
-    found = found.applyInArrow(_collect(size, k + 1), "query long, number long, score double")
-    # An entry met in several trees may differ in the last digit of its sum.
-    found = found.groupBy("query", "number").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "number")
-    found = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k + 1).drop("nth")
-    ids = found.join(entries.select("number", "ids"), "number").select(
-        "query", (-F.col("score")).alias("less"), F.explode("ids").alias("id")
-    )
-    best = ids.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("less", "id"))).alias("best"))
-    best = best.select(F.col("query").alias("number"), F.slice("best", 1, k + 1).alias("best"))
+    found = stage(found.applyInArrow(_collect(size, k + 1), collected), "found")
+    # The score of the last neighbour found bounds the angle of all that are better; where these may be missed, the
+    # search goes on to the prefix that suffices, or to all entries if the buckets do not hold it.
+    last = F.when(F.size("best") > k, -F.get("best", F.lit(k))["less"])
+    bounds = askers.select("number", (_length("vector") * greatest).alias("length")).join(levels, "number")
+    bounds = bounds.join(_nearest(found, entries, k), "number", "left")
+    needed = F.coalesce(_deepest(last, F.col("length"), trees), F.col("level"))
+    again = bounds.select("number", needed.alias("needed"), "level").where("needed < level")
+    again = stage(again.select("number", F.col("needed").alias("level")), "again")
+    near = together(members, wanted.join(again.where(F.col("level") >= bits), "number"))
+    found = found.unionByName(near.applyInArrow(_collect(size, k + 1), collected))
+    far = again.where(F.col("level") < bits).select("number")
+    far_count = far.count()
+    if far_count:
+        # Every block of entries meets every block of queries.
+        blocks, asked = math.ceil(count / CHUNK), math.ceil(far_count / CHUNK)
+        same = [F.lit(0).alias("tree"), F.lit(0).cast("long").alias("hash")]
+
+        def flat(rows):
+            # Names of its own for each side, which Spark would otherwise take for one table.
+            return rows.select(*same, F.col("number").alias("number"), F.col("vector").alias("vector"))
+
+        def block(parts):
+            return F.pmod(F.xxhash64("number"), F.lit(parts)).cast("int")
+
+        def every(parts):
+            return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+        left = flat(entries).withColumn("bucket", block(blocks)).withColumn("part", every(asked))
+        right = flat(entries.join(far, "number", "left_semi")).withColumn("level", F.lit(0))
+        right = right.withColumn("part", block(asked)).withColumn("bucket", every(blocks))
+        found = found.unionByName(together(left, right).applyInArrow(_collect(size, k + 1), collected))
+    best = _nearest(found, entries, k)
     joined = asking.join(best, "number")
     others = F.slice(F.filter("best", lambda b: b["id"] != F.col("query_id")), 1, k)
     out = joined.select("query_id", F.posexplode(others).alias("nth", "hit"))

@@ -135,6 +135,16 @@ def test_recall_with_many_leaves(spark):
     assert all(len(found[q]) == 20 for q in exact)
 
 
+def recall(found, exact, k):
+    return sum(len({n for n, _ in found.get(q, [])} & {n for n, _ in exact[q]}) for q in exact) / (k * len(exact))
+
+
+def test_recall_does_not_depend_on_the_budget(spark):
+    draw = np.random.default_rng(7)
+    rows = [(n, draw.normal(size=24).tolist(), "a", "b") for n in range(1600)]
+    assert recall(neighbours(spark, rows, k=10, leaf=25, candidates=200), brute_neighbours(rows, 10), 10) >= 0.9
+
+
 def test_page_columns_are_not_read(spark):
     assert "first" not in pages.extract(spark.createDataFrame(page_rows(), PAGES)).columns
     assert warc.read(warc.write(spark.createDataFrame(page_rows(), PAGES), new_path(spark, "w"))).where(F.col("page_id") == 5).count() == 1
