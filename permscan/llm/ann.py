@@ -144,14 +144,15 @@ def _length(vector: str) -> Column:
 
 def _deepest(score: Column, length: Column, trees: int) -> Column:
     """Longest prefix at which a vector that scores no less than ``score`` shares it with the query in any tree with a
-    probability of 1 - ``MISSED``; ``length`` is that of the query times the greatest of all vectors.
+    probability of 1 - ``MISSED``, 0 without a score; ``length`` is that of the query times the greatest of all vectors.
 
     One hyperplane leaves two directions on one side with the probability 1 - angle / pi.
     """
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score / length))
     alike = 1 - F.acos(cosine) / math.pi
     bits = F.floor(math.log(1 - MISSED ** (1 / trees)) / F.log(alike))
-    return F.when(alike >= 1, HASH_BITS - 1).otherwise(F.least(F.coalesce(bits, F.lit(0)), F.lit(HASH_BITS - 1))).cast("int")
+    # Spark's least and greatest pass over nulls.
+    return F.when(score.isNull(), 0).when(alike >= 1, HASH_BITS - 1).otherwise(F.least(F.coalesce(bits, F.lit(0)), F.lit(HASH_BITS - 1))).cast("int")
 
 
 def _nearest(found: DataFrame, entries: DataFrame, k: int) -> DataFrame:
@@ -194,8 +195,8 @@ def search(
     ``k`` + 1 smallest ids can come into a result, and no others are kept. A bucket of more than ``CHUNK`` entries is cut
     into parts, each of which its queries visit. Vectors that are null or zero or hold a null or non-finite component, and
     rows without id, take no part. Rows that repeat an id count as one, with the least of their vectors. Vectors
-    must have one length, else it is an error. Queries that meet fewer than ``k`` others get these; an empty table
-    gives no rows.
+    must have one length, else it is an error. Queries that meet fewer than ``k`` others score all entries, so only a table
+    of fewer rows gives less; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     rows = stage(usable(vectors, id_col, vector_col), "vectors")
@@ -242,7 +243,7 @@ def search(
     last = F.when(F.size("best") > k, -F.get("best", F.lit(k))["less"])
     bounds = askers.select("number", (_length("vector") * greatest).alias("length")).join(levels, "number")
     bounds = bounds.join(_nearest(found, entries, k), "number", "left")
-    needed = F.coalesce(_deepest(last, F.col("length"), trees), F.col("level"))
+    needed = _deepest(last, F.col("length"), trees)
     again = bounds.select("number", needed.alias("needed"), "level").where("needed < level")
     again = stage(again.select("number", F.col("needed").alias("level")), "again")
     near = together(members, wanted.join(again.where(F.col("level") >= bits), "number"))

@@ -145,6 +145,13 @@ def test_recall_does_not_depend_on_the_budget(spark):
     assert recall(neighbours(spark, rows, k=10, leaf=25, candidates=200), brute_neighbours(rows, 10), 10) >= 0.9
 
 
+def test_queries_outside_a_cone_get_all_their_neighbours(spark):
+    draw = np.random.default_rng(9)
+    rows = [(n, ([1.0] * 12 + draw.normal(size=12) * 0.001).tolist(), "a", "b") for n in range(1, 800) if n % 20]
+    rows += [(20, [-1.0] * 12, "a", "b"), (40, [-1.0] * 6 + [1.0] * 6, "a", "b")]
+    assert neighbours(spark, rows, k=10, leaf=25, candidates=200) == brute_neighbours(rows, 10)
+
+
 def test_page_columns_are_not_read(spark):
     assert "first" not in pages.extract(spark.createDataFrame(page_rows(), PAGES)).columns
     assert warc.read(warc.write(spark.createDataFrame(page_rows(), PAGES), new_path(spark, "w"))).where(F.col("page_id") == 5).count() == 1
