@@ -144,15 +144,15 @@ def _length(vector: str) -> Column:
 
 def _deepest(score: Column, length: Column, trees: int) -> Column:
     """Longest prefix at which a vector that scores no less than ``score`` shares it with the query in any tree with a
-    probability of 1 - ``MISSED``, 0 without a score; ``length`` is that of the query times the greatest of all vectors.
+    probability of 1 - ``MISSED``, 0 without a score or below 0; ``length`` is that of the query times the greatest of all vectors.
 
     One hyperplane leaves two directions on one side with the probability 1 - angle / pi.
     """
     cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score / length))
     alike = 1 - F.acos(cosine) / math.pi
     bits = F.floor(math.log(1 - MISSED ** (1 / trees)) / F.log(alike))
-    # Spark's least and greatest pass over nulls.
-    return F.when(score.isNull(), 0).when(alike >= 1, HASH_BITS - 1).otherwise(F.least(F.coalesce(bits, F.lit(0)), F.lit(HASH_BITS - 1))).cast("int")
+    # Spark's least and greatest pass over nulls; below 0 a short vector may lie at any angle.
+    return F.when(score.isNull() | (score < 0), 0).when(alike >= 1, HASH_BITS - 1).otherwise(F.least(F.coalesce(bits, F.lit(0)), F.lit(HASH_BITS - 1))).cast("int")
 
 
 def _nearest(found: DataFrame, entries: DataFrame, k: int) -> DataFrame:
