@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import new_path
-from . import ann, bpe, licenses, mixing, pages, quality, simhash, suffix, unigram, warc
+from . import ann, bpe, licenses, mixing, mtree, pages, quality, simhash, spelling, suffix, trie, unigram, warc
 
 PIECES = "piece_bpe_32k.model"
 TOKENIZER = "word_bpe_49k.json"
@@ -88,6 +88,18 @@ def op10_pages(spark, sf):
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_trie(spark, sf):
+    return trie.prefix_trie(_table(spark, sf, "conversations"), family=20, most=4)
+
+
+def op12_spelling(spark, sf):
+    return spelling.variants(_table(spark, sf, "documents"), least_length=6, least_count=5, factor=5, spoil=199)
+
+
+def op13_mtree(spark, sf):
+    return mtree.search(_table(spark, sf, "embeddings"), "id % 20 = 0", k=20, scale=64)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -99,6 +111,9 @@ QUERIES = {
     "op8_suffix": op8_suffix,
     "op9_unigram": op9_unigram,
     "op10_pages": op10_pages,
+    "op11_trie": op11_trie,
+    "op12_spelling": op12_spelling,
+    "op13_mtree": op13_mtree,
 }
 
 
@@ -139,6 +154,13 @@ def _license_sql() -> str:
     """.replace("{rows}", ", ".join(rows))
 
 
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a text's UTF-8 bytes, bit by bit."""
+    octets = f"list_transform(range(1, len(hex(encode({text}))), 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::bigint)"
+    octet = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_concat([4294967295], {octets}), lambda c, b: {octet}), 4294967295)"
+
+
 ORACLE = {
     "op2_mixing": r"""
         with sized as (
@@ -176,4 +198,79 @@ ORACLE = {
         from queue
     """,
     "op6_licenses": _license_sql(),
+    "op11_trie": r"""
+        with turns as (
+            select conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} as said, turn
+            from conversations where conv_id is not null),
+        owned as (
+            select conv_id, list(said order by turn nulls first, said) as own, {crc} % 4 as h from turns group by conv_id),
+        paths as (
+            select c.conv_id, list_concat(coalesce(d.own, [])[1:c.h], c.own[c.h + 1:]) as path
+            from owned c left join owned d on d.conv_id = c.conv_id - c.conv_id % 20),
+        steps as (select conv_id, path, unnest(range(0, len(path) + 1)) as depth from paths),
+        nodes as (
+            select path[1:depth] as node, depth, min(conv_id) as conv_id, count(*) as n_convs,
+                   string_agg(conv_id::varchar, ',' order by conv_id) filter (where len(path) = depth) as ends
+            from steps group by 1, 2),
+        children as (select node[1:depth - 1] as node, count(*) as n from nodes where depth > 0 group by 1),
+        counted as (
+            select n.*, coalesce(c.n, 0) as n_children, case when depth = 0 then 0 else
+                   (n_convs - 1) * len(regexp_extract_all(n.node[depth].text, '[^\x20\x09-\x0D]+')) end as saved
+            from nodes n left join children c on c.node = n.node and n.depth = len(c.node)),
+        upward as (select node, depth, unnest(range(0, depth + 1)) as above, n_children, saved from counted),
+        sums as (
+            select node[1:above] as node, count(*) filter (where n_children = 0) as leaves, sum(saved) as saved
+            from upward group by 1)
+        select c.conv_id, c.depth, p.conv_id as parent_conv_id, c.n_convs, c.n_children, s.leaves as n_leaves,
+               s.saved::bigint as saved_tokens, sha256(coalesce(c.ends, '')) as ends_sha256
+        from counted c join sums s on s.node = c.node
+        left join nodes p on c.depth > 0 and p.depth = c.depth - 1 and p.node = c.node[1:c.depth - 1]
+    """.replace("{crc}", _crc32_sql("conv_id::varchar")),
+    "op12_spelling": r"""
+        with recursive runs as (
+            select coalesce(doc_id::varchar, '') as id,
+                   unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) as run
+            from documents),
+        lowered as (
+            select id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as n
+            from runs where length(run) >= 6 group by 1, 2),
+        hashed as (select run, n, {crc} as h from lowered),
+        words as (
+            select case when h % 199 = 0 then left(run, (h % length(run))::int) || substr(run, (h % length(run))::int + 2)
+                        else run end as word, sum(n)::bigint as n
+            from hashed group by 1 having length(word) >= 6 and sum(n) >= 5),
+        dropped as (
+            select word, n, i, left(word, i::int) || substr(word, i::int + 2) as form
+            from (select word, n, unnest(range(0, length(word))) as i from words)),
+        pairs as (
+            select a.word, b.word as near, b.n as m from dropped a join dropped b
+            on a.i = b.i and a.form = b.form and a.word <> b.word
+            union
+            select d.word, w.word, w.n from dropped d join words w on w.word = d.form
+            union
+            select w.word, d.word, d.n from dropped d join words w on w.word = d.form),
+        met as (
+            select word, count(*) as n_near, max(m) as m, arg_min(near, (-m, near)) as near from pairs group by word),
+        judged as (
+            select w.word, w.n, coalesce(p.n_near, 0) as n_near, case when p.m >= 5 * w.n then p.near end as form,
+                   case when p.m >= 5 * w.n then p.m end as form_n
+            from words w left join met p on p.word = w.word),
+        followed as (
+            select word, word as at, form as next from judged
+            union all
+            select f.word, j.word, j.form from followed f join judged j on j.word = f.next)
+        select j.word, j.form, f.at as root, j.n, j.n_near, j.form_n
+        from judged j join followed f on f.word = j.word and f.next is null
+    """.replace("{crc}", _crc32_sql("id || ':' || run")),
+    "op13_mtree": r"""
+        with whole as (
+            select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        scored as (
+            select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+            from whole q join whole c on c.vec_id <> q.vec_id where q.vec_id % 20 = 0),
+        ranked as (
+            select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+        select query_id, rank, vec_id, score from ranked where rank <= 20
+    """,
 }
