@@ -67,11 +67,11 @@ class _Reader(HTMLParser):
                     break
                 if self.stack[place][0] in BLOCKS:
                     break
-        if tag == "body":
-            for place, (name, _) in enumerate(self.stack):
-                if name == "head":
-                    self._pop(place)
-                    break
+        if tag == "body" or tag in BLOCKS:
+            # The end of the head may be left out: the body or the first block in it, unless within a template or the like, ends it.
+            inside = [name for name, _ in self.stack if name in UNSEEN]
+            if inside == ["head"]:
+                self._pop(next(place for place, (name, _) in enumerate(self.stack) if name == "head"))
         names = [tag]
         for key, value in attrs:
             if key in ("class", "id", "role") and value:
@@ -475,7 +475,7 @@ def extract_text(model: dict[str, np.ndarray], htmls: list[str]) -> list[str]:
     blocks = [blocks_of(h) for h in htmls]
     found = predict(model, features(blocks))
     return [
-        "\n".join(text for (_, text, _), p in zip(page, share, strict=True) if p >= 0.5)
+        "\n\n".join(text for (_, text, _), p in zip(page, share, strict=True) if p >= 0.5)
         for page, share in zip(blocks, found, strict=True)
     ]
 
@@ -484,7 +484,7 @@ def extract(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", model: dict | None = None
 ) -> DataFrame:
     """``(page_id, url, text)`` for every row: the blocks that the labeller takes for main text, in page order, joined by
-    line feeds.
+    two line feeds.
 
     A block is a run of text between block-level tags, with character references decoded and white space as single
     spaces; scripts, styles and the head have none. A two-way LSTM reads each page's blocks as vectors of hashed tag

@@ -68,7 +68,7 @@ def test_labeller_on_held_out_pages_and_a_written_one(spark):
     right = np.concatenate([(p >= 0.5) == (y > 0) for p, (_, y) in zip(found, made, strict=True)])
     assert right.mean() > 0.98
     assert pages.extract_text(model, [HTML, "", "<p"]) == [
-        "A title & more\nFirst paragraph of the article.\nSecond one, with markup in it.",
+        "A title & more\n\nFirst paragraph of the article.\n\nSecond one, with markup in it.",
         "",
         "",
     ]
@@ -78,6 +78,55 @@ def test_labeller_on_held_out_pages_and_a_written_one(spark):
     assert pages.extract(frame.limit(0)).count() == 0
 
 
+def test_an_open_head_ends_at_the_first_block():
+    def texts(html):
+        return [text for _, text, _ in pages.blocks_of(html)]
+
+    assert texts("<html><head><title>x</title><p>One<p>Two") == ["One", "Two"]
+    assert texts("<title>x</title><h1>A</h1>b") == ["A", "b"]
+    assert texts("<head><template><p>no</template><meta name=a><style>p {}</style><div>yes</div>") == ["yes"]
+    assert texts("<head><noscript><p>no</p></noscript><script>'<p>'</script></head><body>yes") == ["yes"]
+
+
+# Layouts that the generator of training pages does not make.
+HELD_OUT = [
+    (
+        """<!doctype html><html lang=en><head><title>News</title></head><body><table><tr><td class="leftcol"><a href=1>Home</a>
+<br><a href=2>Sport</a><br><a href=3>Weather</a></td><td><h2>Storm reaches the coast</h2><p>The storm that formed over the
+sea last week reached the coast on Monday, and many people left their houses before it came.</p><p>By the evening most
+roads near the harbour were closed, and the trains did not run until the next day.</p></td></tr></table>
+<center><a href=4>Terms</a> | <a href=5>Privacy</a></center></body></html>""",
+        ["The storm that formed over the sea last week", "By the evening most roads near the harbour"],
+        ["Sport", "Privacy"],
+    ),
+    (
+        """<html><body><div id=top><a href=/>Start</a> <a href=/blog>Blog</a></div><main><section><h1>On old bridges</h1>
+<p>Stone bridges last for centuries when their foundations are kept dry, which is why builders set them on rock.</p>
+<blockquote>A bridge is a promise made to the people of both banks.</blockquote><p>Iron came later, and with it longer
+spans that no mason of the time would have dared to draw.</p></section></main><aside><h3>Related</h3><ul><li><a href=/x>Ten
+towers</a></li></ul></aside><footer>Copyright 2021</footer></body></html>""",
+        ["Stone bridges last for centuries", "Iron came later, and with it longer"],
+        ["Ten towers", "Copyright 2021"],
+    ),
+]
+
+
+@pytest.mark.parametrize("html, article, furniture", HELD_OUT)
+def test_layouts_that_the_generator_does_not_make(html, article, furniture):
+    found = pages.extract_text(pages.trained(), [html])[0]
+    assert all(text in found for text in article)
+    assert not any(text in found for text in furniture)
+    assert "\n\n" in found and "\n\n\n" not in found
+
+
+def test_extract_gives_the_contract_of_the_query(spark):
+    from permscan.llm.queries import op10_pages
+
+    found = op10_pages(spark, "/root/testdata/sf0.001").collect()
+    assert all(r.n_chars == len(r.text) and "\n\n" in r.text for r in found if r.text)
+    assert all(block == " ".join(block.split()) != "" for r in found if r.text for block in r.text.split("\n\n"))
+
+
 def test_training_gradient():
     """One weight of each matrix against finite differences."""
     draw = np.random.default_rng(1)
