@@ -4,24 +4,19 @@ Only t, the sum of the phenotype over a variant's carriers, depends on the permu
 carriers belongs to the variant, and the phenotype's mean and sum of squares to the whole scan.
 """
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chi2_tail, perm_name, three_digits
 from ..schema import DEFAULT_SEED, MAX_AF, MIN_AF, NUMERIC_COLUMNS, RESULT_COLUMNS
-from .permute import keyed_permutations, phenotype_vector, shuffled
+from ..staging import stage
+from . import grid
+from .normalize import variant_dictionary
+from .permute import KEYED, PermutationStore, sample_index
 
 OBSERVED = 0
-# How permutations are drawn: in md5 order, for any number of samples, or as numpy does.
-KEYED, NUMPY = "keyed", "numpy"
-# Consecutive samples whose carriers are packed into one row per variant.
-PACKED_SAMPLES = 100_000
-# Numbers in one block of permuted phenotypes and in one dense block of carriers (32 MB each).
-BLOCK_VALUES = 4_000_000
-# Rows a task hands back at a time.
-OUTPUT_ROWS = 500_000
 
 
 def carriers_of(presence: DataFrame) -> DataFrame:
@@ -31,87 +26,67 @@ def carriers_of(presence: DataFrame) -> DataFrame:
     return presence.select("variant", F.col("sample").cast("string").alias("sample")).distinct()
 
 
-def sums_by_join(carriers: DataFrame, permuted: DataFrame) -> DataFrame:
-    """(perm_id, variant, k, t) by joining carriers with permuted phenotypes on the sample.
+@dataclass
+class Scan:
+    """Sums over carriers of every permutation that could be scanned, and what became of each permutation."""
 
-    For any number of samples; sums are formed before the shuffle on (perm_id, variant).
-    """
-    return (
-        carriers.join(permuted, "sample")
-        .groupBy("perm_id", "variant")
-        .agg(F.count(F.lit(1)).alias("k"), F.sum("phenotype").alias("t"))
-    )
+    # (perm_id, variant_id, k, t)
+    sums: DataFrame
+    # (variant_id, variant) of the variants in the frequency band, ids in text order
+    variants: DataFrame
+    # (perm_id, elapsed_seconds, error); no error for what was scanned
+    outcomes: DataFrame
 
 
-def sums_by_blocks(
-    carriers: DataFrame,
+def scan_sums(
+    presence: DataFrame,
     pheno: DataFrame,
     n_perms: int,
     seed: int = DEFAULT_SEED,
+    permuted: DataFrame | None = None,
     variants: DataFrame | None = None,
     min_af: float = 0.0,
     max_af: float = 1.0,
-) -> DataFrame:
-    """(perm_id, variant, k, t) by matrix products, without a row per (permutation, carrier).
-
-    A variant's carriers are counted and packed once, checked against the frequency band, and then reused for
-    all permutations: each task turns them into dense 0/1 blocks and multiplies these with blocks of permuted
-    phenotypes, which it draws itself from the shared phenotype vector. Permutation 0 is the trait as
-    observed. With more than ``PACKED_SAMPLES`` samples a variant has several blocks, whose sums are added.
+    method: str = KEYED,
+    store: PermutationStore | None = None,
+    size: grid.Blocks = grid.Blocks(),
+) -> Scan:
+    """Scan every permutation by matrix products over a grid of blocks (:mod:`.grid`), on variant ids.
+
+    Variants are packed and checked against the frequency band before anything is replicated. Draws come from
+    ``store``, if one is given, or from the table ``permuted``, which need not hold the observed trait. A permutation
+    with a missing, infinite or repeated value, or whose cell failed, has an error and no sums; the others go on.
     """
-    spark = carriers.sparkSession
-    vector = phenotype_vector(pheno)
-    samples_total = len(vector)
-    values = spark.sparkContext.broadcast(vector["phenotype"].to_numpy())
-    width = PACKED_SAMPLES
-    positions = spark.createDataFrame(
-        pd.DataFrame({"sample": vector["sample"], "at": np.arange(samples_total, dtype="int32")}),
-        "sample string, at int",
+    index = sample_index(pheno)
+    samples = index.count()
+    packed = stage(grid.packed_carriers(carriers_of(presence), index, size), "carriers")
+    held = packed.groupBy("variant").agg(F.sum(F.size("at")).alias("k"))
+    if variants is not None:
+        held = variants.select("variant").distinct().join(held, "variant", "left").fillna(0, ["k"])
+    frequency = F.col("k") / F.lit(max(samples, 1))
+    held = stage(held.where(frequency.between(min_af, max_af)), "held")
+    dictionary = stage(variant_dictionary(held), "variants")
+    counted = held.join(dictionary, "variant")
+    rows = packed.join(counted, "variant").select("variant_id", "k", "block", "at")
+    nobody = counted.where("k = 0").select(
+        "variant_id", "k", F.lit(0).alias("block"), F.array().cast("array<int>").alias("at")
     )
-    packed = (
-        carriers.join(positions, "sample")
-        .groupBy("variant", F.floor(F.col("at") / width).cast("int").alias("block"))
-        .agg(F.collect_list("at").alias("at"))
+    if permuted is None:
+        store = store or PermutationStore(n_perms, seed, method, size.samples)
+        values = grid.drawn_values(index, store.draws(index), size)
+        blocks = list(range(n_perms // size.perms + 1))
+    else:
+        values = grid.given_values(index, permuted, size)
+        places = permuted.select(F.floor(F.col("perm_id") / size.perms).cast("int").alias("p")).distinct()
+        blocks = sorted(r["p"] for r in places.collect())
+    cells = grid.cell_sums(rows.union(nobody), values, samples, dictionary.count(), blocks, size)
+    cells = stage(cells, "cells")
+    outcomes = cells.where("variant_id is null").groupBy("perm_id").agg(
+        F.sum("seconds").alias("elapsed_seconds"), F.min("error").alias("error")
     )
-    if variants is not None:
-        packed = variants.select("variant").distinct().join(packed, "variant", "left")
-        packed = packed.select("variant", F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("at", F.array()).alias("at"))
-    k = F.size("at").cast("long")
-    if samples_total > width:
-        k = F.sum(k).over(Window.partitionBy("variant"))  # one row per block of samples
-    frequency = F.col("k") / F.lit(max(samples_total, 1))
-    packed = packed.withColumn("k", k).where(frequency.between(min_af, max_af))
-    perms = np.arange(OBSERVED, n_perms + 1, dtype="int32")
-
-    def multiply(batches):
-        y = values.value
-        block_perms = max(1, min(BLOCK_VALUES // max(1, len(y)), len(perms)))
-        block_variants = max(1, min(BLOCK_VALUES // max(1, min(width, len(y))), OUTPUT_ROWS // block_perms))
-        for batch in batches:
-            for p in range(0, len(perms), block_perms):
-                ids = perms[p : p + block_perms]
-                drawn = np.stack([y if i == OBSERVED else shuffled(y, seed, int(i)) for i in ids], axis=1)
-                for block, rows in batch.groupby("block"):
-                    start = block * width
-                    samples = drawn[start : start + width]
-                    for v in range(0, len(rows), block_variants):
-                        part = rows.iloc[v : v + block_variants]
-                        x = np.zeros((len(part), len(samples)))
-                        for row, at in enumerate(part["at"]):
-                            x[row, at - start] = 1.0
-                        yield pd.DataFrame(
-                            {
-                                "perm_id": np.tile(ids, len(part)),
-                                "variant": np.repeat(part["variant"].to_numpy(), len(ids)),
-                                "k": np.repeat(part["k"].to_numpy(), len(ids)),
-                                "t": (x @ samples).ravel(),
-                            }
-                        )
-
-    sums = packed.mapInPandas(multiply, "perm_id int, variant string, k long, t double")
-    if samples_total <= width:
-        return sums
-    return sums.groupBy("perm_id", "variant").agg(F.max("k").alias("k"), F.sum("t").alias("t"))
+    failed = outcomes.where("error is not null").select("perm_id")
+    sums = cells.where("variant_id is not null").select("perm_id", "variant_id", "k", "t")
+    return Scan(sums.join(failed, "perm_id", "left_anti"), dictionary, outcomes)
 
 
 def phenotype_moments(pheno: DataFrame) -> Column:
@@ -127,7 +102,7 @@ def phenotype_moments(pheno: DataFrame) -> Column:
 def association_statistics(
     sums: DataFrame, pheno: DataFrame, min_af: float = MIN_AF, max_af: float = MAX_AF
 ) -> DataFrame:
-    """af, beta, its standard error, r² and the likelihood-ratio statistic from (perm_id, variant, k, t).
+    """af, beta, its standard error, r² and the likelihood-ratio statistic from (perm_id, variant_id, k, t).
 
     Keeps variants inside the frequency band. One without variation, or one that fits the trait perfectly,
     gets NULL statistics and a note.
@@ -141,7 +116,7 @@ def association_statistics(
     sxx, sxy = F.col("sxx"), F.col("sxy")
     fitted = terms.select(
         "perm_id",
-        "variant",
+        "variant_id",
         "af",
         "sxx",
         F.try_divide(sxy, sxx).alias("slope"),
@@ -154,7 +129,7 @@ def association_statistics(
     variance = F.greatest(F.col("rss"), F.lit(0.0)) / ((F.col("n") - 2) * F.col("sxx"))
     return fitted.select(
         "perm_id",
-        "variant",
+        "variant_id",
         "af",
         F.when(testable, F.col("slope")).alias("beta"),
         F.when(testable, F.sqrt(variance)).alias("beta_std_err"),
@@ -181,34 +156,19 @@ def association_scan(
     """Statistics of every (permutation, variant); permutation 0 is the observed trait.
 
     ``method`` says how permutations are drawn, unless a table of ``permuted`` phenotypes is given: ``KEYED`` in md5
-    order, for any number of samples, with sums from a join on the sample; ``NUMPY`` as numpy's generator does, with
-    sums from matrix products, for at most ``VECTOR_SAMPLES`` samples (more are an error).
-    Variants nobody carries take part when ``variants`` lists them.
+    order, for any number of samples; ``NUMPY`` as numpy's generator does, for at most ``VECTOR_SAMPLES``
+    samples (more are an error). Variants nobody carries take part when ``variants`` lists them. See :func:`scan_sums`.
     """
-    carriers = carriers_of(presence)
-    if permuted is None and method == NUMPY:
-        sums = sums_by_blocks(carriers, pheno, n_perms, seed, variants, min_af, max_af)
-        return association_statistics(sums, pheno, min_af, max_af)
-    if permuted is None:
-        permuted = pheno.select(F.lit(OBSERVED).alias("perm_id"), "sample", "phenotype")
-        if n_perms:
-            permuted = permuted.unionByName(keyed_permutations(pheno, n_perms, seed))
-    sums = sums_by_join(carriers, permuted)
-    if variants is not None:
-        held = carriers.join(pheno, "sample", "left_semi").select("variant")
-        nobody = variants.select("variant").distinct().join(held, "variant", "left_anti")
-        perms = permuted.select("perm_id").distinct().agg(F.collect_list("perm_id")).scalar()
-        sums = sums.unionByName(
-            nobody.select(F.explode(perms).alias("perm_id"), "variant", F.lit(0).alias("k"), F.lit(0.0).alias("t"))
-        )
-    return association_statistics(sums, pheno, min_af, max_af)
+    scan = scan_sums(presence, pheno, n_perms, seed, permuted, variants, min_af, max_af, method)
+    statistics = association_statistics(scan.sums, pheno, min_af, max_af)
+    return statistics.join(scan.variants, "variant_id").drop("variant_id")
 
 
 def result_rows(statistics: DataFrame, prefix: str = "perm") -> DataFrame:
     """Statistics as typed result rows, rounded to the three digits that result files carry.
 
     ``lrt_pvalue`` is the likelihood-ratio test, ``filter_pvalue`` a Wald test by normal approximation,
-    and ``variant_h2`` the share of variance explained.
+    and ``variant_h2`` the share of variance explained. Variants appear as the statistics have them, by name or id.
     """
     z = F.try_divide(F.col("beta"), F.col("beta_std_err"))
     full = statistics.withColumns(
@@ -216,8 +176,9 @@ def result_rows(statistics: DataFrame, prefix: str = "perm") -> DataFrame:
     )
     rounded = [three_digits(F.col(c)).try_cast("double").cast("float").alias(c) for c in NUMERIC_COLUMNS]
     typed = {c: r for c, r in zip(NUMERIC_COLUMNS, rounded)}
+    named = "variant" if "variant" in statistics.columns else "variant_id"
     return full.select(
         perm_name(F.col("perm_id"), prefix).alias("source_file"),
         F.col("perm_id").cast("int").alias("perm_id"),
-        *[typed.get(c, F.col(c)) for c in RESULT_COLUMNS],
+        *[typed.get(c, F.col(named if c == "variant" else c)) for c in RESULT_COLUMNS],
     )

@@ -3,12 +3,21 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import stage
 from .ordering import dense_index
-from .redundancy import MARKS, first_difference, order_fingerprints, reference_fingerprint
+from .hashtree import first_differences
+from .redundancy import MARKS, order_fingerprints, reference_fingerprint
 
 
 class ReferenceMismatch(ValueError):
-    """A file's variants are not the reference's in value and order."""
+    """A file's variants are not the reference's in value and order.
+
+    ``differences`` has the first difference of every differing file.
+    """
+
+    def __init__(self, message: str, differences: DataFrame):
+        super().__init__(message)
+        self.differences = differences
 
 
 def positional_reference(indexed: DataFrame, source: str) -> DataFrame:
@@ -27,19 +36,19 @@ def check_against_reference(
     """
     reference = reference_fingerprint(variants).select(F.struct(*MARKS)).scalar()
     found = order_fingerprints(indexed) if fingerprints is None else fingerprints
-    differing = (
-        found.where(F.struct(*MARKS) != reference)
-        .agg(F.min("source_file").alias("first"), F.count(F.lit(1)).alias("n"))
-        .first()
-    )
-    if not differing["n"]:
+    differing = found.where(F.struct(*MARKS) != reference).select("source_file")
+    if differing.isEmpty():
         return
-    name = differing["first"]
-    at = first_difference(indexed.where(F.col("source_file") == name), variants).first()
-    where = f" at row {at['row_idx']}: expected {at['expected']!r}, found {at['found']!r}" if at else ""
+    # Only files whose whole fingerprint differs enter the tree.
+    rows = indexed.join(differing, "source_file", "left_semi")
+    differences = stage(first_differences(rows, variants), "differences")
+    first = differences.agg(F.min(F.struct("source_file", "row_idx", "expected", "found")).alias("at"), F.count(F.lit(1)).alias("n")).first()
+    at = first["at"]
     raise ReferenceMismatch(
-        f"{name}: variants differ from the reference{where} ({differing['n']} differing files). "
-        "Check the redundancy verdict and use the inline or the set-based layout."
+        f"{at['source_file']}: variants differ from the reference at row {at['row_idx']}: expected {at['expected']!r}, "
+        f"found {at['found']!r} ({first['n']} differing files). "
+        "Check the redundancy verdict and use the inline or the set-based layout.",
+        differences,
     )
 
 

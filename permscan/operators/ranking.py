@@ -27,7 +27,7 @@ def top_hits(
     results; ``reference_complete`` skips that check where the dataset's writer has already made it.
     """
     if column not in permutations.columns:
-        raise ValueError(f"Unknown column {column!r}; expected one of {permutations.columns}")
+        raise ValueError(f"No column {column!r} to rank by; there are {permutations.columns}")
     if variants is None:
         return _ranked(permutations, F.col(column), limit, ascending)
     rows = permutations

@@ -33,19 +33,6 @@ def reference_fingerprint(variants: DataFrame) -> DataFrame:
     return variants.select(F.col("variant_id").alias("row_idx"), "variant").agg(*order_marks())
 
 
-def first_difference(indexed: DataFrame, variants: DataFrame) -> DataFrame:
-    """First position where one file's variants depart from the reference: (row_idx, expected, found)."""
-    expected = variants.select(
-        F.col("variant_id").alias("row_idx"), F.col("variant").alias("expected"), F.lit(1).alias("in_reference")
-    )
-    found = indexed.select("row_idx", F.col("variant").alias("found"), F.lit(1).alias("in_file"))
-    joined = expected.join(found, "row_idx", "full_outer")
-    differs = (
-        F.col("in_reference").isNull() | F.col("in_file").isNull() | ~F.col("expected").eqNullSafe(F.col("found"))
-    )
-    return joined.where(differs).orderBy("row_idx").limit(1).select("row_idx", "expected", "found")
-
-
 def set_comparison(lines: DataFrame) -> DataFrame:
     """Per file: distinct variants, those shared with the first file, and those no earlier file has.
 

@@ -1,5 +1,8 @@
 """The registered queries as SQL for another engine, over the same tables."""
 
+import math
+
+from .functions.scalars import ERF_SMALL, ERFC_LARGE, ERFC_MIDDLE
 from .queries import SQL_GROUPING, SQL_JOIN, SQL_SETS, SQL_WHERE, SQL_WINDOW
 from .tables import MISSING_BRAND, PERMUTATIONS, RUNS
 
@@ -66,6 +69,49 @@ def _printed(column: str) -> str:
     return f"cast(cast(cast(printf('%.2E',{column}) as double) as float) as double)"
 
 
+def _with(*parts: str) -> str:
+    return "with " + ",\n".join(parts) + "\n"
+
+
+def _polynomial(coefficients: list[float], x: str) -> str:
+    value = f"{coefficients[0]!r}::double"
+    for coefficient in coefficients[1:]:
+        value = f"({value}*{x}+{coefficient!r}::double)"
+    return value
+
+
+def _chi2_tail(statistic: str) -> str:
+    """Upper tail of the chi-square distribution with one degree of freedom, as erfc(sqrt(x/2))."""
+    q = f"(greatest({statistic},0)/2)"
+    y, inverse = f"sqrt{q}", f"(1/{q})"
+
+    def ratio(pair, x):
+        return f"({_polynomial(pair[0], x)}/{_polynomial(pair[1], x)})"
+
+    return f"""case when {y}<=0.46875 then 1-{y}*{ratio(ERF_SMALL, q)}
+ when {y}<=4 then exp(-{q})*{ratio(ERFC_MIDDLE, y)}
+ else exp(-{q})*({1 / math.sqrt(math.pi)!r}::double-{inverse}*{ratio(ERFC_LARGE, inverse)})/{y} end"""
+
+
+# The observed trait and the permutations, their sums over carriers, and the statistics.
+SCANNED = [
+    PHENO,
+    SHUFFLED,
+    PRES,
+    MOMENTS,
+    "every as (select 0 as perm_id, sample, phenotype from pheno union all select * from permuted)",
+    """t as (select p.perm_id, g.variant, sum(p.phenotype) as t from pres g join every p on p.sample=g.sample
+  group by p.perm_id, g.variant)""",
+    FIT,
+    """f as (select 'perm_'||lpad(cast(perm_id as string),4,'0') as source_file, perm_id, variant, af, sxy/sxx as beta,
+   sqrt((syy-sxy*sxy/sxx)/((n-2)*sxx)) as beta_std_err, sxy*sxy/(sxx*syy) as variant_h2,
+   -n*ln(1-sxy*sxy/(sxx*syy)) as lrt_stat
+  from s where af between 0.05 and 0.95 and sxx>0)""",
+]
+RUN_ROWS = _with(*SCANNED) + f"""select source_file, perm_id, variant, {_printed("af")} as af, {_printed("beta")} as beta,
+  {_printed("beta_std_err")} as beta_std_err, '' as notes from f"""
+
+
 FILES = f"""files as (
   select source_file, cast(dense_rank() over (order by variant_id)-1 as int) as variant_id,
     p_name||'#'||cast(variant_id as string) as variant, {_printed("af")} as af,
@@ -75,14 +121,48 @@ FILES = f"""files as (
   from permutations)"""
 
 
-def _with(*parts: str) -> str:
-    return "with " + ",\n".join(parts) + "\n"
-
-
 def _trait(column: str) -> str:
     return f"select id as sample, try_cast(trim({column}) as double) as phenotype from raw where regexp_matches(trim({column}),{NUMBER})"
 
 
+def _verdict(lines: str) -> str:
+    """The layout that files (source_file, row_idx, variant) call for, judged from their rows."""
+    return f"""select n_union, sum_unique, all_same_set, all_identical, case when all_identical then 'normalized'
+  when all_same_set then 'set_normalized' when n_union<sum_unique*0.8 then 'set_normalized_overlap' else 'inline' end as verdict
+from (select (select count(distinct variant) from {lines}) as n_union,
+  (select cast(sum(d) as bigint) from (select count(distinct variant) as d from {lines} group by source_file) x) as sum_unique,
+  (select count(*)=0 from (select source_file, list_sort(list(distinct variant)) as held from {lines} group by source_file) x
+   where held<>(select list_sort(list(distinct variant)) from {lines}
+                where source_file=(select min(source_file) from {lines}))) as all_same_set,
+  (select count(*)=0 from (select source_file, list(variant order by row_idx) as held from {lines} group by source_file) x
+   where held<>(select list(variant order by row_idx) from {lines}
+                where source_file=(select min(source_file) from {lines}))) as all_identical) y"""
+
+
+def _case(name: str, *files: str) -> str:
+    rows = " union all ".join(files)
+    return f"select '{name}' as \"case\", v.* from ({_with(f'l as ({rows})')}{_verdict('l')}) v"
+
+
+PARTS = "select p_partkey as k, p_name||'#'||cast(p_partkey as string) as variant from part"
+LAYOUT_CASES = "\nunion all\n".join(
+    _case(name, *[f"select '{f}' as source_file, {at} as row_idx, variant from ({PARTS}) p where {held}" for f, at, held in files])
+    for name, files in {
+        "identical": [("a", "k", "true"), ("b", "k", "true")],
+        "same set": [("a", "k", "true"), ("b", "-k", "true")],
+        "overlap": [("a", "k", "k%10<7"), ("b", "k", "k%10>2")],
+        "disjoint": [("a", "k", "k%10<5"), ("b", "k", "k%10>=5")],
+    }.items()
+)
+
+
+def _layout_check(column: str) -> str:
+    lines = f"""select source_file, variant_id as row_idx, {column} as variant from files
+  where source_file in (select distinct source_file from files order by source_file limit 3)"""
+    counts = "(select count(distinct source_file) from l) as n_files, (select count(*) from l) as n_rows"
+    return f"select '{column}' as \"of\", v.* from ({_with(PERM, FILES, f'l as ({lines})')}select {counts}, w.* from ({_verdict('l')}) w) v"
+
+
 ORACLE = {
     "pooled_null": _with(PERM)
     + """select count(*) as n, count(lrt_pvalue) as n_non_null, min(lrt_pvalue) as min,
@@ -205,7 +285,54 @@ from (select distinct p_brand||' '||p_type||' '||p_name as variant from part) x"
     + """select source_file, cast(dense_rank() over (order by variant)-1 as int) as variant_id, variant, beta_std_err
 from files""",
     "convert_events": _with(PERM)
-    + "select distinct source_file as name, 'converted' as status, true as ok from permutations",
+    + """select distinct source_file as name, 'converted' as status, true as timed, 'source_file='||source_file as txt_path,
+  'inline' as parquet_path, cast(null as string) as error from permutations""",
+    "convert_growing": _with(
+        PERM,
+        """first as (select p_name||'#'||cast(variant_id as string) as variant, count(*) as n from permutations
+  where perm_id<=2 and variant_id%3=0 group by 1)""",
+        """later as (select p_name||'#'||cast(variant_id as string) as variant, count(*) as n from permutations
+  where perm_id between 3 and 4 group by 1)""",
+        "names as (select variant, 1 as version from first union all select variant, 2 from later where variant not in (select variant from first))",
+    )
+    + """select cast(row_number() over (order by version, variant)-1 as int) as variant_id, variant, version,
+  coalesce((select n from first f where f.variant=names.variant),0)
+    +coalesce((select n from later l where l.variant=names.variant),0) as n_rows from names""",
+    "stream_set_normalized": _with(PERM)
+    + f"""select source_file, p_name||'#'||cast(variant_id as string) as variant, {_printed("lrt_pvalue")} as lrt_pvalue
+from permutations where perm_id<=4 and variant_id%5>=perm_id-1""",
+    "deletion_ledger": _with(PERM)
+    + "select distinct source_file as name, 'deleted' as outcome, 'absent' as second from permutations where perm_id<=3",
+    "event_progress": _with(PERM)
+    + f"""select count(distinct source_file) as n_converted, 0::bigint as n_failed, {RUNS + 5}-count(distinct source_file) as n_left
+from permutations""",
+    "event_states": _with(
+        EVENTS,
+        "placed as (select *, row_number() over (partition by job order by perm_id desc) as nth, count(*) over (partition by job) as n from ev)",
+        """r as (select job, cast(sum(1-failed) as bigint) as c, cast(sum(failed) as bigint) as f, max(n) as n,
+  avg(elapsed) filter (where nth<=10) as m from placed group by job)""",
+    )
+    + """select cast(job as string) as job, c as n_converted, f as n_failed, round(m,6) as mean_elapsed,
+  round(m*greatest(60-n,0),6) as eta_seconds, case when n<60 then 'running' when f>0 then 'error' else 'done' end as state from r""",
+    "order_differences": f"""with p as ({PARTS}), n as (select max(k)+1 as n from p),
+lists as (select 'f2' as source_file, k as row_idx, case when k%1000=7 then variant||'?' else variant end as variant from p
+  union all select 'f3', n-1-k, variant from p cross join n
+  union all select 'f4', k, variant from p cross join n where k<n-10
+  union all select 'f5', k, variant from p
+  union all select 'f5', n, 'extra' from n),
+names as (select distinct source_file from lists),
+ref as (select source_file, k as row_idx, variant from p cross join names),
+met as (select coalesce(l.source_file,r.source_file) as source_file, coalesce(l.row_idx,r.row_idx) as row_idx,
+  r.variant as expected, l.variant as found from lists l full join ref r on l.source_file=r.source_file and l.row_idx=r.row_idx)
+select source_file, row_idx, expected, found from met where expected is distinct from found
+qualify row_number() over (partition by source_file order by row_idx)=1""",
+    "layout_cases": LAYOUT_CASES,
+    "layout_check": _layout_check("variant") + "\nunion all\n" + _layout_check("notes"),
+    "run_names": """select p_partkey, 'perm_'||cast(p_partkey as string)||case when p_partkey%2=0 then '.v1' else '' end as source_file
+from part""",
+    "preview_rows": _with(PERM, "r as (select source_file, variant_id, notes from permutations where variant_id<=20)")
+    + """select source_file, variant_id, notes, (select count(*) from r) as total from r
+order by variant_id, source_file limit 200""",
     "stream_inline": _with(PERM, FILES) + "select source_file, variant, lrt_pvalue from files",
     "read_column": _with(PERM, FILES) + "select filter_pvalue from files",
     "file_listing": _with(PERM) + "select distinct source_file from permutations",
@@ -242,17 +369,29 @@ from customer left join r on r.job=c_custkey""",
     "rolling_eta": _with(EVENTS)
     + """select job, perm_id, avg(elapsed) over (partition by job order by perm_id rows between 9 preceding and current row)
  * (count(*) over (partition by job) - row_number() over (partition by job order by perm_id)) as eta_seconds from ev""",
-    "end_to_end": _with(
+    "end_to_end": RUN_ROWS,
+    "end_to_end_inline": RUN_ROWS,
+    "end_to_end_events": f"""select 'perm_'||lpad(cast(perm as string),4,'0') as name, 'converted' as status, true as timed,
+  cast(null as string) as txt_path, 'permutations/population=ALL/trait=balance/variant_type=orders' as parquet_path,
+  cast(null as string) as error from range(0,{PERMUTATIONS + 1}) as t(perm) where (select count(*) from orders)>0""",
+    "assoc_result_rows": _with(*SCANNED)
+    + f"""select source_file, perm_id, variant, {_printed("af")} as af,
+  {_printed(_chi2_tail("(beta/beta_std_err)*(beta/beta_std_err)"))} as filter_pvalue,
+  {_printed(_chi2_tail("lrt_stat"))} as lrt_pvalue, {_printed("beta")} as beta, {_printed("beta_std_err")} as beta_std_err,
+  {_printed("variant_h2")} as variant_h2, '' as notes from f""",
+    "assoc_moments_numpy": _with(PHENO, PRES)
+    + f"select variant, count(*) as k, {PERMUTATIONS + 1} as n_scans from pres group by variant",
+    "scan_events": _with(
         PHENO,
+        SHUFFLED,
         PRES,
-        MOMENTS,
-        "t as (select g.variant, sum(p.phenotype) as t from pres g join pheno p on p.sample=g.sample group by g.variant)",
-        FIT,
-        """f as (select variant, af, sxy/sxx as beta, sqrt((syy-sxy*sxy/sxx)/((n-2)*sxx)) as beta_std_err
-  from s where af between 0.05 and 0.95 and sxx>0)""",
+        "lost as (select perm_id, count(*) filter (where perm_id=2 and phenotype<0) as n from permuted group by perm_id)",
+        """band as (select count(*) as n from (select variant, count(*)/(select count(*) from pheno)::double as af from pres
+  group by variant) x where af between 0.05 and 0.95)""",
     )
-    + f"""select variant, {_printed("af")} as af, {_printed("beta")} as beta, {_printed("beta_std_err")} as beta_std_err,
-  '' as notes from f""",
+    + """select perm_id, case when n>0 then 'scan_failed' else 'converted' end as status,
+  case when n>0 then 'missing or infinite phenotype value' end as error,
+  case when n>0 then 0 else (select n from band) end as n_rows from lost""",
     "guarded_preview": _with(PERM) + "select count(*) as row_count, cast(least(count(*),200) as int) as shown from permutations",
     "sql_where": _with(PERM) + SQL_WHERE,
     "sql_join": _with(PERM, VAR) + SQL_JOIN,
@@ -268,4 +407,7 @@ ORACLE |= {
     "empirical_p_pooled_chunks": ORACLE["empirical_p_pooled"],
     "bh_qvalues_chunks": ORACLE["bh_qvalues"],
     "keyed_permutation_chunks": ORACLE["keyed_permutation"],
+    "trait_cells": ORACLE["trait_extract"],
+    "trait_cell_counts": ORACLE["trait_valid_counts"],
+    "job_names": ORACLE["job_matrix"],
 }

@@ -4,20 +4,18 @@ import time
 from dataclasses import dataclass
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import decoded, perm_id
-from ..operators.normalize import (
-    check_against_reference,
-    encode,
-    positional_reference,
-    variant_dictionary,
-)
+from ..operators.dictionary import grow, read_dictionary
+from ..operators.normalize import check_against_reference, encode, positional_reference
 from ..operators.ordering import row_index
 from ..operators.redundancy import order_marks
 from ..schema import CONVERT_FAILED, CONVERTED, RESULT_COLUMNS
-from ..sources.files import result_files
+from ..sources.files import delete_files, result_files
 from ..sources.results import first_header, has_result_header, headers, read_variants, scan_text, typed
 from ..sources.writers import write_events, write_facts, write_variants
 from ..staging import delete, exists, new_path, stage
@@ -52,7 +50,9 @@ def stage_lines(spark: SparkSession, paths, folder: str | None = None) -> DataFr
     if has_result_header(names):
         try:
             return stage(typed(scan_text(spark, paths, names)), "lines", folder)
-        except Exception as error:  # a file with another header; told apart below
+        except (PySparkException, Py4JJavaError) as error:  # a file with another header is told apart below
+            if "header" not in str(error):
+                raise
             common_error = error
     found = (
         headers(spark, paths)
@@ -117,7 +117,8 @@ def convert(
     A file that is empty, lacks columns or holds values that are not numbers becomes a failed event and
     the others go on; its rows are left out as a whole. In the normalised layout all files must repeat the
     reference's variants in order. The reference is the first good file's unless one exists already, and is
-    never replaced.
+    never replaced. The set-normalised layout gives ids to variants that its dictionary lacks; ids once given stay.
+    ``delete_source`` removes the text of converted runs from the executors and leaves a ledger beside the facts.
     """
     if layout not in (NORMALIZED, INLINE, SET_NORMALIZED):
         raise ValueError(f"Unknown layout {layout!r}")
@@ -126,7 +127,7 @@ def convert(
     started = time.monotonic()
     files = stage(result_files(spark, source), "files")
     if files.isEmpty():
-        raise ValueError(f"No result files found in {source}")
+        raise ValueError(f"{source} holds no result files")
     scratch = new_path(spark, "conversion")
     lines = stage_lines(spark, source, scratch)
     if layout == NORMALIZED:
@@ -149,10 +150,9 @@ def convert(
             check_against_reference(rows, read_variants(spark, reference_path), good)
         facts = rows.select(F.col("row_idx").alias("variant_id"), *located, *stats)
     else:
-        if exists(spark, reference_path):
-            raise ValueError(f"{reference_path} exists; a dictionary is built once for all files")
-        write_variants(variant_dictionary(rows), reference_path)
-        facts = encode(rows, read_variants(spark, reference_path)).select("variant_id", *located, *stats)
+        version = grow(spark, reference_path, rows)
+        dictionary = read_dictionary(spark, reference_path, version).select("variant_id", "variant")
+        facts = encode(rows, dictionary).select("variant_id", *located, *stats)
     write_facts(facts, facts_path, mode)
 
     events = stage(_events(files, quality, time.monotonic() - started, facts_path), "events")
@@ -160,16 +160,24 @@ def convert(
         write_events(events, events_path, events_mode)
     delete(spark, scratch)
     if delete_source:
-        delete_converted(spark, events)
+        delete_converted(spark, events, ledger_path(facts_path))
     return Conversion(facts_path, None if layout == INLINE else reference_path, events)
 
 
-def delete_converted(spark: SparkSession, events: DataFrame) -> int:
-    """Delete the text of converted runs; call only after the rows and events are committed."""
-    gone = 0
-    for row in events.where(F.col("status") == CONVERTED).select("txt_path").toLocalIterator():
-        gone += delete(spark, row.txt_path)
-    return gone
+def ledger_path(facts_path: str) -> str:
+    """Where a conversion notes what it deleted."""
+    return f"{facts_path.rstrip('/')}_deleted"
+
+
+def delete_converted(spark: SparkSession, events: DataFrame, ledger: str) -> DataFrame:
+    """Delete the text of converted runs in the executors; call only after the rows and events are committed.
+
+    Returns the ledger ``(name, path, outcome)``, written to ``ledger``. Running it again deletes nothing twice: what
+    is gone already is noted as ``absent``.
+    """
+    done = events.where(F.col("status") == CONVERTED).select("name", F.col("txt_path").alias("path"))
+    delete_files(done).write.mode("overwrite").parquet(ledger)
+    return spark.read.parquet(ledger)
 
 
 def write_inline(spark: SparkSession, run_dir: str, out_dir: str, delete_source: bool = False) -> Conversion:

@@ -1,18 +1,21 @@
 """Every operator as a query on the benchmark's tables."""
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tables
-from .functions import effect_z
-from .operators import association, empirical, normalize, permute, ranking, redundancy, summaries, traits
+from .functions import effect_z, source_name
+from .operators import association, empirical, hashtree, normalize, permute, ranking, redundancy, summaries, traits
+from .operators.dictionary import read_dictionary
 from .operators.ordering import row_index
-from .plans import convert, guard, jobs, pipeline, views
+from .plans import convert, guard, jobs, layout, pipeline, views
+from .schema import CONVERTED, MAX_AF, MIN_AF, NUMERIC_COLUMNS, SCAN_FAILED
 from .sources import files, phenotypes, results, writers
 from .staging import exists, new_path, stage
-from .streaming import ingest
+from .streaming import ingest, states
 
 OBSERVED_RUN = 1
 SEED = 84
@@ -193,14 +196,41 @@ def assoc_scan(spark, sf):
 
 
 def assoc_observed(spark, sf):
-    scan = association.association_scan(tables.presence(spark, sf), tables.phenotype(spark, sf), tables.PERMUTATIONS)
-    return _rounded(scan.where(F.col("perm_id") == association.OBSERVED), "variant")
+    scan = association.association_scan(tables.presence(spark, sf), tables.phenotype(spark, sf), 0)
+    return _rounded(scan, "variant")
 
 
 def assoc_result_rows(spark, sf):
-    """Complete result rows of the scan; the permutations are numpy's."""
-    scan = association.association_scan(tables.presence(spark, sf), tables.phenotype(spark, sf), tables.PERMUTATIONS)
-    return association.result_rows(scan)
+    """Complete result rows of the scan, observed trait and permutations."""
+    scan = association.association_scan(
+        tables.presence(spark, sf), tables.phenotype(spark, sf), tables.PERMUTATIONS, SEED
+    )
+    return _double(association.result_rows(scan), *NUMERIC_COLUMNS)
+
+
+def assoc_moments_numpy(spark, sf):
+    """The scan under numpy's permutations: carriers of each variant and the number of permutations scanned."""
+    scan = association.scan_sums(
+        tables.presence(spark, sf), tables.phenotype(spark, sf), tables.PERMUTATIONS, SEED, method=permute.NUMPY
+    )
+    sums = scan.sums.join(scan.variants, "variant_id")
+    return sums.groupBy("variant").agg(F.max("k").alias("k"), F.count(F.lit(1)).alias("n_scans"))
+
+
+def scan_events(spark, sf):
+    """Outcomes of a scan in which a permutation has lost values: its event tells so, the others are scanned."""
+    pheno = tables.phenotype(spark, sf)
+    permuted = permute.keyed_permutations(pheno, tables.PERMUTATIONS, SEED)
+    lost = (F.col("perm_id") == 2) & (F.col("phenotype") < 0)
+    permuted = permuted.withColumn("phenotype", F.when(~lost, F.col("phenotype")))
+    scan = association.scan_sums(
+        tables.presence(spark, sf), pheno, tables.PERMUTATIONS, SEED, permuted, min_af=MIN_AF, max_af=MAX_AF
+    )
+    rows = scan.sums.groupBy("perm_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    status = F.when(F.col("error").isNull(), CONVERTED).otherwise(SCAN_FAILED).alias("status")
+    return scan.outcomes.join(rows, "perm_id", "left").select(
+        "perm_id", status, "error", F.coalesce("n_rows", F.lit(0)).alias("n_rows")
+    )
 
 
 def redundancy_verdict(spark, sf):
@@ -267,8 +297,130 @@ def convert_set_normalized(spark, sf):
 
 
 def convert_events(spark, sf):
+    """Events of a conversion, all columns but the measured time."""
     done = convert.write_inline(spark, _text_run(spark, sf), new_path(spark, "inline"))
-    return done.events.select("name", "status", F.col("error").isNull().alias("ok"))
+    return done.events.select(
+        "name",
+        "status",
+        (F.col("elapsed_seconds") > 0).alias("timed"),
+        F.regexp_extract("txt_path", r"([^/]+)$", 1).alias("txt_path"),
+        F.regexp_extract("parquet_path", r"/([a-z]+)-[^/]+$", 1).alias("parquet_path"),
+        "error",
+    )
+
+
+def _small_run(spark, sf, rows: DataFrame) -> str:
+    path = new_path(spark, "run")
+    writers.write_result_text(rows, path)
+    return path
+
+
+def convert_growing(spark, sf):
+    """Two runs set-normalised into one dictionary: ids of the first stay, the second adds what is new to it."""
+    rows, out = tables.result_rows(spark, sf), new_path(spark, "growing")
+    parts = [rows.where("perm_id <= 2 and variant_id % 3 = 0"), rows.where("perm_id between 3 and 4")]
+    for nth, part in enumerate(parts):
+        run = _small_run(spark, sf, part)
+        convert.convert(spark, run, f"{out}/facts/run={nth}", f"{out}/variants", convert.SET_NORMALIZED)
+    used = results.read_facts(spark, f"{out}/facts").groupBy("variant_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return read_dictionary(spark, f"{out}/variants").join(used, "variant_id")
+
+
+def stream_set_normalized(spark, sf):
+    """Text run streamed into the set-normalised layout; every batch adds its new variants to the dictionary."""
+    out = new_path(spark, "stream")
+    run = _small_run(spark, sf, tables.result_rows(spark, sf).where("perm_id <= 4 and variant_id % 5 >= perm_id - 1"))
+    ingest.ingest_available(
+        spark, run, f"{out}/facts", f"{out}/events", f"{out}/checkpoint", reference_path=f"{out}/variants",
+        layout=convert.SET_NORMALIZED, max_files=3, delete_source=False,
+    )
+    data = views.open_dataset(spark, f"{out}/facts", f"{out}/variants")
+    return _double(data.results.select("source_file", "variant", "lrt_pvalue"), "lrt_pvalue")
+
+
+def deletion_ledger(spark, sf):
+    """What a conversion that deletes its sources notes, and how many result files are left."""
+    run = _small_run(spark, sf, tables.result_rows(spark, sf).where("perm_id <= 3"))
+    facts = f"{new_path(spark, 'moved')}/facts"
+    done = convert.write_inline(spark, run, facts, delete_source=True)
+    again = convert.delete_converted(spark, done.events, f"{facts}_again")
+    ledger = spark.read.parquet(convert.ledger_path(facts))
+    joined = ledger.join(again.select("name", F.col("outcome").alias("second")), "name")
+    return joined.select("name", "outcome", "second")
+
+
+def event_progress(spark, sf):
+    """Finished, failed and remaining runs from the events of a conversion."""
+    events = new_path(spark, "events")
+    convert.convert(spark, _text_run(spark, sf), new_path(spark, "inline"), layout=convert.INLINE, events_path=events)
+    return ingest.progress(spark, events, total=tables.RUNS + 5)
+
+
+def event_states(spark, sf):
+    """Events streamed file by file into a running state per job; the last states."""
+    landed, out = new_path(spark, "landed"), new_path(spark, "states")
+    events = tables.run_events(spark, sf)
+    events.repartition(3).write.parquet(landed)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    states.start_job_states(stream, out, f"{out}-checkpoint", total=60, available_now=True).awaitTermination()
+    last = states.latest_states(spark, out)
+    return last.withColumns({c: F.round(c, 6) for c in ("mean_elapsed", "eta_seconds")})
+
+
+def order_differences(spark, sf):
+    """Where each file departs from the reference first, found through hashes of row blocks."""
+    lists = tables.ordered_lists(spark, sf)
+    reference = lists.where("source_file = 'f1'").select(F.col("row_idx").alias("variant_id"), "variant")
+    return hashtree.first_differences(lists, reference)
+
+
+def layout_cases(spark, sf):
+    """The verdict for pairs of files that are identical, of one set, overlapping and disjoint."""
+    cases = tables.layout_cases(spark, sf)
+    names = ["identical", "same set", "overlap", "disjoint"]
+    found = [redundancy.verdict(cases.where(F.col("case") == n).drop("case")).withColumn("case", F.lit(n)) for n in names]
+    return reduce(DataFrame.unionByName, found)
+
+
+def layout_check(spark, sf):
+    """Verdicts over the first three files of a run, for their variants and for another column."""
+    run = _text_run(spark, sf)
+    found = [layout.check_run(spark, run, 3, c).withColumn("of", F.lit(c)) for c in ("variant", "notes")]
+    return found[0].unionByName(found[1])
+
+
+def _master_text(spark, sf) -> str:
+    path = new_path(spark, "master")
+    tables.master(spark, sf).write.option("sep", "\t").option("header", True).csv(path)
+    return path
+
+
+def trait_cells(spark, sf):
+    """One trait of a wide table that is read as cells."""
+    return traits.trait_of_cells(phenotypes.read_master_cells(spark, _master_text(spark, sf), "id"), "t1")
+
+
+def trait_cell_counts(spark, sf):
+    return traits.cell_counts(phenotypes.read_master_cells(spark, _master_text(spark, sf), "id"))
+
+
+def run_names(spark, sf):
+    """Names of runs and jobs from paths as Spark reports them."""
+    key = F.col("p_partkey").cast("string")
+    uri = F.when(
+        F.col("p_partkey") % 2 == 0, F.concat(F.lit("file:/runs/a%20b/perm_"), key, F.lit(".v1.txt"))
+    ).otherwise(F.concat(F.lit("file:/runs/source_file=perm_"), key, F.lit("/part-0.txt")))
+    paths = tables.load(spark, sf, "part").select("p_partkey", uri.alias("path"))
+    return paths.select("p_partkey", source_name(F.col("path")).alias("source_file"))
+
+
+def job_names(spark, sf):
+    """Jobs of traits and variant files."""
+    segments = tables.load(spark, sf, "customer").select(F.col("c_mktsegment").alias("trait"))
+    files_ = tables.load(spark, sf, "orders").select(
+        F.concat(F.lit("/data/variants/"), "o_orderpriority", F.lit(".tsv.gz")).alias("path")
+    )
+    return jobs.job_matrix(segments, jobs.variant_types(files_))
 
 
 def stream_inline(spark, sf):
@@ -362,17 +514,43 @@ def rolling_eta(spark, sf):
     return summaries.rolling_eta(tables.run_events(spark, sf))
 
 
-def end_to_end(spark, sf):
-    """Trait → permutations → scan → Parquet → views; the observed run's rows."""
+def _run_end_to_end(spark, sf, layout: str) -> tuple[pipeline.RunConfig, views.Dataset]:
     config = pipeline.RunConfig(
-        base_dir=new_path(spark, "e2e"), population="ALL", traits=["balance"], n_perms=tables.PERMUTATIONS
+        base_dir=new_path(spark, "e2e"), population="ALL", traits=["balance"], n_perms=tables.PERMUTATIONS, layout=layout
     )
     pheno = tables.phenotype(spark, sf)
     master = pheno.select(F.col("sample").alias("ID"), F.col("phenotype").cast("string").alias("balance"))
     pipeline.run(config, master, {"orders": tables.presence(spark, sf)})
-    dataset = pipeline.open_run(spark, config, "balance", "orders")
-    observed = dataset.results.where(F.col("perm_id") == 0)
-    return _double(observed.select("variant", "af", "beta", "beta_std_err", "notes"), "af", "beta", "beta_std_err")
+    return config, pipeline.open_run(spark, config, "balance", "orders")
+
+
+def _end_to_end_rows(dataset: views.Dataset) -> DataFrame:
+    picked = dataset.results.select("source_file", "perm_id", "variant", "af", "beta", "beta_std_err", "notes")
+    return _double(picked, "af", "beta", "beta_std_err")
+
+
+def end_to_end(spark, sf):
+    """Trait → permutations → scan → Parquet → views; the rows of all runs."""
+    return _end_to_end_rows(_run_end_to_end(spark, sf, pipeline.NORMALIZED)[1])
+
+
+def end_to_end_inline(spark, sf):
+    """The same with variant strings on the rows."""
+    return _end_to_end_rows(_run_end_to_end(spark, sf, pipeline.INLINE)[1])
+
+
+def end_to_end_events(spark, sf):
+    """Events of a run, all columns but the measured time, and the run's history."""
+    config, _ = _run_end_to_end(spark, sf, pipeline.NORMALIZED)
+    events = spark.read.parquet(config.path("run_events", "balance", "orders"))
+    return events.select(
+        "name",
+        "status",
+        (F.col("elapsed_seconds") >= 0).alias("timed"),
+        "txt_path",
+        F.regexp_extract("parquet_path", r"/(permutations/.*)$", 1).alias("parquet_path"),
+        "error",
+    )
 
 
 def _dataset(spark, sf) -> views.Dataset:
@@ -415,6 +593,14 @@ def guarded_preview(spark, sf):
     return spark.createDataFrame([(answer["row_count"], len(answer["rows"]))], "row_count long, shown int")
 
 
+def preview_rows(spark, sf):
+    """The rows that the query tool shows of an ordered query, and how many there are."""
+    sql = "select source_file, variant_id, notes from permutations where variant_id <= 20 order by variant_id, source_file"
+    answer = json.loads(guard.run_tool(_dataset(spark, sf), "query_results", {"sql": sql}))
+    shown = [(r["source_file"], r["variant_id"], r["notes"], answer["row_count"]) for r in answer["rows"]]
+    return spark.createDataFrame(shown, "source_file string, variant_id int, notes string, total long")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -451,6 +637,8 @@ QUERIES = {
         assoc_scan,
         assoc_observed,
         assoc_result_rows,
+        assoc_moments_numpy,
+        scan_events,
         redundancy_verdict,
         redundancy_sets,
         set_normalize,
@@ -460,6 +648,19 @@ QUERIES = {
         convert_set_normalized,
         convert_events,
         stream_inline,
+        convert_growing,
+        stream_set_normalized,
+        deletion_ledger,
+        event_progress,
+        event_states,
+        order_differences,
+        layout_cases,
+        layout_check,
+        trait_cells,
+        trait_cell_counts,
+        run_names,
+        job_names,
+        preview_rows,
         read_column,
         file_listing,
         raw_file,
@@ -473,6 +674,8 @@ QUERIES = {
         job_queue,
         rolling_eta,
         end_to_end,
+        end_to_end_inline,
+        end_to_end_events,
         guarded_preview,
     )
 } | {

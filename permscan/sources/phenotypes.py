@@ -8,7 +8,10 @@ from ..schema import PHENOTYPE, RUN_SUMMARY
 
 
 def read_master(spark: SparkSession, path: str) -> DataFrame:
-    """Wide phenotype table: an id column and one column per trait, all as text."""
+    """Wide phenotype table: an id column and one column per trait, all as text.
+
+    Spark's CSV reader takes at most 20,480 columns; :func:`read_master_cells` has no limit.
+    """
     return spark.read.option("sep", "\t").option("header", True).option("escape", '"').csv(path)
 
 
@@ -17,12 +20,12 @@ def read_phenotype(spark: SparkSession, path: str, header: bool = False) -> Data
     return spark.read.schema(PHENOTYPE).option("sep", "\t").option("header", header).csv(path)
 
 
-def read_presence(spark: SparkSession, path: str, id_column: str | None = None) -> DataFrame:
-    """Presence/absence matrix (one row per variant, one column per sample) as (variant, sample, present).
+def _cells(spark: SparkSession, path: str, id_column: str | None) -> DataFrame:
+    """``(id, name, cell)`` of a tab-separated table with a header, one row per cell but the id's.
 
-    Lines are read as text and paired with the header's names inside the row, so neither the number of samples nor
-    the size of the plan is limited. All files repeat one header. Blank lines are skipped, missing and empty cells
-    count as absent, cells beyond the header are left out. Quotes around a field go; a tab always ends a field.
+    Lines are read as text and paired with the header's names inside the row, so neither the number of columns nor
+    the size of the plan is limited. All files repeat one header. Blank lines are skipped, missing cells are NULL,
+    cells beyond the header are left out. Quotes around a field go; a tab always ends a field.
     """
     lines = spark.read.text(path).where(F.trim("value") != "")
     header = lines.first()
@@ -31,24 +34,39 @@ def read_presence(spark: SparkSession, path: str, id_column: str | None = None)
     names = [name.removeprefix('"').removesuffix('"') for name in header.value.split("\t")]
     id_column = id_column or names[0]
     if id_column not in names:
-        raise ValueError(f"The header of {path} has no column {id_column!r}")
+        raise ValueError(f"The header of {path} lacks the id column {id_column!r}")
     at = names.index(id_column)
     fields = F.transform(F.split("value", "\t", -1), lambda field: F.regexp_replace(field, '^"(.*)"$', "$1"))
     # The header enters the plan as one literal, split there.
-    samples = F.split(F.lit("\t".join(names)), "\t", -1)
-    cell = trait_number(F.col("c.cell"))
+    columns = F.split(F.lit("\t".join(names)), "\t", -1)
     return (
         lines.where(F.col("value") != header.value)
         .select(fields.alias("cell"))
         .select(
-            F.nullif(F.get("cell", F.lit(at)), F.lit("")).alias("variant"),
-            F.posexplode(F.arrays_zip(samples.alias("sample"), F.col("cell"))).alias("at", "c"),
+            F.nullif(F.get("cell", F.lit(at)), F.lit("")).alias("id"),
+            F.posexplode(F.arrays_zip(columns.alias("name"), F.col("cell"))).alias("at", "c"),
         )
-        .where((F.col("at") != at) & F.col("c.sample").isNotNull())
-        .select("variant", "c.sample", F.when(cell != 0, 1).otherwise(0).alias("present"))
+        .where((F.col("at") != at) & F.col("c.name").isNotNull())
+        .select("id", "c.name", "c.cell")
     )
 
 
+def read_master_cells(spark: SparkSession, path: str, id_column: str = "ID") -> DataFrame:
+    """Wide phenotype table of any number of traits as ``(sample, trait, value)``, values as text; see :func:`_cells`."""
+    cells = _cells(spark, path, id_column)
+    return cells.select(F.col("id").alias("sample"), F.col("name").alias("trait"), F.col("cell").alias("value"))
+
+
+def read_presence(spark: SparkSession, path: str, id_column: str | None = None) -> DataFrame:
+    """Presence/absence matrix (one row per variant, one column per sample) as ``(variant, sample, present)``.
+
+    Read as :func:`_cells` says; missing and empty cells count as absent.
+    """
+    present = F.when(trait_number(F.col("cell")) != 0, 1).otherwise(0)
+    cells = _cells(spark, path, id_column)
+    return cells.select(F.col("id").alias("variant"), F.col("name").alias("sample"), present.alias("present"))
+
+
 def read_history(spark: SparkSession, base_dir: str) -> DataFrame:
     """Past runs from their summaries, newest first."""
     return (

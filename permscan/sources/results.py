@@ -103,7 +103,7 @@ def read_results(spark: SparkSession, path, names: list[str] | None = None) -> D
 def read_column(spark: SparkSession, path, column: str) -> DataFrame:
     """One column of result files, under its table name."""
     if column not in RESULT_COLUMNS:
-        raise ValueError(f"Unknown column {column!r}; expected one of {RESULT_COLUMNS}")
+        raise ValueError(f"Result files have no column {column!r}, only {RESULT_COLUMNS}")
     return read_results(spark, path).select(column)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.normalize import positional_reference
 from ..operators.ordering import row_index
-from ..plans.convert import INLINE, NORMALIZED, convert, delete_converted, stage_lines
+from ..plans.convert import INLINE, NORMALIZED, convert, delete_converted, ledger_path, stage_lines
 from ..sources.files import first_files
 from ..sources.writers import write_variants
 from ..staging import exists
@@ -23,7 +23,7 @@ def bootstrap_reference(spark: SparkSession, run_dir: str, reference_path: str)
         return
     paths = first_files(spark, run_dir, sample=1)
     if not paths:
-        raise ValueError(f"No result files found in {run_dir}")
+        raise ValueError(f"{run_dir} holds no result files")
     lines = stage_lines(spark, paths)
     source = lines.agg(F.min("source_file")).first()[0]
     write_variants(positional_reference(row_index(lines), source), reference_path)
@@ -32,7 +32,7 @@ def bootstrap_reference(spark: SparkSession, run_dir: str, reference_path: str)
 def _sweep(spark: SparkSession, events_path: str, batch: int) -> None:
     committed = f"{events_path}/batch={batch}"
     if exists(spark, committed):
-        delete_converted(spark, spark.read.parquet(committed))
+        delete_converted(spark, spark.read.parquet(committed), ledger_path(committed))
 
 
 def start_ingest(
@@ -45,16 +45,18 @@ def start_ingest(
     max_files: int = 1000,
     delete_source: bool = True,
     available_now: bool = False,
+    layout: str | None = None,
 ) -> StreamingQuery:
     """Stream new result files of ``run_dir`` into Parquet rows and run events.
 
     The stream lists files only; each batch goes through the batch conversion. Rows and events of a batch
     live in a folder named after it, which a replayed batch overwrites. The sources of a batch are deleted
     once the next one starts, when its commit is certain; :func:`ingest_available` also sweeps the last.
-    Writers must move finished files into ``run_dir``.
+    Writers must move finished files into ``run_dir``. Without a ``layout`` a reference path means the normalised one;
+    in the set-normalised layout every batch adds its new variants to the dictionary at that path.
     """
-    layout = NORMALIZED if reference_path else INLINE
-    if reference_path:
+    layout = layout or (NORMALIZED if reference_path else INLINE)
+    if layout == NORMALIZED:
         bootstrap_reference(spark, run_dir, reference_path)
 
     def convert_batch(files: DataFrame, batch: int) -> None:

@@ -108,3 +108,47 @@ def variant_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("source_file"),
         F.col("l_partkey").cast("string").alias("variant"),
     )
+
+
+def ordered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of five files by position: the parts in order, one value changed, reversed, cut off, and one too many."""
+    parts = load(spark, sf_dir, "part")
+    size = parts.agg(F.max("p_partkey") + 1).scalar()
+    base = _spread(parts.select("p_partkey", _variant().alias("variant"))).withColumn("n", size)
+    changed = F.when(F.col("p_partkey") % 1000 == 7, F.concat("variant", F.lit("?"))).otherwise(F.col("variant"))
+    place = F.col("p_partkey")
+
+    def file(name, at, variant):
+        return F.struct(F.lit(name).alias("source_file"), at.alias("row_idx"), variant.alias("variant"))
+
+    same = F.col("variant")
+    none = F.lit(None).cast("string")
+    extra = place == F.col("n") - 1
+    rows = F.array(
+        file("f1", place, same),
+        file("f2", place, changed),
+        file("f3", F.col("n") - 1 - place, same),
+        file("f4", F.when(place < F.col("n") - 10, place), same),
+        file("f5", place, same),
+        file("f5", F.when(extra, F.col("n")), F.when(extra, F.lit("extra")).otherwise(none)),
+    )
+    return base.select(F.explode(rows).alias("r")).select("r.*").where("row_idx is not null")
+
+
+def layout_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of files (case, source_file, row_idx, variant) that call for each of the layouts."""
+    parts = _spread(load(spark, sf_dir, "part").select("p_partkey", _variant().alias("variant")))
+    place, key = F.col("p_partkey"), F.col("p_partkey") % 10
+
+    def row(case, name, at, held):
+        values = F.struct(F.lit(case).alias("case"), F.lit(name).alias("source_file"), at.alias("row_idx"), F.col("variant"))
+        return F.when(held, values)
+
+    every = F.lit(True)
+    rows = F.array(
+        row("identical", "a", place, every), row("identical", "b", place, every),
+        row("same set", "a", place, every), row("same set", "b", -place, every),
+        row("overlap", "a", place, key < 7), row("overlap", "b", place, key > 2),
+        row("disjoint", "a", place, key < 5), row("disjoint", "b", place, key >= 5),
+    )
+    return parts.select(F.explode(rows).alias("r")).where("r is not null").select("r.*")

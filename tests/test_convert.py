@@ -5,9 +5,9 @@ import pytest
 from conftest import line, rows, write_run
 from pyspark.sql import functions as F
 
-from permscan.operators import normalize, redundancy
+from permscan.operators import dictionary, hashtree, normalize, redundancy
 from permscan.operators.ordering import row_index
-from permscan.plans import convert, views
+from permscan.plans import convert, layout, views
 from permscan.plans.convert import stage_lines
 from permscan.schema import RAW_HEADER
 from permscan.sources import results, writers
@@ -60,12 +60,56 @@ def test_set_layout(spark, tmp_path):
     assert data.variants.count() == 32
 
 
+def test_a_dictionary_grows_and_keeps_its_ids(spark, tmp_path):
+    path = str(tmp_path / "v")
+
+    def grow(*names):
+        return dictionary.grow(spark, path, spark.createDataFrame([(n,) for n in names], "variant string"))
+
+    assert grow("b", "d", "b", None) == 1
+    assert grow("a", "d", "c") == 2
+    assert grow("a", "b") == 2 and grow() == 2
+    now = dictionary.read_dictionary(spark, path)
+    assert rows(now) == [(0, "b", 1), (1, "d", 1), (2, "a", 2), (3, "c", 2)]
+    assert rows(dictionary.read_dictionary(spark, path, 1), "variant") == [("b",), ("d",)]
+
+
+def test_runs_and_streams_share_a_dictionary(spark, tmp_path):
+    first = write_run(tmp_path / "r1", {"perm_0001": [line(v) for v in VARIANTS[10:30]]})
+    second = write_run(tmp_path / "r2", {"perm_0002": [line(v) for v in VARIANTS[:20]], "perm_0003": [line("zzz"), line("ACGT011")]})
+    variants = str(tmp_path / "v")
+    convert.convert(spark, first, str(tmp_path / "f" / "run=1" / "batch=0"), variants, convert.SET_NORMALIZED)
+    before = rows(dictionary.read_dictionary(spark, variants))
+    for attempt in ("c1", "c2"):  # a replay gives no new ids
+        ingest.ingest_available(
+            spark, second, str(tmp_path / "f" / "run=2"), str(tmp_path / "e"), str(tmp_path / attempt), reference_path=variants,
+            layout=convert.SET_NORMALIZED, max_files=1, delete_source=False,
+        )
+    after = rows(dictionary.read_dictionary(spark, variants))
+    assert set(before) < set(after) and len({r[0] for r in after}) == len({r[1] for r in after}) == len(after) == 31
+    data = views.open_dataset(spark, str(tmp_path / "f"), variants)
+    assert data.results.groupBy("source_file").count().orderBy("source_file").collect() == [
+        ("perm_0001", 20), ("perm_0002", 20), ("perm_0003", 2)
+    ]
+
+
+def test_deletion_is_noted_and_can_be_repeated(spark, tmp_path):
+    path = run_files(tmp_path, 3)
+    done = convert.write_inline(spark, path, str(tmp_path / "out"), delete_source=True)
+    ledger = spark.read.parquet(convert.ledger_path(str(tmp_path / "out")))
+    assert rows(ledger, "name", "outcome") == [(f"perm_000{i}", "deleted") for i in (1, 2, 3)]
+    again = convert.delete_converted(spark, done.events, str(tmp_path / "again"))
+    assert rows(again, "outcome") == [("absent",)] * 3
+    assert not list((tmp_path / "run").glob("*.txt"))
+
+
 def test_order_mismatch_names_the_first_difference(spark, tmp_path):
     path = run_files(tmp_path)
     moved = VARIANTS[:5] + VARIANTS[6:8] + [VARIANTS[5]] + VARIANTS[8:]
     write_run(tmp_path / "run", {"perm_0002": [line(v) for v in moved]})
-    with pytest.raises(normalize.ReferenceMismatch, match="perm_0002: .* row 5: expected 'ACGT005', found 'ACGT006'"):
+    with pytest.raises(normalize.ReferenceMismatch, match="perm_0002: .* row 5: expected 'ACGT005', found 'ACGT006'") as found:
         convert.write_normalized(spark, path, str(tmp_path / "n" / "f"))
+    assert rows(found.value.differences) == [("perm_0002", 5, "ACGT005", "ACGT006")]
     assert not (tmp_path / "n" / "f").exists()
 
 
@@ -126,7 +170,7 @@ def test_mixed_headers_are_matched_by_name(spark, tmp_path):
 
 def test_no_files(spark, tmp_path):
     (tmp_path / "empty").mkdir()
-    with pytest.raises(ValueError, match="No result files"):
+    with pytest.raises(ValueError, match="holds no result files"):
         convert.write_inline(spark, str(tmp_path / "empty"), str(tmp_path / "o"))
 
 
@@ -169,6 +213,42 @@ def test_verdicts(spark, a, b, expected):
     assert (row.n_union, row.sum_unique) == (len({*a, *b}), len(set(a)) + len(set(b)))
 
 
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_first_differences_of_every_file(spark, monkeypatch, block):
+    monkeypatch.setattr(hashtree, "FAN", 3)
+    draw = random.Random(block)
+    base = [f"v{i}" for i in range(200)]
+    files = {"f0": base, "f1": base[::-1], "f2": base[:-1], "f3": [*base, "w"], "f4": []}
+    files |= {f"g{n}": base[: (at := draw.randrange(200))] + [None] + base[at + 1 :] for n in range(8)}
+    files |= {"h": ["x", *base]}
+    found = lists(spark, **files)
+    reference = lists(spark, r=base).select(F.col("row_idx").alias("variant_id"), "variant")
+    expected = []
+    for name, values in files.items():
+        for at in range(max(len(values), len(base))):
+            due = base[at] if at < len(base) else None
+            met = values[at] if at < len(values) else None
+            if due != met or (at < len(base)) != (at < len(values)):
+                expected += [(name, at, due, met)] * bool(values)  # a file without rows is unknown
+                break
+    assert rows(hashtree.first_differences(found, reference, rows=block)) == sorted(expected, key=repr)
+    same = lists(spark, a=base, b=base)
+    assert hashtree.first_differences(same, reference, rows=block).isEmpty()
+    assert rows(hashtree.first_differences(same, reference.where("false"), rows=block), "row_idx", "expected") == [(0, None)] * 2
+
+
+def test_layout_of_the_first_files(spark, tmp_path):
+    path = run_files(tmp_path, 3)
+    write_run(tmp_path / "run", {"perm_0003": [line("other", notes="n")]})
+    two = layout.check_run(spark, path, sample=2).first()
+    assert (two.n_files, two.n_rows, two.verdict) == (2, 2 * len(VARIANTS), "normalized")
+    assert layout.check_run(spark, path, sample=3).first().verdict == "set_normalized_overlap"
+    assert layout.check_run(spark, path, sample=2, column="lrt_pvalue").first().verdict == "set_normalized_overlap"
+    assert layout.check_files(spark, path, sample=3).where("same_set").count() == 2
+    with pytest.raises(ValueError, match="no column 'x'"):
+        layout.check_run(spark, path, column="x")
+
+
 def test_redundancy_by_file(spark):
     got = redundancy.redundancy_by_file(lists(spark, f1=["x", "y"], f2=["y", "x"], f3=["x", "z"]))
     columns = ("source_file", "n_rows", "identical", "n_unique", "n_shared", "same_set")

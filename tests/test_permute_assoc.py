@@ -6,7 +6,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from permscan.functions import chi2_tail
-from permscan.operators import association, permute
+from permscan.operators import association, grid, permute
 
 
 @pytest.fixture(scope="module")
@@ -58,24 +58,98 @@ def test_keyed_permutations_keep_repeated_samples(spark):
         assert sorted(s for p, s, _ in got if p == i) == ["a", "a", "b"]
 
 
-def test_both_forms_of_the_sums_agree(spark, pheno, presence, monkeypatch):
-    carriers = association.carriers_of(presence)
-    blocks = {(r.perm_id, r.variant): (r.k, r.t) for r in association.sums_by_blocks(carriers, pheno, 5).collect()}
-    observed = pheno.select(F.lit(0).alias("perm_id"), "sample", "phenotype")
-    drawn = observed.unionByName(permute.numpy_permutations(pheno, 5))
-    joined = {(r.perm_id, r.variant): (r.k, r.t) for r in association.sums_by_join(carriers, drawn).collect()}
-    assert blocks.keys() == joined.keys() and len(blocks) > 100
-    assert all(blocks[k] == pytest.approx(joined[k], abs=1e-9) for k in blocks)
-    assert sorted(joined) == sorted(blocks)
-    monkeypatch.setattr(association, "BLOCK_VALUES", 130)
-    monkeypatch.setattr(association, "PACKED_SAMPLES", 7)
-    small = {(r.perm_id, r.variant): (r.k, r.t) for r in association.sums_by_blocks(carriers, pheno, 5).collect()}
-    assert all(blocks[k] == pytest.approx(small[k], abs=1e-9) for k in blocks)
+SMALL = grid.Blocks(samples=7, variants=4, perms=2, dense=3)
+
+
+def sums_of(scan):
+    return {(r.perm_id, r.variant): (r.k, r.t) for r in scan.sums.join(scan.variants, "variant_id").collect()}
+
+
+def near(sums):
+    """Sums whose last digits may depend on the order in which they were formed."""
+    return {key: (k, pytest.approx(t, abs=1e-9)) for key, (k, t) in sums.items()}
+
+
+def expected_sums(pheno, presence, drawn):
+    """drawn: perm_id → values in the order of the samples."""
+    at = {f"s{i:03d}": i for i in range(60)}
+    held = {}
+    for r in presence.collect():
+        if r.sample in at:
+            held.setdefault(r.variant, set()).add(at[r.sample])
+    return {
+        (perm, variant): (len(rows), pytest.approx(sum(values[i] for i in rows), abs=1e-9))
+        for perm, values in drawn.items()
+        for variant, rows in held.items()
+    }
+
+
+@pytest.mark.parametrize("size", [grid.Blocks(), SMALL])
+def test_cells_add_up_to_the_sums(spark, pheno, presence, size):
+    y = np.array(vector(pheno))
+    drawn = {i: np.random.default_rng(84 + i).permutation(y) if i else y for i in range(6)}
+    scan = association.scan_sums(presence, pheno, 5, method=permute.NUMPY, size=size)
+    assert sums_of(scan) == expected_sums(pheno, presence, drawn)
+    keyed = permute.keyed_permutations(pheno, 5)
+    by_perm = {}
+    for r in keyed.orderBy("perm_id", "sample").collect():
+        by_perm.setdefault(r.perm_id, []).append(r.phenotype)
+    given = sums_of(association.scan_sums(presence, pheno, 5, permuted=keyed, size=size))
+    assert given == expected_sums(pheno, presence, by_perm)
+    drawn_here = sums_of(association.scan_sums(presence, pheno, 5, size=size))
+    assert {key: v for key, v in drawn_here.items() if key[0]} == near(given)
+    plan = scan.sums._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan
+
+
+def test_draws_are_made_once_per_set_of_samples(spark, pheno, presence, monkeypatch):
+    made = []
+    draw = permute.PermutationStore._draw
+    monkeypatch.setattr(permute.PermutationStore, "_draw", lambda self, index, n: made.append(n) or draw(self, index, n))
+    store = permute.PermutationStore(4, block=SMALL.samples)
+    other = pheno.withColumn("phenotype", F.col("phenotype") * 2 + 1)
+    first = sums_of(association.scan_sums(presence, pheno, 4, store=store, size=SMALL))
+    second = sums_of(association.scan_sums(presence.where("variant < 'v09'"), pheno, 4, store=store, size=SMALL))
+    third = sums_of(association.scan_sums(presence, other, 4, store=store, size=SMALL))
+    assert made == [60] and first and second
+    assert all(third[key] == (k, pytest.approx(2 * t + k)) for key, (k, t) in first.items())
+    assert second == near({key: value for key, value in first.items() if key[1] < "v09"})
+    association.scan_sums(presence, pheno.where("sample > 's004'"), 4, store=store, size=SMALL)
+    assert made == [60, 55]
+    draws = store.draws(permute.sample_index(pheno))
+    assert draws.groupBy("perm_id", "block").count().where("count > 1").isEmpty()
+
+
+def test_a_poisoned_permutation_does_not_stop_the_others(spark, pheno, presence):
+    keyed = permute.keyed_permutations(pheno, 6)
+    value = F.when((F.col("perm_id") == 2) & (F.col("sample") == "s011"), F.lit(None)).otherwise(F.col("phenotype"))
+    odd = keyed.withColumn("phenotype", value).where("perm_id <> 3 or sample <> 's012'")
+    twice = odd.where("perm_id = 5 and sample = 's001'")
+    whole = sums_of(association.scan_sums(presence, pheno, 6, permuted=keyed, size=SMALL))
+    scan = association.scan_sums(presence, pheno, 6, permuted=odd.union(twice), size=SMALL)
+    errors = {r.perm_id: r.error for r in scan.outcomes.collect()}
+    assert errors[1] is errors[4] is errors[6] is None
+    assert errors[2].startswith("missing") and errors[3] == "59 phenotype values for 60 samples"
+    assert errors[5].startswith("more than one")
+    assert all(r.elapsed_seconds >= 0 for r in scan.outcomes.collect())
+    assert sums_of(scan) == near({key: value for key, value in whole.items() if key[0] in (1, 4, 6)})
+
+
+def test_an_error_in_one_cell_fails_its_permutations_only():
+    cells = [grid._Cell(2, grid.Blocks(samples=2)) for _ in range(2)]
+    for cell in cells:
+        cell.add_values(0, np.array([7, 8]), [np.array([0, 1])] * 2, [np.array([1.0, 2.0]), np.array([3.0, 4.0])])
+        cell.add_carriers(0, np.array([0]), np.array([1]), [np.array([1])])
+    cells[1].broken = "ValueError: broken"
+    good, bad = ([b.to_pylist() for b in cell.results()] for cell in cells)
+    assert [(r["perm_id"], r["t"]) for r in good[0]] == [(7, 2.0), (8, 4.0)]
+    assert [r["error"] for r in good[1]] == [None, None]
+    assert len(bad) == 1 and [r["error"] for r in bad[0]] == ["ValueError: broken"] * 2
 
 
 def test_scan_against_regression(spark, pheno, presence):
     scan = association.association_scan(
-        presence, pheno, 2, min_af=0.05, max_af=0.95, method=association.NUMPY
+        presence, pheno, 2, min_af=0.05, max_af=0.95, method=permute.NUMPY
     ).collect()
     assert {r.variant for r in scan} >= {"v10", "v20"} and "all" not in {r.variant for r in scan}
     y0 = np.array(vector(pheno))
@@ -94,15 +168,15 @@ def test_scan_against_regression(spark, pheno, presence):
         assert r.lrt_stat == pytest.approx(60 * math.log(((y - y.mean()) ** 2).sum() / rss), abs=1e-8)
 
 
-def test_join_form_beyond_the_vector_size(spark, pheno, presence, monkeypatch):
-    packed = association.association_scan(presence, pheno, 1, method=association.NUMPY)
+def test_keyed_draws_beyond_the_vector_size(spark, pheno, presence, monkeypatch):
+    packed = association.association_scan(presence, pheno, 1, method=permute.NUMPY)
     observed = {r.variant: r.beta for r in packed.where("perm_id = 0").collect()}
     monkeypatch.setattr(permute, "VECTOR_SAMPLES", 10)
     with pytest.raises(permute.TooManySamples):
-        association.association_scan(presence, pheno, 1, method=association.NUMPY)
-    joined = association.association_scan(presence, pheno, 1)
-    assert {r.variant: pytest.approx(r.beta) for r in joined.where("perm_id = 0").collect()} == observed
-    assert joined.select("perm_id").distinct().count() == 2
+        association.association_scan(presence, pheno, 1, method=permute.NUMPY)
+    keyed = association.association_scan(presence, pheno, 1)
+    assert {r.variant: pytest.approx(r.beta) for r in keyed.where("perm_id = 0").collect()} == observed
+    assert keyed.select("perm_id").distinct().count() == 2
 
 
 @pytest.mark.parametrize("limit", [0, 1000])
@@ -132,8 +206,12 @@ def test_result_rows(spark, pheno, presence):
 
 
 def test_chi2_tail(spark):
-    values = [0.0, 0.5, 3.841458820694124, 50.0, 1400.0, None]
+    values = [0.0, 0.5, 3.841458820694124, 50.0, 1400.0, *(0.01 * 1.13**i for i in range(95)), -1.0, None]
     df = spark.createDataFrame([(v,) for v in values], "x double").coalesce(1)
     got = [r[0] for r in df.select(chi2_tail("x")).collect()]
     assert got[0] == 1.0 and got[2] == pytest.approx(0.05) and got[-1] is None
     assert got[4] == pytest.approx(math.erfc(math.sqrt(700)), rel=1e-12) and got[4] > 0
+    for x, tail in zip(values[:-2], got):
+        assert tail == pytest.approx(math.erfc(math.sqrt(x / 2)), rel=1e-12)
+    assert got[-2] == 1.0
+    assert "Python" not in df.select(chi2_tail("x"))._jdf.queryExecution().toString()

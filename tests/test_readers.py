@@ -134,7 +134,7 @@ def test_trait_extraction(spark, tmp_path):
     assert got == sorted([("s1", 1.5), ("s2", 2.0), ("s6", math.inf), ("s1", 7.0)], key=repr)
     # An id does not matter for the preview of valid values.
     assert rows(valid_counts(master)) == [("T", 6), ("U", 0)]
-    with pytest.raises(ValueError, match="trait column 'Z' not found. Columns: "):
+    with pytest.raises(ValueError, match="lacks the trait column 'Z'"):
         extract_trait(master, "Z")
     with pytest.raises(ValueError, match="ID column 'sample' not found"):
         extract_trait(master, "T", "sample")

@@ -34,6 +34,9 @@ def dataset(spark):
         ("select variant, count(*) as n from results group by all having n > 1", 3),
         ("select count(*) as reflected from permutations", 1),
         ("select notes from permutations where notes like '%reflect%'", 0),
+        ("select notes from permutations where notes like '%reflect(%' or notes = \"identifier('x')\"", 0),
+        ("select 1 as a /* reflect('x') /* nested */ reflect(2) */ -- reflect(3)", 1),
+        ("with variants as (select 7 as x) select * from variants", 1),
     ],
 )
 def test_accepted(dataset, sql, n):
@@ -57,6 +60,10 @@ def test_accepted(dataset, sql, n):
         "select `reflect`/* /* x */ */ ('java.lang.System', 'getenv', 'PATH') as x",
         "select try_reflect -- x\r('java.lang.System', 'getenv', 'PATH') as x",
         "select identifier('ref' || 'lect')('java.lang.System', 'getenv', 'PATH') as x",
+        "select reflect /* /* a */ b */ ('java.lang.System', 'getenv', 'PATH') as x",
+        "select r'\\', reflect('java.lang.System', 'getenv', 'PATH') as x, '",
+        "select r'\\' as y, reflect('java.lang.System', 'getenv', 'PATH') as x",
+        "select /*+ f(') */ 1 as a, ') */ reflect('java.lang.System', 'getenv', 'PATH') as x",
         "select * from permutations asof join variants on true",
         "select nothing from permutations",
         "create table t as select 1",
@@ -68,6 +75,20 @@ def test_refused(dataset, sql):
     assert dataset.session.sql("select count(*) from permutations").first()[0] == 400
 
 
+def test_tables_of_a_shared_catalog_are_refused(spark, dataset, tmp_path):
+    spark.sql(f"create table shared_numbers using parquet location '{tmp_path}/t' as select 1 as x")
+    try:
+        for sql in (
+            "select * from shared_numbers",
+            "select count(*) as n from permutations where variant_id in (select x from default.shared_numbers)",
+            "with a as (select * from spark_catalog.default.shared_numbers) select * from a",
+        ):
+            with pytest.raises(guard.RefusedQuery, match="shared_numbers"):
+                guard.read_only(dataset.session, sql)
+    finally:
+        spark.sql("drop table shared_numbers")
+
+
 def test_views_do_not_leak(spark, dataset):
     assert not spark.catalog.tableExists("permutations")
 
@@ -79,7 +100,7 @@ def test_preview_and_tool(dataset):
     assert {"variant_id": 0, "lrt_pvalue": None} in answer["rows"]
     short = json.loads(guard.run_tool(dataset, "query_results", {"sql": "select timestamp '2024-01-01' as t"}))
     assert short["row_count"] == 1 and "note" not in short and short["rows"][0]["t"].startswith("2024-01-01")
-    assert "Only SELECT/WITH" in json.loads(guard.run_tool(dataset, "query_results", {"sql": "drop table x"}))["error"]
+    assert "SELECT or WITH" in json.loads(guard.run_tool(dataset, "query_results", {"sql": "drop table x"}))["error"]
     assert json.loads(guard.run_tool(dataset, "other", {})) == {"error": "unknown tool 'other'"}
 
 
@@ -97,7 +118,7 @@ def test_top_hits(dataset):
     assert [r.lrt_pvalue for r in every[-100:]] == [None] * 100 and len(every) == 300
     complete = ranking.top_hits(dataset.results.drop("variant"), dataset.variants, limit=2, reference_complete=True)
     assert rows(complete, "variant") == [("C",), ("C",)]
-    with pytest.raises(ValueError, match="Unknown column"):
+    with pytest.raises(ValueError, match="No column"):
         ranking.top_hits(dataset.permutations, column="lrt_pvalue; drop")
 
 
@@ -141,7 +162,22 @@ def test_end_to_end(spark, tmp_path):
     assert rows(data.results.select("source_file").distinct()) == [(f"perm_000{i}",) for i in range(4)]
     everything = spark.read.parquet(str(tmp_path / "base" / "permutations"))
     assert rows(everything.select("population", "trait", "variant_type").distinct()) == [("ALL", "T", "genes"), ("ALL", "U", "genes")]
+    events = spark.read.parquet(config.path("run_events", "T", "genes"))
+    assert rows(events, "name", "status", "error") == [(f"perm_000{i}", "converted", None) for i in range(4)]
     past = phenotypes.read_history(spark, str(tmp_path / "base")).collect()
     assert [(r.timestamp, r.traits, r.variant_types, r.n_perms, r.status) for r in past] == [
         ("20240101T000000Z", ["T", "U"], ["genes"], 3, "done")
     ]
+
+
+def test_a_failing_job_does_not_stop_the_others(spark, tmp_path):
+    master = spark.createDataFrame([(f"s{i}", str(i * i % 7)) for i in range(12)], "ID string, T string")
+    presence = spark.createDataFrame([(f"s{i}", f"g{i % 3}") for i in range(12)], "sample string, variant string")
+    config = pipeline.RunConfig(str(tmp_path / "b"), "ALL", ["missing", "T"], n_perms=2, layout=pipeline.INLINE)
+    past = spark.read.json(pipeline.run(config, master, {"genes": presence})).first()
+    assert past.status == "error"
+    lost = spark.read.parquet(config.path("run_events", "missing", "genes"))
+    assert lost.count() == 3 and lost.where("status = 'scan_failed' and error like '%missing%'").count() == 3
+    assert pipeline.open_run(spark, config, "T", "genes").results.groupBy("variant").count().collect()
+    with pytest.raises(ValueError, match="layout"):
+        pipeline.RunConfig("b", "ALL", [], layout="other")
