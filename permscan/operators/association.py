@@ -64,8 +64,8 @@ def scan_sums(
     if variants is not None:
         held = variants.select("variant").distinct().join(held, "variant", "left").fillna(0, ["k"])
     frequency = F.col("k") / F.lit(max(samples, 1))
-    held = stage(held.where(frequency.between(min_af, max_af)), "held")
-    dictionary = stage(variant_dictionary(held), "variants")
+    held = held.where(frequency.between(min_af, max_af))
+    dictionary = variant_dictionary(held)
     counted = held.join(dictionary, "variant")
     rows = packed.join(counted, "variant").select("variant_id", "k", "block", "at")
     nobody = counted.where("k = 0").select(

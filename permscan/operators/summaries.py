@@ -1,52 +1,12 @@
 """Summaries of permuted statistics, quality flags and run events."""
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import flags, source_name
 from ..schema import CONVERTED
-from .ordering import CHUNK, chunk_offsets, running_total, with_chunks
-
-
-def _histogram(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values in chunks by size, with their count; a NULL counts 0 in ``known``.
-
-    Result values have three digits, so this table is far smaller than the rows. One scan builds it.
-    """
-    counted = df.groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    known = F.when(F.col("value").isNotNull(), F.col("cnt")).otherwise(0)
-    return with_chunks(counted.withColumn("known", known), "value")
-
-
-def _cuts(histogram: DataFrame, probabilities: dict[str, float]) -> DataFrame:
-    """One row of interpolated quantiles: the value at rank r is the smallest whose running count exceeds r.
-
-    Only the few chunks that hold one of the ranks are sorted and counted through.
-    """
-    offsets = chunk_offsets(histogram, "known", totals={"n_known": F.col("known")})
-    ranks = {name: (F.col("n_known") - 1) * F.lit(q) for name, q in probabilities.items()}
-
-    def holds(position):
-        return (F.col("_offset") <= position) & (position < F.col("_offset") + F.col("_sum"))
-
-    wanted = reduce(or_, [holds(F.floor(r)) | holds(F.ceil(r)) for r in ranks.values()])
-    targets = offsets.where(wanted)
-    inside = histogram.join(targets.select(CHUNK), CHUNK, "left_semi")
-    counted = running_total(inside, targets, "known", ("value",), "upto")
-    found = []
-    for name, rank in ranks.items():
-        low = F.min(F.when(F.col("upto") > F.floor(rank), F.col("value")))
-        high = F.min(F.when(F.col("upto") > F.ceil(rank), F.col("value")))
-        found.append((low + (high - low) * F.max(rank - F.floor(rank))).alias(name))
-    return counted.agg(*found)
-
-
-def quantiles(df: DataFrame, column: str, probabilities: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles of a column as one row, one column per named probability."""
-    return _cuts(_histogram(df, column), probabilities)
+from .order_stats import quantiles
+from .ordering import CHUNK, with_chunks
 
 
 POOLED_CUTS = {"p01": 0.01, "median": 0.5, "p99": 0.99}
@@ -54,22 +14,16 @@ POOLED_CUTS = {"p01": 0.01, "median": 0.5, "p99": 0.99}
 
 def pooled_null_distribution(permutations: DataFrame, column: str = "lrt_pvalue") -> DataFrame:
     """One row describing ``column`` over all permutations together."""
-    histogram = _histogram(permutations, column)
-    sums = histogram.agg(
-        F.sum("known").alias("n"), F.sum(F.col("value") * F.col("known")).alias("weighted")
-    )
-    mean = sums.select(F.try_divide("weighted", "n")).scalar()
-    cuts = _cuts(histogram, POOLED_CUTS)
-    off = F.col("value") - F.col("center")
-    known = F.sum("known")
-    described = histogram.withColumn("center", mean).agg(
-        F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"),
-        F.coalesce(known, F.lit(0)).alias("n_non_null"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.max("center").alias("mean"),
-        F.sqrt(F.try_divide(F.sum(F.col("known") * off * off), F.when(known > 1, known - 1))).alias("stddev"),
+    value = F.col(column).cast("double")
+    described = permutations.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count(value).alias("n_non_null"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        F.avg(value).alias("mean"),
+        F.stddev(value).alias("stddev"),
     )
+    cuts = quantiles(permutations, column, POOLED_CUTS)
     return described.withColumn("cut", cuts.select(F.struct("*")).scalar()).select(
         "n", "n_non_null", "min", "cut.p01", "cut.median", "cut.p99", "max", "mean", "stddev"
     )

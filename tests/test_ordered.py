@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from permscan.operators import empirical, summaries
+from permscan.operators import empirical, order_stats, summaries
 from permscan.operators.ordering import CHUNK, chunk_offsets, dense_index, running_total, with_chunks
 
 SLOW = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -53,6 +53,30 @@ def test_pooled_distribution_against_numpy(spark, values):
         assert row["stddev"] is None
 
 
+@pytest.mark.parametrize("settle", [1, 40, 10**6])
+@pytest.mark.parametrize("kind", ["distinct", "few", "one heavy", "tiny", "skewed"])
+def test_quantiles_by_narrowing_brackets(spark, settle, kind):
+    draw = np.random.default_rng(5)
+    values = {
+        "distinct": draw.normal(size=3000),
+        "few": draw.integers(0, 7, 2000) / 7,
+        "one heavy": np.r_[np.full(1500, 0.25), draw.random(700)],
+        "tiny": np.array([3.0, -1.0]),
+        "skewed": np.r_[draw.exponential(1e-6, 2000), draw.exponential(1e6, 900), -0.0],
+    }[kind]
+    probabilities = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.9, "e": 1.0}
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)] * 9, "x double").repartition(3)
+    found = order_stats.quantiles(df, "x", probabilities, settle)
+    for name, q in probabilities.items():
+        assert found.first()[name] == pytest.approx(np.quantile(values, q), rel=1e-12, abs=1e-18)
+    assert "chunks" not in found._jdf.queryExecution().toString()
+
+
+def test_quantiles_of_nothing(spark):
+    empty = spark.createDataFrame([(None,)], "x double")
+    assert order_stats.quantiles(empty, "x", {"a": 0.5}).collect() == [(None,)]
+
+
 def test_pooled_mean_far_from_zero(spark):
     values = [1e9 + v for v in (0.0, 1.0, 2.0)]
     row = summaries.pooled_null_distribution(facts(spark, [("r", i, v) for i, v in enumerate(values)])).first()
