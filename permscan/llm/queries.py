@@ -38,7 +38,7 @@ def digests(decoded: DataFrame, *more: str) -> DataFrame:
 
 def op3_bpe(spark, sf):
     path = public_tokenizers.path(TOKENIZER)
-    return digests(bpe.decode(bpe.encode(_table(spark, sf, "documents"), path), path))
+    return digests(bpe.encode_and_decode(_table(spark, sf, "documents"), path))
 
 
 def op4_warc(spark, sf):

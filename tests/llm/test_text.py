@@ -26,7 +26,9 @@ def test_tree_concatenation_equals_the_library(piece):
         text = "".join(draw.choices(letters, k=draw.choice([1, 5, 40, 300])))
         at = draw.randrange(len(text) + 1)
         text = text[:at] + draw.choice(["", "", "<|endoftext|>", " "]) + text[at:]
-        found = encoder.encode(text.encode())
+        (found, decoded), ids = encoder.encode_many([text.encode()])[0], library.encode(text, add_special_tokens=False).ids
+        assert encoder.encode(text.encode()) == found
+        assert " ".join(decoded) == library.decode(ids, skip_special_tokens=False)
         assert memoryview(found).cast("i").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
@@ -40,6 +42,25 @@ def test_encode_and_decode_round_trip(spark):
         assert row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(decoded.encode()).hexdigest()
     assert len(found) == len(ODD) and bpe.encode(frame(spark, []), PATH).count() == 0
+    at_once = digests(bpe.encode_and_decode(frame(spark, ODD), PATH))
+    assert sorted(map(tuple, at_once.collect())) == sorted(map(tuple, found))
+
+
+def test_long_unsplit_texts_come_from_the_tree(spark, monkeypatch):
+    draw = random.Random(3)
+    texts = ["".join(draw.choices(letters, k=100_000)) for letters in ("abcdefgh", "theingao", "ñé日x", "!?-.", "xyz")]
+    texts += ["a" * 100_000, "word " + "".join(draw.choices("theing", k=50_000)) + " end"]
+    library, encoder, joins = Tokenizer.from_file(PATH), bpe.TreeEncoder(PATH), []
+    joined = bpe.TreeEncoder._joined
+    monkeypatch.setattr(bpe.TreeEncoder, "_joined", lambda self, level: joins.append(len(level)) or joined(self, level))
+    for text, (packed, _) in zip(texts, encoder.encode_many([t.encode() for t in texts])):
+        assert memoryview(packed).cast("i").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert max(joins) >= 32
+    found = {r.doc_id: r for r in digests(bpe.encode_and_decode(frame(spark, texts), PATH)).collect()}
+    for number, text in enumerate(texts):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert found[number].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert found[number].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_unigram_counts_equal_the_library(spark):
