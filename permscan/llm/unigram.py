@@ -16,6 +16,12 @@ CACHED_WORDS = 400_000
 ROWS_AT_ONCE = 512
 
 
+def byte_fallback(model_file: str) -> bool:
+    """Whether a sentencepiece model has a piece for every byte."""
+    model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    return sum(map(model.IsByte, range(model.GetPieceSize()))) == 256
+
+
 def vocabulary(model_file: str) -> list[tuple[str, float]]:
     """Pieces and scores of a sentencepiece model, in the order of their ids; its plain pieces only."""
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -30,10 +36,12 @@ class Counter:
 
     Going through the characters, every piece that ends at a place is tried from the longest to the shortest, that is
     by where it begins, and replaces the best so far only if its score is greater. A character without a piece of
-    its own is unknown at the least score minus ``UNKNOWN_PENALTY``; neighbouring unknowns are one piece.
+    its own is unknown at the least score minus ``UNKNOWN_PENALTY``; neighbouring unknowns are one piece, or with
+    ``fallback`` a piece for each of their bytes.
     """
 
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, pieces: list[tuple[str, float]], fallback: bool = False):
+        self.fallback = fallback
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
@@ -62,7 +70,8 @@ class Counter:
                 total = best[end - 1] + self.unknown
                 if best[end] is None or total > best[end]:
                     best[end] = total
-                    number[end] = number[end - 1] + (not unknown[end - 1])
+                    more = len(word[end - 1].encode()) if self.fallback else not unknown[end - 1]
+                    number[end] = number[end - 1] + more
                     unknown[end] = True
         return number[size]
 
@@ -84,12 +93,12 @@ class Counter:
 
 @lru_cache(maxsize=4)
 def _counter(model_file: str) -> Counter:
-    return Counter(vocabulary(model_file))
+    return Counter(vocabulary(model_file), byte_fallback(model_file))
 
 
 def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens)`` for every row: the number of pieces of the whole text in the unigram tokenizer that has
-    the model file's pieces and scores.
+    the model file's pieces and scores; a character that no piece covers counts by its bytes if the file has byte pieces.
 
     The tokenizer replaces each space by a mark, puts one in front unless the text begins with it, and segments the words that
     the marks start one by one, so words are counted once and remembered. Null and empty texts have no tokens;

@@ -77,6 +77,21 @@ def test_unigram_counts_equal_the_library(spark):
     assert [r.n_tokens for r in counted.orderBy("doc_id").collect()][:2] == [0, 0]
 
 
+def test_unknown_characters_count_by_their_bytes(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    assert unigram.byte_fallback(path)
+    pieces = unigram.vocabulary(path)
+    octets = [(f"<0x{n:02X}>", 0.0) for n in range(256)]
+    library = Tokenizer(models.Unigram([("<unk>", min(s for _, s in pieces)), *octets, *pieces], unk_id=0, byte_fallback=True))
+    library.pre_tokenizer = pre_tokenizers.Metaspace()
+    counter, draw = unigram.Counter(pieces, fallback=True), random.Random(8)
+    texts = ["".join(draw.choices("the 𐍈ꙮ🧿ᚠ龘x", k=draw.randrange(14))) for _ in range(300)] + ["龘" * 5000]
+    for text in texts:
+        assert counter.total(text) == len(library.encode(text, add_special_tokens=False).ids), text
+    rows = {r.doc_id: r.n_tokens for r in unigram.count_tokens(frame(spark, texts[-5:]), path).collect()}
+    assert rows == {n: counter.total(t) for n, t in enumerate(texts[-5:])}
+
+
 def brute_measures(text):
     words = [w for w in "".join(" " if c in "\t\n\x0b\f\r" else c for c in text or "").split(" ") if w]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
