@@ -330,15 +330,18 @@ def least_of_components(
     The least row of every fingerprint is found before rows meet, so one that very many rows share is no hot group.
     """
     names = [*order, *[c for c in docs.columns if c not in order]]
-    columns = [F.col(f"`{c}`").alias(f"_{n}") for n, c in enumerate(names)]
-    row = F.struct(F.col(f"`{names[0]}`").isNull().alias("_none"), *columns)
-    marked = with_fingerprints(docs, shingle, text_col)
-    prints = with_fingerprints(docs.select(text_col), shingle, text_col).select("fingerprint").distinct()
+    # Columns go by their places, so none can bear the name of one that is added.
+    places = {c: f"_{n}" for n, c in enumerate(names)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(at) for c, at in places.items()])
+    text = places[text_col]
+    row = F.struct(F.col(places[names[0]]).isNull().alias("_none"), *places.values())
+    marked = with_fingerprints(rows, shingle, text)
+    prints = with_fingerprints(rows.select(text), shingle, text).select("fingerprint").distinct()
     named = _roots(stage(prints, "distinct"), most)
     least = marked.groupBy("fingerprint").agg(F.min(row).alias("row"))
     least = least.join(named.select("fingerprint", "root"), "fingerprint")
     least = least.groupBy("root").agg(F.min("row").alias("row"))
-    return least.select(*[F.col(f"row._{names.index(c)}").alias(c) for c in docs.columns])
+    return least.select(*[F.col(f"row.{places[c]}").alias(c) for c in docs.columns])
 
 
 def fingerprint_hex(fingerprint: Column) -> Column:
