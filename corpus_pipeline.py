@@ -33,22 +33,27 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document comes as often as the mix takes it, in whole copies; rows that share a doc_id, or have none,
-    each come by the share that the mix takes of all of them."""
-    mixed = mixing.mix(docs)
-    copies = mixed.groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = copies.select(
-        F.col("doc_id").alias("_id"), F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("_copies")
-    )
-    joined = docs.join(copies.where("_copies > 0"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    """Each document comes as often as the mix takes it, in whole copies.
+
+    Documents are told apart by id, source and text, so rows without an id, or with one that others have too, are
+    mixed with their own source. Equal rows each come by the share that the mix takes of all of them.
+    """
+    names = {c: f"_{n}" for n, c in enumerate(docs.columns)}
+    told = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\1")) for c in ("doc_id", "source", "text")]
+    rows = docs.select(F.md5(F.concat_ws("\0", *told)).alias("key"), *[F.col(f"`{c}`").alias(at) for c, at in names.items()])
+    queued = rows.select("key", F.col(names["text"]).alias("text"), F.col(names["source"]).alias("source"))
+    mixed = mixing.mix(queued, id_col="key").withColumnRenamed("doc_id", "key")
+    whole = mixed.groupBy("key").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = whole.select("key", F.floor(F.try_divide("taken", "size") + 0.5).cast("int").alias("copies"))
+    joined = rows.join(copies.where("copies > 0"), "key")
+    repeated = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return repeated.select(*[F.col(at).alias(c) for c, at in names.items()])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, ids, n_tokens, ids_sha256, decoded_sha256)`` for every row; null texts have no ids."""
     path = public_tokenizers.path(TOKENIZER)
-    decoded = bpe.decode(bpe.encode(docs, path), path)
-    return digests(decoded, "ids")
+    return digests(bpe.encode_and_decode(docs, path), "ids")
 
 
 STAGES = [
