@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from permscan.llm.queries import QUERIES
@@ -45,6 +46,34 @@ def test_near_duplicates_keep_one_row_of_each_component(spark):
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted((rows[n] for n in (1, 2, 3, 5, 7, 9)), key=repr)
 
 
+CLASHING = "fingerprint _id _copies key copy copies size taken _0 _3 row root u _group draw _chunk kept end".split()
+
+
+def test_columns_of_any_name_pass_through(spark):
+    docs = documents(spark)
+    for n, name in enumerate(CLASHING):
+        docs = docs.withColumn(name, F.lit(n) if n % 2 else F.lit(f"x{n}"))
+    plain = documents(spark)
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        found = apply(spark, docs, "")
+        assert found.columns == docs.columns, name
+        assert {tuple(r)[5:] for r in found.collect()} <= {tuple(docs.first())[5:]}, name
+        assert sorted(map(tuple, found.select(*plain.columns).collect()), key=repr) == sorted(
+            map(tuple, apply(spark, plain, "").collect()), key=repr
+        ), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
+
+
+def test_rows_without_an_id_are_mixed_with_their_source(spark):
+    rows = [(None, f"word {n} of a", "en", "a", n) for n in range(40)] + [(7, f"word {n} of b", "en", "b", n) for n in range(40)]
+    rows += [(None, "the same text", "en", "c", 0)] * 20
+    mixed = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    words = {s: sum(len(r.text.split()) for r in mixed if r.source == s) for s in "abc"}
+    # Targets share 380 words by 5, 2 and 1; sources a and b have 160 each, c has 60.
+    assert abs(words["a"] - 237.5) <= 4 and abs(words["b"] - 95) <= 4 and words["c"] in (0, 60)
+    assert {r.doc_id for r in mixed if r.source == "a"} == {None}
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, apply in corpus_pipeline.STAGES:
