@@ -1,13 +1,17 @@
 """Mixing sources to target weights by weighted fair queueing."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ordering import chunk_offsets, running_total, with_chunks
+from ..operators.ordering import CHUNK, chunk_offsets, running_total, with_chunks
 from ..staging import stage
 from .common import WORD
 
 MOST_PASSES = 3
+# Documents queue in pieces of at most this share of all words, so a very long one does not hold up its source.
+GRAIN = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -60,13 +64,14 @@ def mix(
 
     Documents of a source queue in the order of a seeded hash of their id, again and again for ``passes`` passes. A
     document's virtual finish time is the words of its source up to its end, divided by the source's weight
-    (``finish``, in the first pass). Serving all queues in order of finish time until the budget is spent serves
-    each source up to its target: a document before it counts whole in that pass, the one in service is cut there.
-    ``taken`` is the sum over the passes, at most ``passes`` × ``size``.
+    (``finish``, in the first pass); a document of more than a ``GRAIN``-th of all words has one for each such piece. All pieces
+    of all passes are range-sorted by finish time (then by source), their words are summed up in that order, and the
+    queue is cut where the sum reaches the budget. ``taken`` is a document's words before the cut in all passes, at
+    most ``passes`` × ``size``; a source's are within a piece of its ``target``, up to which an ideal queue would serve it.
 
     ``weights`` go to the sources in turn by code point. Null texts have size 0 and take nothing; the null source is
     a source of its own, last in order; rows with equal ids queue next to each other by size. Null ids queue like one
-    id. An empty table gives no rows. Running sums are taken per range of the queue order, so no task sees a
+    id. An empty table gives no rows. Running sums are taken per range of the order, so no task sees a
     whole source.
     """
     sized = docs.select(
@@ -87,23 +92,84 @@ def mix(
     key = ("draw", "doc_id", "size")
     chunked = with_chunks(queue, "number", *key)
     ends = running_total(chunked, chunk_offsets(chunked, "size", ("number",)), "size", key, "end", ("number",))
-    start = F.col("end") - F.col("size")
-    taken = F.lit(0).cast("long")
-    for nth in range(passes):
-        served = F.floor(F.col("target") + 0.5) - (start + F.col("source_size") * nth)
-        taken = taken + F.greatest(F.lit(0), F.least(F.col("size"), served))
-    return ends.select(
+    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    cut = _cut(_pieces(ends, total, passes), math.floor(total * budget + 0.5))
+    return ends.withColumn("cut", cut.select(F.struct("finish", "number", "upto", "words")).scalar()).select(
         "doc_id",
         "source",
         "size",
         "source_size",
         "weight",
         "target",
-        taken.cast("long").alias("taken"),
+        _before_cut(total, passes).alias("taken"),
         (F.col("end") / F.col("weight")).alias("finish"),
     )
 
 
+def _piece(total: int) -> int:
+    return max(1, -(-total // GRAIN))
+
+
+def _finish(upto: Column) -> Column:
+    return upto / F.col("weight")
+
+
+def _passed(nth: Column) -> Column:
+    """Words of its source that are before a document in a pass."""
+    return F.col("source_size") * nth + F.col("end") - F.col("size")
+
+
+def _pieces(ends: DataFrame, total: int, passes: int) -> DataFrame:
+    """``(finish, number, upto, words)`` of every piece in every pass; ``upto`` is its end among its source's words."""
+    piece = _piece(total)
+    count = F.ceil(F.col("size") / piece)
+    places = ends.where("size > 0").withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    places = places.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)))
+    end = F.least("size", (F.col("at") + 1) * piece)
+    upto = _passed(F.col("nth")) + end
+    return places.select(_finish(upto).alias("finish"), "number", upto.alias("upto"), (end - F.col("at") * piece).alias("words"))
+
+
+def _cut(pieces: DataFrame, budget: int) -> DataFrame:
+    """The piece in which the budget ends, with the words of it that are before the cut; no row if it never does.
+
+    Only the range that holds the cut is counted through.
+    """
+    order = ("finish", "number", "upto")
+    chunked = with_chunks(pieces, *order)
+    offsets = chunk_offsets(chunked, "words")
+    holds = (F.col("_offset") < budget) & (F.col("_offset") + F.col("_sum") >= budget)
+    found = offsets.where(holds)
+    inside = chunked.join(found.select(CHUNK), CHUNK, "left_semi")
+    served = running_total(inside, found, "words", order, "served")
+    last = served.where((F.col("served") >= budget) & (F.col("served") - F.col("words") < budget))
+    return last.select(*order, (budget - F.col("served") + F.col("words")).alias("words"))
+
+
+def _before_cut(total: int, passes: int) -> Column:
+    """Words of a document in all passes that are served before the cut; all, if there is none."""
+    piece = _piece(total)
+
+    def in_pass(taken, nth):
+        start = _passed(nth)
+        count = F.ceil(F.col("size") / piece)
+        places = F.when(F.col("size") > 0, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(F.array().cast("array<long>"))
+
+        def add(sum_, at):
+            end = F.least("size", (at + 1) * piece)
+            upto = start + end
+            here = F.struct(_finish(upto).alias("finish"), F.col("number").alias("number"), upto.alias("upto"))
+            cut = F.struct(F.col("cut.finish").alias("finish"), F.col("cut.number").alias("number"), F.col("cut.upto").alias("upto"))
+            whole = end - at * piece
+            words = F.when(F.col("cut").isNull() | (here < cut), whole).when(here == cut, F.col("cut.words")).otherwise(0)
+            return sum_ + words
+
+        return taken + F.aggregate(places, F.lit(0).cast("long"), add)
+
+    nths = F.sequence(F.lit(0).cast("long"), F.lit(passes - 1).cast("long"))
+    return F.aggregate(nths, F.lit(0).cast("long"), in_pass)
+
+
 def sequence(mixed: DataFrame) -> DataFrame:
     """Whole documents of a mix in the order in which they are served, one row per copy, globally range-sorted.
 

@@ -186,16 +186,27 @@ ORACLE = {
             select source, source_size, coalesce(least(weight * t, 3.0::double * source_size),
                                                  3.0::double * source_size) as target
             from timed),
+        numbered as (select *, row_number() over (order by source nulls last) as number from weighed),
         queue as (
-            select s.doc_id, s.size, h.source_size, h.target,
-                   sum(s.size) over (partition by s.source order by draw, doc_id, size
+            select row_number() over () as rid, s.doc_id, s.size, h.source_size, h.target, n.weight, n.number,
+                   sum(s.size) over (partition by n.number order by draw, doc_id, size
                                      rows between unbounded preceding and current row) - s.size as start
-            from sized s join shares h on s.source is not distinct from h.source)
-        select doc_id, size::bigint as size, source_size, target,
-               (greatest(0, least(size, floor(target + 0.5) - start))
-                + greatest(0, least(size, floor(target + 0.5) - (start + source_size)))
-                + greatest(0, least(size, floor(target + 0.5) - (start + 2 * source_size))))::bigint as taken
-        from queue
+            from sized s join shares h on s.source is not distinct from h.source
+            join numbered n on s.source is not distinct from n.source),
+        grain as (select greatest(1, ceil(sum(size) / 20000.0))::bigint as piece, sum(size) as budget from sized),
+        passes as (select q.*, piece, unnest([0, 1, 2]) as nth from queue q cross join grain),
+        places as (select *, unnest(range(0, ((size + piece - 1) // piece)::bigint)) as i from passes),
+        pieces as (
+            select rid, number, least(size, (i + 1) * piece) - i * piece as words,
+                   nth * source_size + start + least(size, (i + 1) * piece) as upto, weight from places),
+        served as (
+            select rid, words, sum(words) over (order by upto::double / weight, number, upto
+                                                rows between unbounded preceding and current row) as upto
+            from pieces),
+        taken as (
+            select rid, sum(greatest(0, least(words, budget - (upto - words)))) as taken from served cross join grain group by rid)
+        select doc_id, size::bigint as size, source_size, target, coalesce(taken, 0)::bigint as taken
+        from queue left join taken using (rid)
     """,
     "op6_licenses": _license_sql(),
     "op11_trie": r"""

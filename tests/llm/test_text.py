@@ -146,6 +146,8 @@ def test_mix_meets_targets_and_never_exceeds_three_passes(spark):
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= 1
         assert mine[0].target <= 3 * mine[0].source_size + 1e-9
     assert sum(r.taken for r in found) == pytest.approx(total, abs=len({r.source for r in found}))
+    # The method, step by step: pieces of all passes by finish time, taken until the budget is spent.
+    assert sum(r.taken for r in found) == total
     again = mixing.mix(spark.createDataFrame(rows[::-1], SCHEMA)).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, found))
     copies = mixing.sequence(mixing.mix(spark.createDataFrame(rows, SCHEMA))).collect()
@@ -154,6 +156,17 @@ def test_mix_meets_targets_and_never_exceeds_three_passes(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_a_very_long_document_does_not_hold_up_its_source(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GRAIN", 200)
+    rows = [(n, "w " * 50, f"s{n % 3}", "x", "y") for n in range(90)] + [(100, "w " * 3000, "s1", "x", "y"), (101, "w " * 2000, None, "x", "y")]
+    found = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    total = sum(r.size for r in found)
+    assert sum(r.taken for r in found) == total
+    for source in {r.source for r in found}:
+        mine = [r for r in found if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= -(-total // 200)
+
+
 def test_targets_stop_at_three_times_the_size(spark):
     sources = spark.createDataFrame([("a", 10, 5.0), ("b", 1000, 1.0), ("c", 100, 1.0)], "source string, source_size long, weight double")
     found = {r.source: r.target for r in mixing.targets(sources).collect()}
