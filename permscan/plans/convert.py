@@ -164,9 +164,10 @@ def convert(
     return Conversion(facts_path, None if layout == INLINE else reference_path, events)
 
 
-def ledger_path(facts_path: str) -> str:
-    """Where a conversion notes what it deleted."""
-    return f"{facts_path.rstrip('/')}_deleted"
+def ledger_path(path: str) -> str:
+    """Where it is noted what was deleted for the rows or events at ``path``: beside them, in a folder that scans pass over."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    return f"{parent}/_deleted/{name}"
 
 
 def delete_converted(spark: SparkSession, events: DataFrame, ledger: str) -> DataFrame:

@@ -243,7 +243,7 @@ def test_layout_of_the_first_files(spark, tmp_path):
     two = layout.check_run(spark, path, sample=2).first()
     assert (two.n_files, two.n_rows, two.verdict) == (2, 2 * len(VARIANTS), "normalized")
     assert layout.check_run(spark, path, sample=3).first().verdict == "set_normalized_overlap"
-    assert layout.check_run(spark, path, sample=2, column="lrt_pvalue").first().verdict == "set_normalized_overlap"
+    assert layout.check_run(spark, path, sample=2, column="lrt_pvalue").first().verdict == "inline"
     assert layout.check_files(spark, path, sample=3).where("same_set").count() == 2
     with pytest.raises(ValueError, match="no column 'x'"):
         layout.check_run(spark, path, column="x")
@@ -276,6 +276,8 @@ def test_stream_restart_and_bad_file(spark, tmp_path):
         [("perm_0001", "converted"), ("perm_0002", "convert_failed"), ("perm_0003", "converted"), ("perm_0004", "converted")]
     )
     assert ingest.progress(spark, out["events"], 10).first() == (3, 1, 6)
+    ledger = spark.read.parquet(f"{out['events']}/_deleted")
+    assert {r[0] for r in rows(ledger, "name")} == {f"perm_000{p}" for p in (1, 3, 4)}
     assert [p.name for p in (tmp_path / "run").glob("*.txt")] == ["perm_0002.txt"]
 
 

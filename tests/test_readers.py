@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from permscan.functions import is_malformed, number, perm_id, perm_name, source_name, three_digits, variant_stem
 from permscan.operators.ordering import row_index
-from permscan.operators.traits import extract_trait, trait_columns, valid_counts
+from permscan.operators.traits import cell_counts, extract_trait, trait_columns, trait_of_cells, valid_counts
 from permscan.schema import RAW_HEADER, RESULT, RESULT_COLUMNS
 from permscan.sources import files, phenotypes, results, writers
 from permscan.staging import stage
@@ -136,7 +136,7 @@ def test_trait_extraction(spark, tmp_path):
     assert rows(valid_counts(master)) == [("T", 6), ("U", 0)]
     with pytest.raises(ValueError, match="lacks the trait column 'Z'"):
         extract_trait(master, "Z")
-    with pytest.raises(ValueError, match="ID column 'sample' not found"):
+    with pytest.raises(ValueError, match="lacks the ID column 'sample'"):
         extract_trait(master, "T", "sample")
 
 
@@ -167,13 +167,31 @@ def test_presence_matrix_takes_any_number_of_samples(spark, tmp_path):
     assert rows(counted) == [("g1", 25_000, 12_501), ("g2", 25_000, 12_501), ("g3", 25_000, 12_501)]
 
 
+def test_master_cells_take_any_number_of_traits(spark, tmp_path):
+    traits = [f"t{i}" for i in range(25_000)]
+    body = "".join(f"{name}\t" + "\t".join("NA" if i % 5 == 0 else str(i) for i in range(25_000)) + "\n" for name in ("s1", "s2"))
+    (tmp_path / "m.tsv").write_text("ID\t" + "\t".join(traits) + "\n" + body)
+    cells = phenotypes.read_master_cells(spark, str(tmp_path / "m.tsv"))
+    assert rows(trait_of_cells(cells, "t24999")) == [("s1", 24999.0), ("s2", 24999.0)]
+    assert rows(trait_of_cells(cells, "t5")) == []
+    assert rows(cell_counts(cells).groupBy("n_valid").count()) == [(0, 5000), (2, 20_000)]
+
+
+def test_master_cells_equal_the_wide_form(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text(MASTER + "\n")
+    cells = phenotypes.read_master_cells(spark, str(tmp_path / "m.tsv"))
+    master = phenotypes.read_master(spark, str(tmp_path / "m.tsv"))
+    assert rows(trait_of_cells(cells, "T")) == rows(extract_trait(master, "T"))
+    assert rows(cell_counts(cells)) == rows(valid_counts(master))
+
+
 def test_presence_matrix_with_ragged_lines_and_inner_id(spark, tmp_path):
     (tmp_path / "p.Rtab").write_text('s1\t"Gene"\ts2\r\n1\t"g1"\r\n\r\n\tg2\t1\t1\r\n0\t\t1\r\n')
     read = phenotypes.read_presence(spark, str(tmp_path / "p.Rtab"), "Gene")
     assert rows(read) == sorted(
         [("g1", "s1", 1), ("g1", "s2", 0), ("g2", "s1", 0), ("g2", "s2", 1), (None, "s1", 0), (None, "s2", 1)], key=repr
     )
-    with pytest.raises(ValueError, match="no column"):
+    with pytest.raises(ValueError, match="lacks the id column"):
         phenotypes.read_presence(spark, str(tmp_path / "p.Rtab"), "Other")
 
 
