@@ -280,9 +280,9 @@ def search(
     Equal vectors are searched and indexed once, with their k + 1 smallest ids, which is all that can be among the
     best k of any query. Vectors go to the nearest of up to ``PIVOTS`` sampled pivots; a pivot's vectors are cut at
     random into trees of about ``tree_size``. A task bulk-loads each tree: rows are halved between two far points
-    until leaves hold ``LEAF``; every entry keeps its covering radius and its distance to the page's
-    centre. Queries first search a tree of their own pivot. The score reached there bounds what the others must hold: balls of pivots
-    that cannot are left out, and so are pages and objects in the trees that are visited.
+    until leaves hold ``LEAF``; every entry keeps its covering radius and its distance to the page's centre. Queries
+    first search a tree of their own pivot. The score reached there bounds what the others must hold: balls of
+    pivots that cannot are left out, and so are pages and objects in the trees that are visited.
 
     Vectors that are null or hold a null or non-finite component take no part; neither do rows without an id. Of rows
     that repeat an id the least vector counts. Short vectors are filled up with zeros, so an empty one scores 0 with all.
@@ -310,7 +310,8 @@ def search(
     pivots = space.matrix(sampled.column("vector")) if stats["n"] else np.zeros((1, max(1, space.size)))
 
     near = stage(_assigned(entries, space, pivots), "assigned")
-    balls = {r["pivot"]: (r["n"], r["far"]) for r in near.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
+    reached = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()
+    balls = {r["pivot"]: (r["n"], r["far"]) for r in reached}
     trees = {pivot: -(-n // tree_size) for pivot, (n, _) in balls.items()}
     radius = np.array([balls.get(i, (0, -np.inf))[1] for i in range(len(pivots))])
     wide = spark.createDataFrame([(p, n) for p, n in trees.items()], "pivot int, trees long")
@@ -342,6 +343,5 @@ def search(
     hits = _best(at_home.union(elsewhere), keep).join(names.select("query", "vector"), "query")
     others = F.slice(F.filter("hits", lambda hit: hit["vec_id"] != F.col("id")), 1, k)
     answered = asking.join(hits, "vector").select("id", F.posexplode(others).alias("place", "hit"))
-    return answered.select(
-        F.col("id").alias("query_id"), (F.col("place") + 1).alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score")
-    )
+    rank = (F.col("place") + 1).alias("rank")
+    return answered.select(F.col("id").alias("query_id"), rank, "hit.vec_id", "hit.score")

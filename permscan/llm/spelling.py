@@ -251,7 +251,8 @@ def variants(docs: DataFrame, least_length: int = 6, least_count: int = 5, facto
     """``(word, form, root, n, n_near, form_n)`` for the words of all texts.
 
     Words are maximal runs of letters (A to Z, a to z, U+00C0 to U+00FF) with A to Z lower-cased; where ``spoil`` divides the
-    CRC-32 of ``<doc_id>:<run>`` the run loses one code point. Results of ``least_length`` code points and ``least_count`` occurrences count.
+    CRC-32 of ``<doc_id>:<run>`` the run loses one code point. Results of ``least_length`` code points and
+    ``least_count`` occurrences count.
     A word's form is its near word (one code point inserted, deleted or replaced) of most occurrences, the first in
     code-point order among several, if it occurs ``factor`` times as often or more; ``root`` follows forms to the last.
 

@@ -18,7 +18,10 @@ SHARD_ROWS = 400_000
 IDS_A_BLOCK = 512
 
 KEY = ["depth", "k1", "k2"]
-NODES = f"{CHUNK} int, kind int, unit int, depth long, k1 long, k2 long, p1 long, p2 long, convs long, least long, words long, tail long"
+NODES = (
+    f"{CHUNK} int, kind int, unit int, depth long, k1 long, k2 long, p1 long, p2 long, "
+    "convs long, least long, words long, tail long"
+)
 
 
 class SlotTable:
@@ -382,7 +385,8 @@ def prefix_trie(conversations: DataFrame, family: int = 20, most: int = 4, shard
         *[F.max(c).alias(c) for c in ("p1", "p2", "conv_id", "n_convs", "n_children", "sha")],
         F.sum("leaves").alias("n_leaves"), F.sum("saved").alias("saved_tokens"),
     )
-    parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
+    below = [(F.col("depth") + 1).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2")]
+    parents = nodes.select(*below, F.col("conv_id").alias("parent_conv_id"))
     return whole.join(parents, ["depth", "p1", "p2"], "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"),
