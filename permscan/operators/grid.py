@@ -216,7 +216,8 @@ def cell_sums(
     left = packed.select(
         F.floor(F.col("variant_id") / size.variants).cast("int").alias("v"),
         F.explode(F.lit(perm_blocks).cast("array<int>")).alias("p"),
-        "block", F.lit(1).alias("kind"), F.col("variant_id").cast("long").alias("id"), "k", "at", column("array<double>").alias("y"),
+        "block", F.lit(1).alias("kind"), F.col("variant_id").cast("long").alias("id"), "k", "at",
+        column("array<double>").alias("y"),
     )
     right = values.select(
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("v"),

@@ -44,8 +44,8 @@ def first_differences(
 ) -> DataFrame:
     """``(source_file, row_idx, expected, found)``: where each file that differs from the reference does so first.
 
-    ``indexed`` holds ``(source_file, row_idx, variant)``, ``reference`` ``(variant_id, variant)``. Files that equal the reference
-    have no row. A side that has ended shows as NULL. ``marks`` may hold the files' leaves if they are known already.
+    ``indexed`` holds ``(source_file, row_idx, variant)``, ``reference`` ``(variant_id, variant)``. Files that equal the
+    reference have no row. A side that has ended shows as NULL. ``marks`` may hold the files' leaves if they are known already.
     """
     whole = reference.select(F.lit("").alias(FILE), F.col("variant_id").alias("row_idx"), "variant")
     leaves = stage(block_marks(indexed, rows) if marks is None else marks, "leaves")
@@ -70,12 +70,11 @@ def first_differences(
 
     block = F.floor(F.col("row_idx") / rows).alias("block")
     none, one = F.lit(None).cast("string"), F.lit(1)
-    here = indexed.select(FILE, "row_idx", "variant", block).join(at, [FILE, "block"], "left_semi").select(
-        FILE, F.col("row_idx").cast("long").alias("row_idx"), F.col("variant").alias("found"), none.alias("expected"), one.alias("side")
-    )
-    due = whole.select("row_idx", "variant", block).join(at, "block").select(
-        FILE, F.col("row_idx").cast("long").alias("row_idx"), none.alias("found"), F.col("variant").alias("expected"), F.lit(2).alias("side")
-    )
+    row, variant = F.col("row_idx").cast("long").alias("row_idx"), F.col("variant")
+    here = indexed.select(FILE, "row_idx", "variant", block).join(at, [FILE, "block"], "left_semi")
+    here = here.select(FILE, row, variant.alias("found"), none.alias("expected"), one.alias("side"))
+    due = whole.select("row_idx", "variant", block).join(at, "block")
+    due = due.select(FILE, row, none.alias("found"), variant.alias("expected"), F.lit(2).alias("side"))
     met = here.union(due).groupBy(FILE, "row_idx").agg(
         F.max("found").alias("found"), F.max("expected").alias("expected"), F.sum("side").alias("sides")
     )

@@ -42,7 +42,8 @@ def check_against_reference(
     # Only files whose whole fingerprint differs enter the tree.
     rows = indexed.join(differing, "source_file", "left_semi")
     differences = stage(first_differences(rows, variants), "differences")
-    first = differences.agg(F.min(F.struct("source_file", "row_idx", "expected", "found")).alias("at"), F.count(F.lit(1)).alias("n")).first()
+    least = F.min(F.struct("source_file", "row_idx", "expected", "found"))
+    first = differences.agg(least.alias("at"), F.count(F.lit(1)).alias("n")).first()
     at = first["at"]
     raise ReferenceMismatch(
         f"{at['source_file']}: variants differ from the reference at row {at['row_idx']}: expected {at['expected']!r}, "

@@ -83,8 +83,9 @@ def _run_job(
 
 
 def _job_failed(spark: SparkSession, config: RunConfig, trait: str, variant_type: str, error: Exception) -> None:
+    text = F.lit(f"{type(error).__name__}: {error}"[:2000])
     outcomes = spark.range(OBSERVED, config.n_perms + 1).select(
-        F.col("id").alias("perm_id"), F.lit(0.0).alias("elapsed_seconds"), F.lit(f"{type(error).__name__}: {error}"[:2000]).alias("error")
+        F.col("id").alias("perm_id"), F.lit(0.0).alias("elapsed_seconds"), text.alias("error")
     )
     write_events(_events(outcomes, ""), config.path("run_events", trait, variant_type))
 
