@@ -16,14 +16,15 @@ def empirical_p_per_variant(
 ) -> DataFrame:
     """Fraction of permuted runs whose statistic is at least as extreme as the observed one, per variant.
 
-    The key is salted by run, so that a variant with very many permuted rows is shared by ``salts`` tasks. Whether
-    the observed values are sent to every task instead is left to the optimizer, which knows their bytes.
+    The key is salted by run, so that a variant with very many permuted rows is shared by ``salts`` tasks. Both sides
+    are shuffled: the optimizer does not count the rows that salting adds, so by its estimate it would send them
+    all through the driver.
     """
     seen = observed.select(key, F.col(column).cast("double").alias("seen")).where("seen is not null")
     drawn = null.select(key, F.col(column).cast("double").alias("drawn"), "source_file").where("drawn is not null")
     copies = seen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = drawn.withColumn("salt", F.pmod(F.hash("source_file"), F.lit(salts)))
-    pairs = salted.join(copies, [key, "salt"])
+    pairs = salted.join(copies.hint("merge"), [key, "salt"])
     hit = F.when(F.col("drawn") <= F.col("seen"), 1.0).otherwise(0.0)
     return pairs.groupBy(key).agg(F.count(F.lit(1)).alias("n_null"), F.avg(hit).alias("empirical_p"))
 

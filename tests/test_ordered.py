@@ -119,6 +119,20 @@ def test_empirical_p(spark):
     assert rows(empirical.empirical_p_pooled(observed, null)) == [(1, 0.5), (3, 0.0)]
 
 
+def exploded(spark):
+    """Rows whose number the optimizer underestimates, since an explode makes them."""
+    runs = F.explode(F.array(*[F.lit(f"perm_{n:04d}") for n in range(4)])).alias("source_file")
+    rows = spark.range(100).select(F.col("id").cast("int").alias("variant_id"), runs)
+    return rows.withColumn("lrt_pvalue", (F.col("variant_id") % 7 + 1) / 8)
+
+
+def test_salted_rows_do_not_pass_through_the_driver(spark):
+    observed = exploded(spark).where("source_file = 'perm_0000'")
+    found = empirical.empirical_p_per_variant(observed, exploded(spark).where("source_file > 'perm_0000'"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found) == sorted(((i, 3, 1.0) for i in range(100)), key=repr)
+
+
 @pytest.mark.parametrize("partitions", [1, 3, 40])
 @pytest.mark.parametrize("step", [1, 10**6])
 def test_rolling_eta_is_the_same_for_any_cut(spark, partitions, step):
