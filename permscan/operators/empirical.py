@@ -43,7 +43,7 @@ def empirical_p_pooled(
     counted = weighted.groupBy("value").agg(F.sum("w").alias("cnt"))
     ranked = _ranked(counted)
     table = ranked.select("value", F.try_divide(F.col("upto").cast("double"), F.col("n")).alias("empirical_p"))
-    return seen.join(table, "value").select(key, "empirical_p")
+    return seen.join(table.hint("merge"), "value").select(key, "empirical_p")
 
 
 def _ranked(counted: DataFrame) -> DataFrame:
@@ -56,11 +56,13 @@ def bh_qvalues(permutations: DataFrame, column: str = "lrt_pvalue", key: str = "
     """Benjamini–Hochberg q-value of every row within its run.
 
     A q-value depends only on the run, the p-value and counts, so it is worked out on the distinct p-values
-    of each run and joined back.
+    of each run and joined back. Both sides are shuffled: rows made by an explode are many more than the optimizer
+    estimates, and by its estimate it would send them all through the driver.
     """
     rows = permutations.select("source_file", key, F.col(column).cast("double").alias("p")).where("p is not null")
     distinct = rows.groupBy("source_file", "p").agg(F.count(F.lit(1)).alias("cnt"))
-    return rows.join(_step_up(distinct), ["source_file", "p"]).select("source_file", key, "q_value")
+    steps = _step_up(distinct).hint("merge")
+    return rows.join(steps, ["source_file", "p"]).select("source_file", key, "q_value")
 
 
 def _step_up(distinct: DataFrame) -> DataFrame:

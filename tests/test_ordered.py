@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from conftest import rows
@@ -133,6 +135,15 @@ def test_salted_rows_do_not_pass_through_the_driver(spark):
     assert rows(found) == sorted(((i, 3, 1.0) for i in range(100)), key=repr)
 
 
+@pytest.mark.parametrize("operator", ["bh_qvalues", "empirical_p_pooled"])
+def test_rows_meet_their_figures_without_the_driver(spark, operator):
+    given = [exploded(spark)] if operator == "bh_qvalues" else [exploded(spark), exploded(spark)]
+    found = getattr(empirical, operator)(*given)
+    joins = re.findall(r"\w+Join", found._jdf.queryExecution().executedPlan().toString())
+    assert joins[0] == "SortMergeJoin"
+    assert found.count() == 400
+
+
 @pytest.mark.parametrize("partitions", [1, 3, 40])
 @pytest.mark.parametrize("step", [1, 10**6])
 def test_rolling_eta_is_the_same_for_any_cut(spark, partitions, step):
