@@ -49,19 +49,20 @@ def write_variants(variants: DataFrame, path: str, mode: str = "errorifexists")
     )
 
 
-def write_result_text(results: DataFrame, path: str, order: str = "variant_id") -> None:
+def write_result_text(results: DataFrame, path: str, order: str = "variant_id", placed: bool = False) -> None:
     """Result rows as tab-separated text with the raw header, one ``source_file=…`` folder per run.
 
-    Rows keep the order of ``order``; a large run spans several files whose names sort in that order.
+    Rows keep the order of ``order``; a large run spans several files whose names sort in that order. ``placed``
+    rows already lie so that each run's partitions follow one another in that order: they are sorted where they are.
     """
     columns = []
     for raw in RAW_HEADER:
         name = column_name(raw)
         value = three_digits(F.col(name).cast("double")) if name in NUMERIC_COLUMNS else F.col(name)
         columns.append(value.alias(raw))
+    ranged = results if placed else results.repartitionByRange("source_file", order)
     (
-        results.repartitionByRange("source_file", order)
-        .sortWithinPartitions("source_file", order)
+        ranged.sortWithinPartitions("source_file", order)
         .select("source_file", *columns)
         .write.option("sep", "\t")
         .option("header", True)

@@ -4,12 +4,16 @@ Parts play the variants, customers the samples, orders the carriers, and every p
 permutation. Values are arithmetic on the keys, so that other engines can state the same tables.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RUNS = 20
 PERMUTATIONS = 3
 MISSING_BRAND = "Brand#7"
+# Parts whose result rows of one run share a task and a text file.
+PARTS_PER_FILE = 262_144
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +29,11 @@ def permutations(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     """One result row per part and run."""
     perm = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(RUNS).cast("long"))).alias("perm")
     rows = _spread(load(spark, sf_dir, "part").select("p_partkey", *extra)).select("p_partkey", *extra, perm)
+    return _statistics(rows, *extra)
+
+
+def _statistics(rows: DataFrame, *extra: str) -> DataFrame:
+    """Result columns of (p_partkey, perm)."""
     columns = {
         "source_file": "format_string('perm_%04d', perm)",
         "perm_id": "cast(perm as int)",
@@ -61,10 +70,24 @@ def _variant():
 
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result rows that carry their variant string, as result files do."""
-    rows = permutations(spark, sf_dir, "p_name")
+    return _named(permutations(spark, sf_dir, "p_name"))
+
+
+def _named(rows: DataFrame) -> DataFrame:
     return rows.withColumn("variant", F.concat("p_name", F.lit("#"), F.col("variant_id").cast("string"))).drop("p_name")
 
 
+def placed_result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of :func:`result_rows`, placed as result text is written: run after run, ranges of variant ids in order.
+
+    The parts are ranged once, before the runs multiply them, and every run reads the same ranges.
+    """
+    parts = load(spark, sf_dir, "part").select("p_partkey", "p_name")
+    ranged = parts.repartitionByRange(1 + parts.count() // PARTS_PER_FILE, "p_partkey")
+    runs = [ranged.withColumn("perm", F.lit(run).cast("long")) for run in range(1, RUNS + 1)]
+    return _named(_statistics(reduce(DataFrame.unionAll, runs), "p_name"))
+
+
 def phenotype(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("sample"), F.col("c_acctbal").alias("phenotype")

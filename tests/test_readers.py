@@ -1,9 +1,12 @@
 import math
+import re
+from pathlib import Path
 
 import pytest
 from conftest import line, rows, write_run
 from pyspark.sql import functions as F
 
+from permscan import tables
 from permscan.functions import is_malformed, number, perm_id, perm_name, source_name, three_digits, variant_stem
 from permscan.operators.ordering import row_index
 from permscan.operators.traits import cell_counts, extract_trait, trait_columns, trait_of_cells, valid_counts
@@ -200,3 +203,27 @@ def test_row_numbers_need_no_shuffle_of_lines(spark, tmp_path):
     lines = stage(results.typed(results.scan_text(spark, str(tmp_path))), "lines")
     plan = row_index(lines)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_result_text_from_placed_rows(spark, tmp_path, monkeypatch):
+    """Rows are placed before the runs multiply them; the text is that of rows ranged afterwards, in the same order."""
+    parts = spark.range(500).select(((F.col("id") * 77) % 500).alias("p_partkey"), F.concat(F.lit("n"), "id").alias("p_name"))
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(tables, "PARTS_PER_FILE", 100)
+    placed = tables.placed_result_rows(spark, str(tmp_path))
+    exchanges = re.findall(r"Exchange (\w+\(\w+)", placed._jdf.queryExecution().executedPlan().toString())
+    assert set(exchanges) == {"rangepartitioning(p_partkey"}
+
+    def lines(folder):
+        files = sorted(Path(folder).glob("source_file=*/*.txt"))
+        runs = {}
+        for file in files:
+            runs.setdefault(file.parent.name, []).extend(file.read_text().splitlines()[1:])
+        return runs, len(files)
+
+    writers.write_result_text(placed, f"{tmp_path}/placed", placed=True)
+    writers.write_result_text(tables.result_rows(spark, str(tmp_path)), f"{tmp_path}/ranged")
+    runs, n_files = lines(f"{tmp_path}/placed")
+    assert runs == lines(f"{tmp_path}/ranged")[0]
+    assert len(runs) == tables.RUNS and all(len(run) == 500 for run in runs.values())
+    assert n_files > 2 * tables.RUNS
