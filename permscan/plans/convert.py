@@ -39,17 +39,18 @@ def _origin(path):
     return F.when(path.rlike(r"/source_file=[^/]+/[^/]*$"), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(path)
 
 
-def stage_lines(spark: SparkSession, paths, folder: str | None = None) -> DataFrame:
-    """Typed rows of all readable files, written once.
+def stage_lines(spark: SparkSession, paths, folder: str | None = None, positions: bool = True) -> DataFrame:
+    """Typed rows of all readable files, written once; without ``positions`` it is not kept where a row was found.
 
     Files normally share one header, which Spark verifies during the scan. Only if that fails are the
     first lines compared, and each group of files with the same usable header is scanned on its own.
     """
+    left_out = () if positions else ("file_path", "block_start", "scan_seq")
     names = [n for n in first_header(spark, paths) if n != "source_file"]
     common_error = None
     if has_result_header(names):
         try:
-            return stage(typed(scan_text(spark, paths, names)), "lines", folder)
+            return stage(typed(scan_text(spark, paths, names)).drop(*left_out), "lines", folder)
         except (PySparkException, Py4JJavaError) as error:  # a file with another header is told apart below
             if "header" not in str(error):
                 raise
@@ -70,7 +71,7 @@ def stage_lines(spark: SparkSession, paths, folder: str | None = None) -> DataFr
     if not scans:
         # Nothing can be read: no rows, so that every file becomes a failed event.
         scans = [typed(scan_text(spark, paths, RESULT_COLUMNS)).where("false")]
-    return stage(reduce(DataFrame.unionByName, scans), "lines", folder)
+    return stage(reduce(DataFrame.unionByName, scans).drop(*left_out), "lines", folder)
 
 
 def _quality(rows: DataFrame, positions: bool) -> DataFrame:
@@ -129,7 +130,7 @@ def convert(
     if files.isEmpty():
         raise ValueError(f"{source} holds no result files")
     scratch = new_path(spark, "conversion")
-    lines = stage_lines(spark, source, scratch)
+    lines = stage_lines(spark, source, scratch, positions=layout == NORMALIZED)
     if layout == NORMALIZED:
         lines = row_index(lines, folder=scratch)
     quality = stage(_quality(lines, layout == NORMALIZED), "quality")
@@ -152,8 +153,9 @@ def convert(
     else:
         version = grow(spark, reference_path, rows)
         dictionary = read_dictionary(spark, reference_path, version).select("variant_id", "variant")
-        facts = encode(rows, dictionary).select("variant_id", *located, *stats)
-    write_facts(facts, facts_path, mode)
+        # Hashed, so that the rows, many times the dictionary, are not sorted to be joined.
+        facts = encode(rows, dictionary.hint("shuffle_hash")).select("variant_id", *located, *stats)
+    write_facts(facts, facts_path, good.agg(F.sum("rows")).first()[0] or 0, mode)
 
     events = stage(_events(files, quality, time.monotonic() - started, facts_path), "events")
     if events_path:

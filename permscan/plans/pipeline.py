@@ -78,7 +78,7 @@ def _run_job(
     else:
         write_variants(scan.variants, config.path("variants", trait, variant_type))
     stats = [c for c in RESULT_COLUMNS if c != "variant"]
-    write_facts(rows.select(key, "source_file", "perm_id", *stats), results)
+    write_facts(rows.select(key, "source_file", "perm_id", *stats), results, scan.sums.count())
     write_events(_events(scan.outcomes, results), config.path("run_events", trait, variant_type))
 
 

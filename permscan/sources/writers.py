@@ -8,8 +8,8 @@ from ..schema import NUMERIC_COLUMNS, RAW_HEADER, RUN_SUMMARY, column_name
 
 # Permutations that share a folder.
 PERMS_PER_BUCKET = 100
-# Consecutive variant ids that share a task when facts are written.
-IDS_PER_BLOCK = 16_384
+# Rows that a task sorts when facts are written.
+ROWS_PER_TASK = 524_288
 
 
 def dataset_path(base_dir: str, kind: str, population: str, trait: str, variant_type: str) -> str:
@@ -17,22 +17,20 @@ def dataset_path(base_dir: str, kind: str, population: str, trait: str, variant_
     return f"{base_dir.rstrip('/')}/{kind}/population={population}/trait={trait}/variant_type={variant_type}"
 
 
-def write_facts(facts: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_facts(facts: DataFrame, path: str, n_rows: int, mode: str = "errorifexists") -> None:
     """Result rows as zstd Parquet in buckets of permutations.
 
-    With variant ids, rows are gathered by (bucket, block of ids) and ordered by id, so that per-variant
-    queries skip files and row groups. Rebalancing lets Spark split a group that came out too large.
-    Rows that carry their variant string stay in the tasks that read them: no shuffle.
+    With variant ids, rows are ranged and ordered by bucket and id, so that per-variant queries skip files and row
+    groups. ``n_rows``, at least about their number, keeps each task's sort small; the last key splits an id that holds
+    many rows. Rows that carry their variant string stay in the tasks that read them: no shuffle.
     """
     bucket = F.coalesce(F.floor(F.col("perm_id") / PERMS_PER_BUCKET), F.lit(-1)).cast("int")
     placed = facts.withColumn("perm_bucket", bucket)
     if "variant_id" in facts.columns:
-        placed = (
-            placed.withColumn("_block", F.floor(F.col("variant_id") / IDS_PER_BLOCK))
-            .hint("rebalance", "perm_bucket", "_block")
-            .drop("_block")
-            .sortWithinPartitions("perm_bucket", "variant_id", "source_file")
-        )
+        order = ["perm_bucket", "variant_id", "source_file"]
+        placed = placed.repartitionByRange(
+            1 + n_rows // ROWS_PER_TASK, *order, F.xxhash64(*facts.columns)
+        ).sortWithinPartitions(*order)
     else:
         placed = placed.sortWithinPartitions("perm_bucket")
     placed.write.mode(mode).option("compression", "zstd").partitionBy("perm_bucket").parquet(path)

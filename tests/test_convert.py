@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from conftest import line, rows, write_run
@@ -60,6 +61,48 @@ def test_set_layout(spark, tmp_path):
     assert data.variants.count() == 32
 
 
+def test_rows_of_the_set_layout_are_not_sorted_to_get_their_ids(spark, tmp_path, monkeypatch):
+    """The rows stream past the hashed dictionary; without positions none are staged."""
+    staged, joins = {}, []
+
+    def stage(df, label, folder=None):
+        staged[label] = df.columns
+        return convert_stage(df, label, folder)
+
+    def write_facts(facts, *where):
+        joins.extend(re.findall(r"(\w+Join) \[variant#", facts._jdf.queryExecution().executedPlan().toString()))
+        assert where[1] == 3 * len(VARIANTS)
+        convert_facts(facts, *where)
+
+    convert_stage, convert_facts = convert.stage, convert.write_facts
+    monkeypatch.setattr(convert, "stage", stage)
+    monkeypatch.setattr(convert, "write_facts", write_facts)
+    path = run_files(tmp_path)
+    done = convert.convert(spark, path, str(tmp_path / "f"), str(tmp_path / "v"), convert.SET_NORMALIZED)
+    assert joins == ["ShuffledHashJoin"]
+    assert not {"file_path", "block_start", "scan_seq"} & set(staged["lines"])
+    data = views.open_dataset(spark, done.facts_path, done.reference_path)
+    assert data.results.groupBy("variant").count().where("count != 3").collect() == [("ACGT000", 6)]
+
+
+@pytest.mark.parametrize("held", ["ids", "one id", "no id"])
+def test_no_task_sorts_many_facts(spark, tmp_path, monkeypatch, held):
+    """Also where one id holds nearly all rows of one run."""
+    monkeypatch.setattr(writers, "ROWS_PER_TASK", 500)
+    ids = {"ids": F.col("id"), "one id": F.when(F.col("id") < 9, F.col("id")).otherwise(9), "no id": F.lit(None)}[held]
+    facts = spark.range(6000).select(
+        ids.cast("int").alias("variant_id"), F.lit("perm_0101").alias("source_file"), F.lit(101).alias("perm_id"),
+        F.col("id").alias("beta"),
+    )
+    writers.write_facts(facts, str(tmp_path / "f"), 6000)
+    found = results.read_facts(spark, str(tmp_path / "f"))
+    assert rows(found, *facts.columns) == rows(facts) and found.select("perm_bucket").distinct().collect() == [(1,)]
+    files = found.groupBy("filename").agg(F.count("*").alias("n"), F.min("variant_id").alias("low"), F.max("variant_id").alias("high"))
+    files = files.orderBy("low", "high").collect()
+    assert len(files) > 8 and max(f.n for f in files) < 1500
+    assert all(a.high is None or a.high <= b.low for a, b in zip(files, files[1:]))
+
+
 def test_a_dictionary_grows_and_keeps_its_ids(spark, tmp_path):
     path = str(tmp_path / "v")
 
