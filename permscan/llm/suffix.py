@@ -8,10 +8,13 @@ from pyspark.sql import types as T
 
 from .common import shuffle_partitions
 
-# Bytes of a minimizer, and windows in a segment at most: one bit of a 64-bit mask for each.
-SEED = 16
+# Bytes of a minimizer: the shorter, the more texts share one by chance, and the more so the more texts there are.
+SEED = 24
+# Windows in a segment at most: one bit of a 64-bit mask for each.
 MOST_WINDOWS = 64
-CHUNK_BYTES = 1 << 20
+# Bytes hashed, and windows compared, at a time: what the steps hold of them stays in a core's cache.
+CHUNK_BYTES = 1 << 16
+SLICE_WINDOWS = 1 << 17
 # Groups of documents, each held by one task at a time, for every shuffle partition of the session.
 GROUPS_PER_PARTITION = 2
 NO_ID = np.iinfo(np.int64).max
@@ -24,16 +27,24 @@ def _words(buffer: bytes | np.ndarray, count: int, at: int = 0) -> np.ndarray:
     return np.ndarray((count,), "<u8", buffer, offset=at, strides=(1,))
 
 
+def _seed(length: int) -> int:
+    """Bytes of the seeds in a window: whole words, half of the window at most."""
+    return min(SEED, length // 16 * 8)
+
+
 def _window_minima(buffer: bytes, length: int) -> np.ndarray:
     """For every window of ``length`` bytes the least hash of the seeds inside it. Equal windows, equal values."""
-    seeds = len(buffer) - SEED + 1
+    seed = _seed(length)
+    seeds = len(buffer) - seed + 1
     value = _words(buffer, seeds) * _MIX[0]
-    value ^= value >> np.uint64(29)
-    value += _words(buffer, seeds, SEED - 8)
-    for mix in _MIX[1:]:
-        value *= mix
-        value ^= value >> np.uint64(32)
-    width, have = length - SEED + 1, 1
+    for at in range(8, seed, 8):
+        value ^= value >> np.uint64(29)
+        value += _words(buffer, seeds, at)
+        value *= _MIX[1]
+    value ^= value >> np.uint64(32)
+    value *= _MIX[2]
+    value ^= value >> np.uint64(32)
+    width, have = length - seed + 1, 1
     while have < width:
         step = min(have, width - have)
         value = np.minimum(value[:-step], value[step:])
@@ -69,9 +80,11 @@ class _Segments:
         least = _window_minima(buffer, self.length)
         begin = self.offsets[first:last] - base
         end = np.maximum(self.offsets[first + 1 : last + 1] - base - self.length + 1, begin)
-        changes = np.flatnonzero(least[1:] != least[:-1]) + 1
-        cuts = np.unique(np.concatenate([changes, begin, end, [len(least)]]))
-        cuts = cuts[cuts <= len(least)]
+        edge = np.ones(len(least) + 1, bool)
+        edge[1:-1] = least[1:] != least[:-1]
+        edge[begin[begin < len(edge)]] = True
+        edge[end[end < len(edge)]] = True
+        cuts = np.flatnonzero(edge)
         start, size = cuts[:-1], np.diff(cuts)
         doc = np.searchsorted(begin, start, side="right") - 1
         # Empty texts begin where the next one does; the last that begins there is the one that has the bytes.
@@ -121,6 +134,35 @@ def _short(values: np.ndarray, buckets: int) -> np.ndarray:
     return (values // np.uint64(buckets)).astype(np.uint32)
 
 
+def _slices(values: np.ndarray | bytes, bounds: np.ndarray) -> list[bytes]:
+    """Bytes of the values between each two bounds. No memoryviews: Arrow never lets go of those it has read."""
+    data, width = (values, 1) if isinstance(values, bytes) else (values.tobytes(), values.itemsize)
+    at = (np.asarray(bounds) * width).tolist()
+    return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _ends(sizes) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))])
+
+
+def _cells(columns: dict) -> pa.Table:
+    types = {"_bucket": pa.int32(), "_group": pa.int32()}
+    return pa.table({k: pa.array(v, types.get(k, pa.binary())) for k, v in columns.items()})
+
+
+def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+
+
+def _pack(text: bytes) -> bytes:
+    """Segments overlap by most of a window, and Spark's own codec for shuffles leaves half as much again."""
+    return pa.Codec("zstd", 1).compress(text, asbytes=True)
+
+
+def _unpack(packed: bytes, size: int) -> bytes:
+    return pa.Codec("zstd", 1).decompress(packed, size, asbytes=True) if size else b""
+
+
 def _announce(length: int, buckets: int):
     """Group of documents → its distinct keys for every bucket."""
 
@@ -131,14 +173,12 @@ def _announce(length: int, buckets: int):
         order, begin, several = parts.seeds(ids)
         keys = parts.key[order[begin]]
         by, bounds = _by_bucket(keys, buckets)
-        short, several = _short(keys, buckets)[by], several[by]
-        spans = list(zip(bounds[:-1], bounds[1:], strict=True))
-        return pa.table(
+        return _cells(
             {
-                "_bucket": pa.array(range(buckets), pa.int32()),
-                "_group": pa.array([group] * buckets, pa.int32()),
-                "keys": [short[a:b].tobytes() for a, b in spans],
-                "several": [several[a:b].tobytes() for a, b in spans],
+                "_bucket": range(buckets),
+                "_group": [group] * buckets,
+                "keys": _slices(_short(keys, buckets)[by], bounds),
+                "several": _slices(several[by], bounds),
             }
         )
 
@@ -147,29 +187,31 @@ def _announce(length: int, buckets: int):
 
 def _answer(table: pa.Table) -> pa.Table:
     """Bucket → for every group, which of its keys another document has too."""
-    keys = [np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()]
-    several = np.frombuffer(b"".join(table.column("several").to_pylist()), bool)
-    every = np.concatenate(keys)
-    order = np.argsort(every)
+    counts = [len(k) // 4 for k in table.column("keys").to_pylist()]
+    every = _joined(table, "keys", np.uint32)
+    # Sorting values, each with its place below it, takes a fraction of the time of sorting places by value.
+    ordered = np.sort((every.astype(np.uint64) << np.uint64(32)) | np.arange(len(every), dtype=np.uint64))
     same = np.zeros(len(every) + 1, bool)
-    same[1:-1] = every[order][1:] == every[order][:-1]
+    same[1:-1] = ordered[1:] >> np.uint64(32) == ordered[:-1] >> np.uint64(32)
     shared = np.zeros(len(every), bool)
-    shared[order] = same[1:] | same[:-1]
-    shared |= several
-    bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+    shared[(ordered & np.uint64(0xFFFFFFFF)).astype(np.int64)] = same[1:] | same[:-1]
+    shared |= _joined(table, "several", bool)
+    bounds = _ends(counts).tolist()
     flags = [np.packbits(shared[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     return pa.table({"_bucket": table.column("_bucket"), "_group": table.column("_group"), "shared": flags})
 
 
-def _candidates(parts: _Segments, ids: np.ndarray, shared: dict[int, bytes], buckets: int) -> tuple:
-    """Segments whose key is shared, in a fixed order, with the bounds of each bucket."""
+def _candidates(parts: _Segments, ids: np.ndarray, shared: list[bytes], buckets: int) -> tuple:
+    """Segments whose key is shared, by bucket and place, with the bounds of each bucket. ``shared``: by bucket."""
     order, begin, _ = parts.seeds(ids)
     keys = parts.key[order[begin]]
     by, bounds = _by_bucket(keys, buckets)
     found = np.zeros(len(keys), bool)
-    for bucket, flags in shared.items():
-        a, b = bounds[bucket], bounds[bucket + 1]
-        found[by[a:b]] = np.unpackbits(np.frombuffer(flags, np.uint8), count=b - a).astype(bool)
+    flags = [
+        np.unpackbits(np.frombuffer(f, np.uint8), count=n)
+        for f, n in zip(shared, np.diff(bounds).tolist(), strict=True)
+    ]
+    found[by] = np.concatenate(flags).astype(bool)
     sizes = np.diff(np.append(begin, len(order)))
     segments = np.sort(order[np.repeat(found, sizes)])
     bucket = (parts.key[segments] % np.uint64(buckets)).astype(np.int64)
@@ -194,25 +236,27 @@ def _propose(length: int, buckets: int):
     """Group of documents and its answers → the distinct segments to compare, for every bucket."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        out = {"_bucket": [], "_group": [], "shared": [], "text": [], "sizes": [], "keys": [], "ranks": []}
         texts, ids, _ = _texts(docs)
-        shared = dict(zip(answers.column("_bucket").to_pylist(), answers.column("shared").to_pylist(), strict=True))
+        shared = answers.sort_by("_bucket").column("shared").to_pylist()
         parts = _Segments(texts, length)
         segments, bounds = _candidates(parts, ids, shared, buckets)
-        for bucket, flags in shared.items():
-            here = segments[bounds[bucket] : bounds[bucket + 1]]
-            contents, which = _distinct(parts.content(here))
-            first = np.full(len(contents), len(here))
-            np.minimum.at(first, which, np.arange(len(here)))
-            out["_bucket"].append(bucket)
-            out["_group"].append(answers.column("_group")[0].as_py())
-            out["shared"].append(flags)
-            out["text"].append(b"".join(contents))
-            out["sizes"].append(np.array([len(c) for c in contents], np.uint8).tobytes())
-            out["keys"].append(_short(parts.key[here[first]], buckets).tobytes())
-            out["ranks"].append(_least(which, len(contents), ids[parts.doc[here]]).tobytes())
-        types = {"_bucket": pa.int32(), "_group": pa.int32()}
-        return pa.table({k: pa.array(v, types.get(k, pa.binary())) for k, v in out.items()})
+        # Equal contents have equal keys, so their numbers, given in order of buckets, run on from bucket to bucket.
+        contents, which = _distinct(parts.content(segments))
+        first = np.full(len(contents), len(segments))
+        np.minimum.at(first, which, np.arange(len(segments)))
+        cells = np.searchsorted(first, bounds)
+        sizes = np.array([len(c) for c in contents], np.uint8)
+        return _cells(
+            {
+                "_bucket": range(buckets),
+                "_group": [answers.column("_group")[0].as_py()] * buckets,
+                "shared": shared,
+                "text": [_pack(t) for t in _slices(b"".join(contents), _ends(sizes)[cells])],
+                "sizes": _slices(sizes, cells),
+                "keys": _slices(_short(parts.key[segments[first]], buckets), cells),
+                "ranks": _slices(_least(which, len(contents), ids[parts.doc[segments]]), cells),
+            }
+        )
 
     return run
 
@@ -225,10 +269,7 @@ def suffix_order(buffer: bytes, starts: np.ndarray, group: np.ndarray, rank: np.
     """
     padded = np.frombuffer(buffer + b"\0" * 8, np.uint8)
     position = group.astype(np.int64)
-    steps = [*range(0, length - 7, 8)]
-    if steps[-1] + 8 < length:
-        steps.append(length - 8)
-    for step in steps:
+    for step in _steps(length):
         word = _words(padded, len(buffer), 0)[starts + step].byteswap()
         order = np.lexsort((word, position))
         differs = np.zeros(len(order), np.int64)
@@ -264,28 +305,26 @@ def _decide(length: int):
     """Bucket → for every segment its first document and the windows that occur in a document before that one."""
 
     def run(table: pa.Table) -> pa.Table:
-        sizes = [np.frombuffer(s, np.uint8).astype(np.int64) for s in table.column("sizes").to_pylist()]
         contents = []
-        for text, size in zip(table.column("text").to_pylist(), sizes, strict=True):
-            ends = np.cumsum(size)
-            contents += [text[a:b] for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+        counts = []
+        for packed, size in zip(table.column("text").to_pylist(), table.column("sizes").to_pylist(), strict=True):
+            ends = _ends(np.frombuffer(size, np.uint8))
+            contents += _slices(_unpack(packed, int(ends[-1])), ends)
+            counts.append(len(size))
         distinct, which = _distinct(contents)
         del contents
-        ranks = np.frombuffer(b"".join(table.column("ranks").to_pylist()), np.int64)
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32)
-        least = _least(which, len(distinct), ranks)
+        least = _least(which, len(distinct), _joined(table, "ranks", np.int64))
         key = np.zeros(len(distinct), np.uint32)
-        key[which] = keys
+        key[which] = _joined(table, "keys", np.uint32)
         masks = _earlier(distinct, key, least, length)
-        bounds = np.concatenate([[0], np.cumsum([len(s) for s in sizes])])
-        spans = [which[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        return pa.table(
+        cells = _ends(counts)
+        return _cells(
             {
-                "_group": table.column("_group"),
-                "_bucket": table.column("_bucket"),
-                "shared": table.column("shared"),
-                "least": [least[w].tobytes() for w in spans],
-                "masks": [masks[w].tobytes() for w in spans],
+                "_group": table.column("_group").to_pylist(),
+                "_bucket": table.column("_bucket").to_pylist(),
+                "shared": table.column("shared").to_pylist(),
+                "least": _slices(least[which], cells),
+                "masks": _slices(masks[which], cells),
             }
         )
 
@@ -295,65 +334,116 @@ def _decide(length: int):
 def _earlier(contents: list[bytes], key: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
     """For each content a mask of its windows whose longest previous factor reaches ``length``.
 
-    A content that is alone with its key shares a window with no other and is left out of the sort.
+    Contents are taken by key, some keys at a time; equal windows have equal keys. A content that is alone with its
+    key shares a window with no other and is left out.
     """
     masks = np.zeros(len(contents), np.uint64)
-    if not len(contents):
-        return masks
-    _, place, members = np.unique(key, return_inverse=True, return_counts=True)
-    kept = np.flatnonzero(members[place] > 1)
-    if not len(kept):
-        return masks
-    texts = [contents[i] for i in kept.tolist()]
-    sizes = np.array([len(t) for t in texts])
+    order = np.argsort(key, kind="stable")
+    begin = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(order) else order
+    members = np.diff(np.append(begin, len(order)))
+    order = order[np.repeat(members > 1, members)]
+    members = members[members > 1]
+    sizes = np.array([len(contents[i]) for i in order.tolist()], np.int64)
+    group = np.repeat(np.arange(len(members)), members)
+    last = np.cumsum(members)
+    nth_slice = np.cumsum(sizes - length + 1)[last - 1] // SLICE_WINDOWS if len(last) else last
+    cuts = [0, *last[np.flatnonzero(np.diff(nth_slice, append=-1))].tolist()]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        texts = [contents[i] for i in order[a:b].tolist()]
+        masks[order[a:b]] = _previous(texts, sizes[a:b], group[a:b], rank[order[a:b]], length)
+    return masks
+
+
+def _previous(texts: list[bytes], sizes: np.ndarray, group: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
+    """Masks of :func:`_earlier` for some groups of contents of equal key.
+
+    A window whose hash no other has occurs once and has no previous factor of that length; suffixes are sorted
+    for the others.
+    """
+    buffer = b"".join(texts)
     windows = sizes - length + 1
     owner = np.repeat(np.arange(len(texts)), windows)
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    ends = np.cumsum(windows)
+    nth = np.arange(len(owner)) - np.repeat(ends - windows, windows)
     starts = np.repeat(np.cumsum(sizes) - sizes, windows) + nth
-    group, places = place[kept][owner], rank[kept][owner]
-    order, same = suffix_order(b"".join(texts), starts, group, places, length)
-    previous = longest_previous(places, order, same, length) >= length
-    bits = np.where(previous, np.uint64(1) << nth.astype(np.uint64), np.uint64(0))
-    masks[kept] = np.bitwise_or.reduceat(bits, np.cumsum(windows) - windows)
+    again = _hashed_again(buffer, starts, length)
+    owner, nth, starts = owner[again], nth[again], starts[again]
+    masks = np.zeros(len(texts), np.uint64)
+    if len(again):
+        places = rank[owner]
+        order, same = suffix_order(buffer, starts, group[owner], places, length)
+        previous = longest_previous(places, order, same, length) >= length
+        bits = np.where(previous, np.uint64(1) << nth.astype(np.uint64), np.uint64(0))
+        begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        masks[owner[begin]] = np.bitwise_or.reduceat(bits, begin)
     return masks
 
 
+def _steps(length: int) -> list[int]:
+    """Where the words begin that cover ``length`` bytes."""
+    steps = [*range(0, length - 7, 8)]
+    return steps if steps[-1] + 8 >= length else [*steps, length - 8]
+
+
+def _hashed_again(buffer: bytes, starts: np.ndarray, length: int) -> np.ndarray:
+    """Numbers of the windows whose hash another window has too, ascending. Equal windows have equal hashes."""
+    words = _words(buffer, len(buffer) - 7) if len(buffer) > 7 else np.zeros(0, "<u8")
+    value = np.zeros(len(starts), np.uint64)
+    for step in _steps(length):
+        value ^= value >> np.uint64(29)
+        value += words[starts + step]
+        value *= _MIX[1]
+    value ^= value >> np.uint64(32)
+    value *= _MIX[2]
+    low = np.uint64(max(len(starts), 2).bit_length())
+    value >>= low
+    value <<= low
+    value |= np.arange(len(starts), dtype=np.uint64)
+    value.sort()
+    same = np.zeros(len(value) + 1, bool)
+    same[1:-1] = value[1:] >> low == value[:-1] >> low
+    found = value[same[1:] | same[:-1]] & ((np.uint64(1) << low) - np.uint64(1))
+    return np.sort(found).astype(np.int64)
+
+
 def _apply(length: int, buckets: int, result):
     """Group of documents and its decisions → ``result`` of what is removed from every document."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         texts, ids, docs = _texts(docs)
-        shared = dict(zip(found.column("_bucket").to_pylist(), found.column("shared").to_pylist(), strict=True))
-        at = {b: n for n, b in enumerate(found.column("_bucket").to_pylist())}
+        found = found.sort_by("_bucket")
         parts = _Segments(texts, length)
-        segments, bounds = _candidates(parts, ids, shared, buckets)
-        covered = np.zeros(len(parts.joined) + 1, np.int32)
-        for bucket, n in at.items():
-            here = segments[bounds[bucket] : bounds[bucket + 1]]
-            if not len(here):
-                continue
-            _, which = _distinct(parts.content(here))
-            least = np.frombuffer(found.column("least")[n].as_py(), np.int64)[which]
-            masks = np.frombuffer(found.column("masks")[n].as_py(), np.uint64)[which]
-            size = parts.windows[here]
-            later = ids[parts.doc[here]] > least
-            masks = np.where(later, ~np.uint64(0), masks)
-            some = np.flatnonzero(masks)
-            nth = np.arange(MOST_WINDOWS)
-            hit = (masks[some, None] >> nth.astype(np.uint64)) & np.uint64(1) != 0
-            hit &= nth < size[some, None]
-            row, column = np.nonzero(hit)
-            start = parts.start[here][some][row] + column
-            np.add.at(covered, start, 1)
-            np.add.at(covered, start + length, -1)
-        return result(docs, parts, np.cumsum(covered[:-1]) > 0)
+        here, _ = _candidates(parts, ids, found.column("shared").to_pylist(), buckets)
+        _, which = _distinct(parts.content(here))
+        later = ids[parts.doc[here]] > _joined(found, "least", np.int64)[which]
+        masks = np.where(later, ~np.uint64(0), _joined(found, "masks", np.uint64)[which])
+        masks &= ~np.uint64(0) >> (MOST_WINDOWS - parts.windows[here]).astype(np.uint64)
+        some = np.flatnonzero(masks)
+        bits = np.unpackbits(masks[some].astype("<u8").view(np.uint8), bitorder="little")
+        hit = np.flatnonzero(bits)
+        begins = np.zeros(len(parts.joined), bool)
+        begins[parts.start[here][some][hit // MOST_WINDOWS] + hit % MOST_WINDOWS] = True
+        return result(docs, parts, _covered(begins, length))
 
     return run
 
 
+def _covered(begins: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes lie within ``length`` bytes from a marked one on."""
+    start = np.flatnonzero(begins)
+    if not len(start):
+        return begins
+    apart = np.flatnonzero(np.diff(start) > length)
+    turns = np.empty(2 * len(apart) + 2, np.int64)
+    turns[::2] = start[np.append(0, apart + 1)]
+    turns[1::2] = start[np.append(apart, len(start) - 1)] + length
+    covered = np.arange(len(turns) + 1) % 2 == 1
+    return np.repeat(covered, np.diff(turns, prepend=0, append=len(begins)))
+
+
 def _left(parts: _Segments, removed: np.ndarray) -> list[bytes]:
     left = np.frombuffer(parts.joined, np.uint8)[~removed].tobytes()
-    at = np.concatenate([[0], np.cumsum(~removed)])[parts.offsets].tolist()
+    at = np.searchsorted(np.flatnonzero(~removed), parts.offsets).tolist()
     return [left[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
@@ -411,9 +501,9 @@ def repeated_passages(
     Texts are dealt once into ``groups`` (default: twice the shuffle partitions) by a hash of the id, and Spark reuses
     that exchange in three steps. (1) Every group names the distinct least seeds of its windows; a seed's bucket
     answers whether other documents have it. (2) Segments with shared seeds, each distinct one once per group,
-    meet in the seed's bucket, where their suffixes are sorted over ``length`` bytes and longest previous factors
-    tell which windows an earlier document has. (3) Groups look up the decisions for their segments. A passage
-    that very many documents share thus arrives once from each group.
+    meet in the seed's bucket, where the suffixes whose first ``length`` bytes have a hash that occurs again are
+    sorted over these bytes and longest previous factors tell which windows an earlier document has. (3) Groups look
+    up the decisions for their segments. A passage that very many documents share thus arrives once from each group.
     """
     schema = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     return _removal(docs.select(*_dealt(id_col, text_col)), length, groups, _spans, schema)

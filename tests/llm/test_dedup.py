@@ -165,6 +165,49 @@ def test_decisions_do_not_depend_on_the_order_of_rows():
         assert sorted(got, key=repr) == expected
 
 
+def _one_group(rows):
+    """Rows as the steps get them, all in one group."""
+    names = ("_id", "_rank", "_text", "_group")
+    return pa.table(dict(zip(names, map(list, zip(*[(n, n, t, 0) for n, t in rows], strict=True)), strict=True)))
+
+
+def _compared(rows, buckets, monkeypatch):
+    """Contents proposed for rows in one group, suffixes sorted for them, and the spans found."""
+    suffixes, sort = [], suffix.suffix_order
+    monkeypatch.setattr(suffix, "suffix_order", lambda b, s, *a: suffixes.append(len(s)) or sort(b, s, *a))
+    docs = _one_group(rows)
+
+    def cells(column, run):
+        announced = column.column("_bucket").to_pylist()
+        return pa.concat_tables([run(column.filter(pa.array([x == b for x in announced]))) for b in range(buckets)])
+
+    proposed = suffix._propose(50, buckets)(docs, cells(suffix._announce(50, buckets)(docs), suffix._answer))
+    found = suffix._apply(50, buckets, suffix._spans)(docs, cells(proposed, suffix._decide(50))).to_pylist()
+    spans = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in found}
+    return sum(map(len, proposed.column("sizes").to_pylist())), sum(suffixes), spans
+
+
+def _letters(seed, n):
+    draw = random.Random(seed)
+    return bytes(draw.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+
+
+def test_phrases_that_texts_share_by_chance_are_not_compared(monkeypatch):
+    rows = [(n, _letters(n, 60) + b"of the and that in 20" + _letters(1000 + n, 60)) for n in range(200)]
+    proposed, suffixes, spans = _compared(rows, 3, monkeypatch)
+    assert proposed == 0 and suffixes == 0 and not any(spans.values())
+
+
+def test_only_suffixes_that_may_occur_again_are_sorted(monkeypatch):
+    # A phrase longer than a seed brings the segments around it together, though no window of 50 bytes is common.
+    phrase = b"this phrase of forty bytes and two comes!!"
+    rows = [(n, _letters(n, 60) + phrase + _letters(1000 + n, 60)) for n in range(200)]
+    rows.append((200, b"#" + rows[7][1][30:120]))
+    proposed, suffixes, spans = _compared(rows, 3, monkeypatch)
+    assert proposed > 200 and 0 < suffixes <= 2 * 41
+    assert spans.pop(200) == [(1, 91)] and not any(spans.values())
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(empty).count() == 0
